@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberleaf.llm import language_id, secret_scan, sentencepiece_codec, toxicity
+from emberleaf.llm import class_lm, language_id, secret_scan, sentencepiece_codec, source_mix, toxicity
 from emberleaf.llm._spark import table
 
-ID = F.col("doc_id")
+
 
 
 def remainder(n: int):
     """crc32 of the id as text modulo ``n``; a null id counts as an empty text."""
-    return F.crc32(F.coalesce(ID.cast("string"), F.lit(""))) % n
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,5 +46,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_toxicity, op5_secret_scans, op7_sentencepiece)}
-ORACLE: dict[str, str] = {}
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model, counts = class_lm.fit(docs.where(remainder(5) != 1))
+    return class_lm.score(docs, model, counts, keep=(F.col("doc_id"), (remainder(5) == 1).alias("held_out")))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language_id, op4_toxicity, op5_secret_scans, op7_sentencepiece, op9_class_lm)}
+ORACLE: dict[str, str] = {"op1_source_mix": source_mix.ORACLE}
