@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberleaf.llm import class_lm, language_id, secret_scan, sentencepiece_codec, source_mix, toxicity
+from emberleaf.llm import class_lm, language_id, secret_scan, sentencepiece_codec, source_mix, substring_dedup, toxicity
 from emberleaf.llm._spark import table
 
 
@@ -52,5 +52,9 @@ def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score(docs, model, counts, keep=(F.col("doc_id"), (remainder(5) == 1).alias("held_out")))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language_id, op4_toxicity, op5_secret_scans, op7_sentencepiece, op9_class_lm)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language_id, op4_toxicity, op5_secret_scans, op7_sentencepiece, op9_class_lm, op10_substring_dedup)}
 ORACLE: dict[str, str] = {"op1_source_mix": source_mix.ORACLE}

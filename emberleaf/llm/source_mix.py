@@ -150,7 +150,7 @@ t AS (
   SELECT source, source_size, CASE WHEN 2 * source_size < m.level * weight THEN CAST(2 * source_size AS DOUBLE) ELSE m.level * weight END AS target
   FROM s, m),
 e AS (
-  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target) // source_size, 2) ELSE 0 END AS epochs FROM t),
+  SELECT *, CASE WHEN source_size > 0 THEN least(CAST(floor(target) AS BIGINT) // source_size, 2) ELSE 0 END AS epochs FROM t),
 p AS (
   SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, floor(e.target) - e.epochs * e.source_size AS rest,
          sum(k.size) OVER (PARTITION BY k.source ORDER BY k.sort_key, k.size DESC ROWS UNBOUNDED PRECEDING) - k.size AS before
