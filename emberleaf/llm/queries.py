@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberleaf.llm import class_lm, language_id, secret_scan, sentencepiece_codec, source_mix, substring_dedup, toxicity
+from emberleaf.llm import class_lm, language_id, minhash_dedup, secret_scan, sentencepiece_codec, source_mix, substring_dedup, toxicity
 from emberleaf.llm._spark import table
 
 
@@ -46,6 +46,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model, counts = class_lm.fit(docs.where(remainder(5) != 1))
@@ -56,5 +60,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language_id, op4_toxicity, op5_secret_scans, op7_sentencepiece, op9_class_lm, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language_id, op4_toxicity, op5_secret_scans, op7_sentencepiece, op8_minhash_dedup, op9_class_lm, op10_substring_dedup)}
 ORACLE: dict[str, str] = {"op1_source_mix": source_mix.ORACLE}
