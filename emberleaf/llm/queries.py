@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberleaf.llm import class_lm, language_id, minhash_dedup, secret_scan, sentencepiece_codec, source_mix, substring_dedup, toxicity
+from emberleaf.llm import class_lm, embedding_dedup, language_id, minhash_dedup, nearest_neighbours, secret_scan, sentencepiece_codec, source_mix, substring_dedup, toxicity
 from emberleaf.llm._spark import table
 
 
@@ -27,6 +27,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text"), model).select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.groups(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(remainder(5) != 0))
@@ -39,6 +43,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 100 == 0)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,5 +68,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language_id, op4_toxicity, op5_secret_scans, op7_sentencepiece, op8_minhash_dedup, op9_class_lm, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language_id, op3_embedding_dedup, op4_toxicity, op5_secret_scans, op6_nearest_neighbours, op7_sentencepiece, op8_minhash_dedup, op9_class_lm, op10_substring_dedup)}
 ORACLE: dict[str, str] = {"op1_source_mix": source_mix.ORACLE}
