@@ -24,6 +24,8 @@ SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 250_000, 32_768
 DEGREE, BUILD, WIDTH = 32, 64, 192
 ALPHA = 1.2
 SALT = 64
+#: Times a shard's own size at which a query counts as infinitely far.
+FAR = 1e6
 
 
 class Graph:
@@ -49,10 +51,30 @@ def _matrix(col: pa.ChunkedArray, n: int) -> np.ndarray:
     return np.asarray(col.combine_chunks().flatten()).reshape(n, -1)
 
 
+def _framed(q: np.ndarray, middle: np.ndarray, scale: float) -> np.ndarray:
+    """Queries in a shard's frame; of one too far away for single precision the direction."""
+    unit = np.maximum(np.abs(q).max(1, keepdims=True), scale)
+    out = q / unit - middle / unit
+    long = unit / scale
+    return (out * np.minimum(long, FAR)).astype(np.float32)
+
+
+def _far(diff: np.ndarray) -> np.ndarray:
+    """Lengths of rows, also of such whose squares overflow or vanish."""
+    with np.errstate(over="ignore", under="ignore"):
+        d = np.sqrt((diff * diff).sum(1))
+    odd = ~np.isfinite(d) | (d < 1e-150)
+    if odd.any():
+        most = np.maximum(np.abs(diff[odd]).max(1), np.finfo(float).tiny)
+        d[odd] = most * np.sqrt(((diff[odd] / most[:, None]) ** 2).sum(1))
+    return d
+
+
 def _build(key, table):
     table = table.sort_by("rep")
     v = _matrix(table["v"], len(table))
-    middle, scale = v.mean(0), np.abs(v).max()
+    scale = np.abs(v).max()
+    middle = (v / scale).mean(0) * scale
     data = pickle.dumps((table["ids"].combine_chunks().to_pylist(), v, middle, scale, Graph(((v - middle) / scale).astype(np.float32))))
     return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
 
@@ -64,10 +86,10 @@ def _search(k: int, width: int):
             ids, v, middle, scale, index = pickle.loads(left["data"][0].as_py())
             right = right.sort_by("id")
             q = _matrix(right["v"], len(right))
-            found = index.search(((q - middle) / scale).astype(np.float32), max(width, 2 * k))
+            found = index.search(_framed(q, middle, scale), max(width, 2 * k))
             for i, (own, row) in enumerate(zip(right["id"].to_pylist(), found, strict=True)):
                 row = row[row >= 0]
-                d = np.sqrt(((v[row] - q[i]) ** 2).sum(1))
+                d = _far(v[row] - q[i])
                 best = [(float(x), y) for x, r in zip(d, row, strict=True) for y in ids[r] if y != own]
                 out += [(own, y, x) for x, y in sorted(best)[:k]]
         a, b, c = zip(*out, strict=True) if out else ((), (), ())
