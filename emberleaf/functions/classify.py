@@ -57,8 +57,7 @@ def entities(c: Column | str) -> Column:
     parts = F.transform(F.split(text(c), r"[\s,;:()]"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+$", ""))
     caps = lambda w: (F.octet_length(w) >= 3) & w.rlike(r"^[\p{Lu}0-9]+$")
     mixed = lambda w: (F.octet_length(w) >= 4) & w.rlike(r"^\p{Lu}.*\p{Lu}") & w.rlike(r"\p{Ll}")
-    common = literal_array(lexicon.NOT_ENTITIES)
-    return F.array_distinct(F.filter(parts, lambda w: (caps(w) | mixed(w)) & ~F.array_contains(common, w)))
+    return F.array_distinct(F.filter(parts, lambda w: (caps(w) | mixed(w)) & ~w.isin(lexicon.NOT_ENTITIES)))
 
 
 def semantics(c: Column | str) -> Column:

@@ -40,8 +40,8 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def keep(a: Column, stops: Sequence[str]) -> Column:
     """The elements of ``a`` without ``stops``, in order and with repeats."""
-    stop = literal_array(sorted(set(stops)))
-    return F.filter(a, lambda w: ~F.array_contains(stop, w))
+    stop = sorted(set(stops))
+    return F.filter(a, lambda w: ~w.isin(stop))
 
 
 def tokens(c: Column | str) -> Column:
