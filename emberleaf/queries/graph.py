@@ -41,17 +41,17 @@ def graph_stats(spark, sf_dir):
 
 
 @q(f"""WITH {_GRAPH},
-x AS (SELECT src, dst, weight * 4 AS weight FROM e), f0 AS (SELECT item AS seed, item AS id, 1.0::DOUBLE AS act FROM (SELECT DISTINCT item FROM log WHERE item % 10 = 0)),
+x AS (SELECT src, dst, weight * 4 AS weight FROM e), f0 AS (SELECT item AS seed, item AS id, 1.0::DOUBLE AS act FROM (SELECT DISTINCT item FROM log)),
 n1 AS (SELECT seed, dst AS id, max(act * weight) AS act FROM f0 JOIN x ON id = src WHERE act * weight >= 0.01 GROUP BY seed, dst), f1 AS (SELECT * FROM n1 WHERE id <> seed OR act > 1), b1 AS (SELECT seed, id, max(act) AS act FROM (FROM f0 UNION ALL FROM f1) GROUP BY seed, id),
 n2 AS (SELECT seed, dst AS id, max(act * weight * 0.7) AS act FROM f1 JOIN x ON id = src WHERE act * weight * 0.7 >= 0.01 GROUP BY seed, dst), f2 AS (SELECT n2.* FROM n2 LEFT JOIN b1 USING (seed, id) WHERE b1.act IS NULL OR n2.act > b1.act),
 b2 AS (SELECT seed, id, max(act) AS act FROM (FROM b1 UNION ALL FROM f2) GROUP BY seed, id)
 SELECT seed, id, round(act, 6) AS act, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY act DESC, id) AS rank FROM b2 WHERE id <> seed) WHERE rank <= 20
 """)
 def activation(spark, sf_dir):
-    """What every tenth artifact activates in two hops, with fourfold weights."""
+    """What every artifact activates in two hops, with fourfold weights."""
     rows = log(spark, sf_dir)
     edges = g.graph(rows, "session", "item").withColumn("weight", F.col("weight") * 4)
-    seeds = rows.where("item % 10 = 0").select(F.col("item").alias("seed")).distinct()
+    seeds = rows.select(F.col("item").alias("seed")).distinct()
     return g.activate(edges, seeds, 2, 20).select("seed", "id", F.round("act", 6).alias("act"), "rank")
 
 

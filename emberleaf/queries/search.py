@@ -114,12 +114,12 @@ def hybrid_without_vectors(spark, sf_dir):
 
 @q(f"""{_HYBRID}
 SELECT kw.doc_id, round(CASE WHEN embedding IS NOT NULL THEN list_cosine_similarity(embedding::DOUBLE[], {SQL_QUERY}) ELSE kw.score * 0.9 END, 6) AS score
-FROM kw LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 2 = 0) e ON e.vec_id = kw.doc_id
+FROM kw LEFT JOIN embeddings e ON e.vec_id = kw.doc_id
 """)
 def reranked(spark, sf_dir):
     """Keyword hits scored anew by cosine where they have a vector."""
     hits = s.bm25(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", ["text"], TERMS, 30).select("doc_id", "score")
-    vectors = table(spark, sf_dir, "embeddings").where("vec_id % 2 = 0").withColumnRenamed("vec_id", "doc_id")
+    vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     return s.rerank(hits, vectors, "doc_id", QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
