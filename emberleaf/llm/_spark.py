@@ -31,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder: its lineage ends there.
 
-    A lost executor then costs a read, not a recomputation. The table goes when the JVM ends.
+    A lost executor then costs a read, not a recomputation. The table goes when the JVM ends; the
+    shuffle files behind it go now, as the driver collects what refers to them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/emberleaf-{uuid.uuid4().hex}"
@@ -39,6 +40,7 @@ def stored(df: DataFrame) -> DataFrame:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(conf).deleteOnExit(where)
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberleaf.llm._bloom import partnered
 from emberleaf.llm._graph import components
 from emberleaf.llm._spark import stored
 from emberleaf.llm._text import cut, mix, pair, scan, shingles
@@ -33,11 +34,14 @@ REGION, NEAR = 24, 3
 AGREE = 32
 LAST = 2**63 - 1
 
+#: Crowded rows of one task that looks for candidates.
+TASK_ROWS = 20_000
+
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
 def signatures(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Minima, texts by VALUES, of 32-bit hashes; of an empty set the greatest value."""
+    """16 bits of each minimum, texts by VALUES; of an empty set the greatest value."""
     n = len(off) - 1
     out = np.full((n, VALUES), 0xFFFFFFFF, np.uint32)
     some = np.flatnonzero(np.diff(off) > 0)
@@ -48,7 +52,8 @@ def signatures(h: np.ndarray, off: np.ndarray) -> np.ndarray:
             x ^= x >> np.uint64(29)
             x *= np.uint64(0x94D049BB133111EB)
             out[some, k] = np.minimum.reduceat((x >> np.uint64(32)).astype(np.uint32), start)
-    return out
+    out *= np.uint32(0x9E3779B1)  # minima of large sets differ in their low bits alone
+    return (out >> np.uint32(16)).astype(np.uint16)
 
 
 def _describe(words: int, rest: int):
@@ -63,19 +68,21 @@ def _describe(words: int, rest: int):
                     if len(some):
                         sums[i, some] = np.add.reduceat(mix(h + np.uint64(salt)), off[some])
                 sig = signatures(h, off).tobytes()
-                yield pa.RecordBatch.from_arrays([*(b.column(i + 1).slice(lo, hi - lo) for i in range(rest)), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([sig[i : i + 4 * VALUES] for i in range(0, len(sig), 4 * VALUES)], pa.binary())], names=["ord", "th", "n", "s1", "s2", "sig"])
+                yield pa.RecordBatch.from_arrays([*(b.column(i + 1).slice(lo, hi - lo) for i in range(rest)), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([sig[i : i + 2 * VALUES] for i in range(0, len(sig), 2 * VALUES)], pa.binary())], names=["ord", "th", "n", "s1", "s2", "sig"])
 
     return run
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each order a hash of the first values, its last bits the order's number."""
     for b in batches:
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, VALUES).astype(np.uint64)
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, VALUES).astype(np.uint64)
         for t in range(ORDERS):
-            key = np.full(len(sig), t, np.uint64)
+            key = np.zeros(len(sig), np.uint64)
             for k in range(DEPTH):
                 key = pair(key, sig[:, t * (VALUES // ORDERS) + k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array(key.view(np.int64)), b.column(0)], names=["tree", "prefix", "rep"])
+            key = key & ~np.uint64(ORDERS - 1) | np.uint64(t)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0)], names=["prefix", "rep"])
 
 
 def _turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,10 +91,10 @@ def _turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         tree = b.column(0).to_numpy()
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, VALUES)
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(-1, VALUES)
         at = (np.arange(VALUES) + tree[:, None] * (VALUES // ORDERS)) % VALUES
-        raw = np.take_along_axis(sig, at, 1).astype(">u4").tobytes()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[i : i + 4 * VALUES] for i in range(0, len(raw), 4 * VALUES)], pa.binary()), *b.columns[2:]], names=["tree", "sig", *b.schema.names[2:]])
+        raw = np.take_along_axis(sig, at, 1).astype(">u2").tobytes()
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([raw[i : i + 2 * VALUES] for i in range(0, len(raw), 2 * VALUES)], pa.binary()), *b.columns[2:]], names=["tree", "sig", *b.schema.names[2:]])
 
 
 def _pairs(sig: np.ndarray, tree: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
@@ -109,8 +116,8 @@ def _pairs(sig: np.ndarray, tree: np.ndarray, n: np.ndarray, ids: np.ndarray) ->
         rows = sig[lo:hi]
         if hi - lo > 512:
             rows = np.sort(rows, axis=0)
-            run = np.array([np.diff(np.flatnonzero(np.diff(c, prepend=c[:1] + np.uint32(1), append=c[-1:] + np.uint32(1)))).argmax() for c in rows.T])
-            heads = [np.flatnonzero(np.diff(c, prepend=c[:1] + np.uint32(1))) for c in rows.T]
+            run = np.array([np.diff(np.flatnonzero(np.diff(c, prepend=c[:1] + np.uint16(1), append=c[-1:] + np.uint16(1)))).argmax() for c in rows.T])
+            heads = [np.flatnonzero(np.diff(c, prepend=c[:1] + np.uint16(1))) for c in rows.T]
             common = np.array([c[h[r]] for c, h, r in zip(rows.T, heads, run, strict=True)])
         else:
             common = np.array([np.bincount(np.unique(c, return_inverse=True)[1]).argmax() for c in rows.T])
@@ -143,7 +150,7 @@ def _candidates(ends: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches):
             tree = table["tree"].to_numpy()
-            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), ">u4").reshape(-1, VALUES).astype(np.uint32)
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), ">u2").reshape(-1, VALUES).astype(np.uint16)
             n, ids, th = (table[c].to_numpy() for c in ("n", "rep", "th"))
             if len(n) > 1:
                 a, b, centres = _pairs(sig, tree, n, ids)
@@ -215,20 +222,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     best = F.min(F.struct("ord", "th", "n", "sig")).alias("r")
     reps = stored(all_.where("n > 0").groupBy("s1", "s2").agg(best).select("s1", "s2", F.col("r.ord").alias("rep"), "r.th", "r.n", "r.sig"))
 
-    prefixes = reps.select("rep", "sig").mapInArrow(_prefixes, "tree int, prefix long, rep long")
-    shared = prefixes.groupBy("tree", "prefix").agg(F.count("*").alias("c")).where("c > 1").select("tree", "prefix")
-    crowded = prefixes.join(shared, ["tree", "prefix"]).groupBy("rep").agg(F.collect_set("tree").alias("trees"))
-    forest = stored(reps.join(crowded, "rep").select("rep", "th", "n", "sig", "trees"))
+    prefixes = reps.select("rep", "sig").mapInArrow(_prefixes, "prefix long, rep long")
+    shared = stored(prefixes.groupBy("prefix").agg(F.count("*").alias("c")).where("c > 1").select("prefix"))
+    tree = F.col("prefix").bitwiseAND(ORDERS - 1).cast("int")
+    crowded = stored(partnered(prefixes, "prefix", shared).join(shared, "prefix").groupBy("rep").agg(F.collect_set(tree).alias("trees")))
+    forest = stored(partnered(reps.select("rep", "th", "n", "sig"), "rep", crowded.select("rep")).join(crowded, "rep"))
     rows = forest.select(F.explode("trees").alias("tree"), "sig", "rep", "th", "n").mapInArrow(_turned, "tree int, sig binary, rep long, th long, n long")
     order = ["tree", "sig", "rep"]
-    found = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_candidates(True), PAIRS))
+    size = crowded.agg(F.sum(F.size("trees"))).first()[0] or 0
+    found = stored(rows.repartitionByRange(max(1, -(-size // TASK_ROWS)), *order).sortWithinPartitions(*order).mapInArrow(_candidates(True), PAIRS))
     # a few rows from either end of each partition
     ends = found.where("tree is not null").select("tree", "sig", F.col("a").alias("rep"), F.col("ta").alias("th"), "n").dropDuplicates(["tree", "rep"])
     across = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_candidates(False), PAIRS)
     pairs = stored(found.where("tree is null").unionByName(across).groupBy("a", "ta", "b", "tb").agg(F.max("agree").alias("agree")))
 
     sides = pairs.select(F.col("a").alias("ord"), F.col("ta").alias("th")).unionByName(pairs.select(F.col("b").alias("ord"), F.col("tb").alias("th"))).distinct()
-    texts = stored(known.join(sides, ["ord", "th"], "left_semi"))
+    sides = stored(sides)
+    texts = stored(partnered(known, "th", sides.select("th")).join(sides, ["ord", "th"], "left_semi"))
     texts = texts.dropDuplicates(["ord", "th"])
 
     def confirmed(p: DataFrame) -> DataFrame:
