@@ -1,3 +1,75 @@
-from emberleaf.queries import Registry
+"""Round trips through the store's formats."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from emberleaf.operators import pipelines, store
+from emberleaf.queries import Registry, table
+from emberleaf.sources import files, sinks
+from emberleaf.sources.tables import checkpoint_dir
 
 q = Registry()
+
+
+def _folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/io-{uuid.uuid4().hex}"
+
+
+@q("SELECT CAST(doc_id AS VARCHAR) AS artifact_id, sha256(text) AS content_hash, length(text) AS n FROM documents")
+def parquet_store(spark, sf_dir):
+    """Documents written as a store batch and read back; two columns reach the scan."""
+    path = _folder(spark)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("artifact_id"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.lit("memory").alias("content_type"))
+    sinks.write_batch(rows, path)
+    return sinks.read_store(spark, path).select("artifact_id", "content_hash", F.length("content").cast("long").alias("n"))
+
+
+@q("SELECT conv_id::VARCHAR AS conv_id, turn::VARCHAR AS turn, role, text FROM conversations")
+def jsonl_store(spark, sf_dir):
+    """JSON lines as columns of strings and back to rows."""
+    path = _folder(spark)
+    table(spark, sf_dir, "conversations").write.json(f"{path}/in")
+    sinks.jsonl_to_parquet(spark, f"{path}/in", f"{path}/out")
+    lines = sinks.parquet_to_jsonl(spark.read.parquet(f"{path}/out"))
+    return lines.select(F.from_json("value", "conv_id string, turn string, role string, text string").alias("r")).select("r.*")
+
+
+@q("SELECT doc_id::VARCHAR AS artifact_id, sha256(text) AS content_hash, TRUE AS ok FROM documents")
+def cold_round_trip(spark, sf_dir):
+    """Documents through the cold tier with a trained dictionary."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("artifact_id"), F.col("text").alias("content"))
+    dictionary = sinks.train_dictionary(rows, "content", "artifact_id")
+    stored, blocks = pipelines.store(rows, "cold", dictionary)
+    return store.verified(pipelines.restore(stored, blocks, dictionary)).select("artifact_id", "content_hash", "ok")
+
+
+@q()
+def tier_sizes(spark, sf_dir):
+    """Bytes of all documents in each tier's form."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("artifact_id"), F.col("text").alias("content"))
+    out = None
+    for tier in sinks.LEVELS:
+        stored, _ = pipelines.store(rows, tier)
+        part = stored.groupBy("tier").agg(F.count("*").alias("n"), F.sum("compressed_size").alias("bytes"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@q("SELECT doc_id::VARCHAR AS artifact_id, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN NULL ELSE sha256(text) END AS hash, CASE doc_id % 4 WHEN 0 THEN 'not found' WHEN 1 THEN 'hash mismatch' ELSE 'ok' END AS status FROM documents")
+def recalls(spark, sf_dir):
+    """Recall of every document; some are gone, some spoilt."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("i"), F.col("doc_id").cast("string").alias("artifact_id"), F.col("text").alias("content"), F.sha2("text", 256).alias("content_hash"), F.lit("cold").alias("tier"))
+    kept = rows.where("i % 4 <> 0").withColumn("content", F.when(F.col("i") % 4 == 1, F.concat("content", F.lit("!"))).otherwise(F.col("content"))).drop("i")
+    return store.recall(kept, rows.select("artifact_id"), 0.0).select("artifact_id", F.sha2("content", 256).alias("hash"), "status")
+
+
+@q("""
+SELECT left(sha256(text), 16) AS artifact_id, sha256(text) AS content_hash, strlen(text) AS original_size, '2024-01-31' AS created_date, 'documents' AS source_label FROM documents WHERE strlen(trim(text, ' ')) >= 50 AND NOT contains(text, chr(0))
+""")
+def ingested(spark, sf_dir):
+    """Artifacts of documents as raw files."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/n/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("2024-01-31 10:00:00").cast("timestamp").alias("mtime"), F.col("text").cast("binary").alias("content"))
+    return files.ingest(docs, "documents").select("artifact_id", "content_hash", "original_size", "created_date", "source_label")
