@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberleaf.llm._bloom import partnered
 from emberleaf.llm._spark import stored
 from emberleaf.llm._text import Words, cut, mix, pair, scan
 
@@ -190,10 +191,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     flagged = stored(slim.select("ord", "th", "n_words", "sha", "seq").join(first, "sha").withColumn("copy", F.col("ord") > F.col("first")).drop("first"))
 
     marks = slim.select("seq", F.explode("marks").alias("m")).select("seq", "m.h", "m.pos")
-    repeated = marks.groupBy("h").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.min("pos").alias("c"), F.max("pos").alias("d")).where("a <> b or c <> d").select("h")
+    place = F.xxhash64("seq", "pos")
+    repeated = marks.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
     kept = marks.join(repeated, "h").groupBy("seq").agg(F.collect_set("pos").alias("marks"))
-    wanted = flagged.where(~F.col("copy")).select("ord", "th", "seq").dropDuplicates(["ord", "th"]).join(kept, "seq").drop("seq")
-    found = stored(known.join(wanted, ["ord", "th"]).select("text_", "ord", "th", "marks"))
+    wanted = stored(flagged.where(~F.col("copy")).select("ord", "th", "seq").dropDuplicates(["ord", "th"]).join(kept, "seq").drop("seq"))
+    found = stored(partnered(known, "th", wanted.select("th")).join(wanted, ["ord", "th"]).select("text_", "ord", "th", "marks"))
 
     windows = found.mapInArrow(_second_level(half), "h long, ord long, th long, start int, later array<int>")
     by = W.partitionBy("h", F.col("start").isNull()).orderBy("ord", "start")
