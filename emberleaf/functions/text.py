@@ -225,4 +225,4 @@ def is_boilerplate(c: Column | str, least: int = 500) -> Column:
 
 def section(c: Column | str, name: str) -> Column:
     """The body of the Markdown section of this heading, up to the next heading."""
-    return F.trim(F.regexp_extract(text(c), rf"(?ms)^#{{1,3}}\s+{name}\s*$\n(.*?)(?=^#{{1,3}}\s|\z)", 1))
+    return F.regexp_extract(text(c), rf"(?ms)^#{{1,3}}\s+{name}\s*?$\s*(.*?)\s*(?=^#{{1,3}}\s|\z)", 1)
