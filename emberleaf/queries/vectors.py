@@ -16,7 +16,6 @@ DIMS = 64
 QUERY = [round(math.cos(3 * i) + 0.3, 6) for i in range(DIMS)]
 SQL_QUERY = "[" + ", ".join(map(str, QUERY)) + "]::DOUBLE[]"
 TIERS = {"hot": (64, "float"), "warm": (48, "float"), "cold": (32, "int8"), "frozen": (16, "bits")}
-TIER = F.get(F.array(*map(F.lit, TIERS)), (F.col("vec_id") % 4).cast("int"))
 SQL_TIER = "(['hot', 'warm', 'cold', 'frozen'])[(vec_id % 4 + 1)::INT]"
 
 
@@ -31,6 +30,10 @@ def word(x: str, lo: int, hi: int, op: str = ">=") -> str:
 _E = "embedding::DOUBLE[]"
 
 
+def tier():
+    return F.get(F.array(*map(F.lit, TIERS)), (F.col("vec_id") % 4).cast("int"))
+
+
 @q(f"SELECT vec_id, round(list_cosine_similarity({_E}, {SQL_QUERY}), 6) AS score FROM embeddings ORDER BY list_cosine_similarity({_E}, {SQL_QUERY}) DESC, vec_id LIMIT 10")
 def cosine_top(spark, sf_dir):
     """The ten vectors nearest to a query by cosine."""
@@ -70,13 +73,13 @@ def _tiered() -> str:
 @q(f"SELECT vec_id, {SQL_TIER} AS tier, round({_tiered()}, 6) AS score FROM embeddings")
 def tier_scores(spark, sf_dir):
     """Similarity of every vector in its tier's form."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", TIER.alias("tier"), F.round(vs.tier_similarity(TIER, F.col("embedding"), QUERY, TIERS), 6).alias("score"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", tier().alias("tier"), F.round(vs.tier_similarity(tier(), F.col("embedding"), QUERY, TIERS), 6).alias("score"))
 
 
 @q(f"SELECT vec_id, tier, round(score, 6) AS score FROM (SELECT vec_id, {SQL_TIER} AS tier, {_tiered()} AS score FROM embeddings) ORDER BY score DESC, vec_id LIMIT 15")
 def tiered_search(spark, sf_dir):
     """The best of all tiers, each in its own form."""
-    rows = table(spark, sf_dir, "embeddings").withColumn("tier", TIER)
+    rows = table(spark, sf_dir, "embeddings").withColumn("tier", tier())
     return vs.tiered(rows, "vec_id", "embedding", "tier", QUERY, 15, TIERS).withColumn("score", F.round("score", 6))
 
 
@@ -94,7 +97,7 @@ SELECT vec_id, tier, round(score, 6) AS score FROM r WHERE r <= CASE tier WHEN '
 """)
 def predictions(spark, sf_dir):
     """Vectors likely to be needed: the best of each tier above a least similarity."""
-    rows = table(spark, sf_dir, "embeddings").withColumn("tier", TIER)
+    rows = table(spark, sf_dir, "embeddings").withColumn("tier", tier())
     return vs.predict(rows, "vec_id", "embedding", "tier", QUERY, 20, TIERS).withColumn("score", F.round("score", 6))
 
 

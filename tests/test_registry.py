@@ -7,6 +7,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from emberleaf import registry
@@ -21,7 +22,7 @@ def db(sf):
 
 
 def rows(df):
-    cell = lambda x: "null" if x is None or x != x else f"{x:.6g}" if isinstance(x, float) else str(x)
+    cell = lambda x: "null" if pd.isna(x) else f"{x:.6g}" if isinstance(x, float) else str(x)
     return sorted(tuple(cell(x) for x in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
