@@ -89,3 +89,13 @@ def stats(edges: DataFrame, log: DataFrame, session: str) -> DataFrame:
     """Nodes, directed edges, sessions and recalls."""
     e = edges.agg(F.count("*").alias("edges"), F.count_distinct("src").alias("nodes"))
     return e.crossJoin(F.broadcast(log.agg(F.count_distinct(session).alias("sessions"), F.count("*").alias("recalls"))))
+
+
+def save(edges: DataFrame, path: str) -> None:
+    """Edges as a table clustered by ``src``, so that a hop reads few row groups; overlaps are held within 0 and 1."""
+    rows = edges.withColumn("overlap", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("overlap"))))
+    rows.repartitionByRange("src").sortWithinPartitions("src").write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -11,23 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberleaf.functions.hashes import sha2_256
+
 ZERO = "0" * 64
 
 
-def leaf(content_hash: Column) -> Column:
-    return F.sha2(F.unhex(F.concat(F.lit("00"), content_hash)), 256)
+def leaf(content_hash: Column, digest=sha2_256) -> Column:
+    """The hash of a leaf; ``digest`` makes hexadecimal digests of binary values."""
+    return digest(F.unhex(F.concat(F.lit("00"), content_hash)))
 
 
-def node(left: Column, right: Column) -> Column:
-    return F.sha2(F.unhex(F.concat(F.lit("01"), left, right)), 256)
+def node(left: Column, right: Column, digest=sha2_256) -> Column:
+    return digest(F.unhex(F.concat(F.lit("01"), left, right)))
 
 
-def leaves(df: DataFrame, content_hash: str, order: str) -> DataFrame:
+def leaves(df: DataFrame, content_hash: str, order: str, digest=sha2_256) -> DataFrame:
     """``idx`` from 0 and leaf ``hash`` in order of a unique column.
 
     Rows are range-partitioned, numbered within partitions and shifted by the sizes of those before.
     """
-    rows = df.select(F.col(order).alias("o"), leaf(F.col(content_hash)).alias("hash")).repartitionByRange("o").withColumn("p", F.spark_partition_id())
+    rows = df.select(F.col(order).alias("o"), leaf(F.col(content_hash), digest).alias("hash")).repartitionByRange("o").withColumn("p", F.spark_partition_id())
     sizes = rows.groupBy("p").agg(F.count("*").alias("n"))
     start = sizes.select("p", (F.sum("n").over(W.orderBy("p")) - F.col("n")).alias("start"))  # a row for each partition
     within = F.row_number().over(W.partitionBy("p").orderBy("o")) - 1
@@ -39,19 +42,19 @@ def depth(n: int) -> int:
     return max(1, (n - 1).bit_length())
 
 
-def _pad(level: int) -> Column:
+def _pad(level: int, digest=sha2_256) -> Column:
     """The hash of a subtree of ``level`` levels that holds padding alone."""
     out = F.lit(ZERO)
     for _ in range(level):
-        out = node(out, out)
+        out = node(out, out, digest)
     return out
 
 
-def next_level(level: DataFrame, height: int) -> DataFrame:
+def next_level(level: DataFrame, height: int, digest=sha2_256) -> DataFrame:
     """Parents of the nodes of ``level``, whose own height is ``height``."""
     side = lambda bit: F.max(F.when(F.col("idx") % 2 == bit, F.col("hash")))
     pairs = level.groupBy(F.floor(F.col("idx") / 2).alias("idx")).agg(side(0).alias("l"), side(1).alias("r"))
-    return pairs.select("idx", node(F.col("l"), F.coalesce("r", _pad(height))).alias("hash"))
+    return pairs.select("idx", node(F.col("l"), F.coalesce("r", _pad(height, digest)), digest).alias("hash"))
 
 
 def levels(leaf_rows: DataFrame, n: int) -> DataFrame:
@@ -64,11 +67,11 @@ def levels(leaf_rows: DataFrame, n: int) -> DataFrame:
     return out
 
 
-def root(leaf_rows: DataFrame, n: int) -> DataFrame:
+def root(leaf_rows: DataFrame, n: int, digest=sha2_256) -> DataFrame:
     """One row: the root ``hash`` of ``n`` leaves, by halving levels."""
     at = leaf_rows.select("idx", "hash")
     for h in range(depth(n)):
-        at = next_level(at, h)
+        at = next_level(at, h, digest)
     return at.select("hash")
 
 

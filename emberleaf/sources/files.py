@@ -12,9 +12,39 @@ from emberleaf.functions import classify, text
 
 SKIPPED = (".zst", ".encf", ".tmp", ".parquet")
 LEAST_BYTES, GZIP_CHARS = 50, 102_400
-# Where assistants keep their files, below the home folder.
-ASSISTANTS = {"claude-code": ".claude", "codex": ".codex", "cursor": ".cursor", "gemini": ".gemini", "windsurf": ".windsurf", "aider": ".aider"}
-
+# Folders and patterns of each assistant's files.
+ASSISTANTS = {
+    "claude": """
+        ~/.claude history.jsonl
+        ~/.claude/projects **/*.jsonl
+        ~/.claude/projects **/*.jsonl.gz
+        ~/.claude/projects **/memory/**/*
+        ~/.claude/debug *.txt
+        ~/.claude/file-history **/*
+        ~/.claude/tasks **/*.json
+        ~/.claude/todos *.json
+        ~/.claude/plans *.md
+        ~/.claude/skills **/*.md
+        ~/.claude settings*.json
+        ~/.claude/paste-cache *
+        ~/.claude/shell-snapshots *.sh
+        ~/.claude/sessions *.json
+        ~/.claude/backups *.json
+        ~/.claude/subagents *.jsonl
+        ~/Library/Caches/claude-cli-nodejs **/*
+    """,
+    "chatgpt": "~/Library/Application Support/com.openai.chat **/*.json",
+    "cursor": "~/.cursor **/*.jsonl",
+    "copilot": "~/.config/github-copilot **/*.json",
+    "openclaw": """
+        ~/.openclaw MEMORY.md
+        ~/.openclaw/memory *.md
+        ~/.openclaw sessions/**/*.jsonl
+        ~/.openclaw context/**/*
+    """,
+    "generic": "~/.local/share/ai-memory *",
+}
+# End of the fixed values.
 
 
 def artifact_schema() -> str:
@@ -83,9 +113,16 @@ def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.trim("value") != "")
 
 
-def installed_assistants(home: str) -> dict[str, str]:
-    """Assistants whose folder exists."""
-    return {name: str(Path(home) / d) for name, d in ASSISTANTS.items() if (Path(home) / d).is_dir()}
+def installed_assistants(home: str) -> dict[str, list[tuple[str, str]]]:
+    """For each assistant with a folder below ``home`` its existing folders and their patterns."""
+    out: dict[str, list[tuple[str, str]]] = {}
+    for name, listing in ASSISTANTS.items():
+        for line in listing.strip().splitlines():
+            folder, pattern = line.strip().rsplit(" ", 1)
+            where = Path(home) / folder.removeprefix("~/")
+            if where.is_dir():
+                out.setdefault(name, []).append((str(where), pattern))
+    return out
 
 
 def under(path: Column, roots: Sequence[str]) -> Column:

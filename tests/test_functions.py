@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
 import math
 
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberleaf.functions import classify as c
 from emberleaf.functions import fingerprint as fp
+from emberleaf.functions import hashes
 from emberleaf.functions import text as t
 from emberleaf.functions import vectors as v
 from emberleaf.operators import fingerprints, governance, graph, lifecycle, merkle, metrics, search, sessions, spatial, supersession, vector_search
@@ -168,6 +170,16 @@ def test_merkle(spark, n):
     assert not path.select(merkle.verify(F.lit("0" * 64), F.col("p"), F.lit(root)).alias("ok")).first()["ok"]
 
 
+def test_other_digests(spark):
+    hashes_ = [hashlib.sha256(bytes([i])).hexdigest() for i in range(3)]
+    leaves = merkle.leaves(spark.createDataFrame(list(enumerate(hashes_)), "i long, h string"), "h", "i", hashes.sha3_256)
+    h = lambda p, *x: hashlib.sha3_256(bytes([p]) + b"".join(x)).digest()
+    a, b, c_ = (h(0, bytes.fromhex(x)) for x in hashes_)
+    assert merkle.root(leaves, 3, hashes.sha3_256).first()["hash"] == h(1, h(1, a, b), h(1, c_, bytes(32))).hex()
+    assert one(spark, hashes.seal(b"k", F.lit("x").cast("binary"))) == hmac.new(b"k", b"x", hashlib.sha3_256).hexdigest()
+    assert len(hashes.derive_key(b"a", b"b", 40)) == 40 and hashes.derive_key(b"a", b"b") != hashes.derive_key(b"a", b"c")
+
+
 def test_graph(spark):
     log = spark.createDataFrame([("s1", x) for x in "abc"] + [("s2", "a"), ("s2", "a")], "session string, item string")
     edges = graph.graph(log, "session", "item")
@@ -274,6 +286,8 @@ def test_files(spark, tmp_path):
     assert files.count(files.scan(spark, str(tmp_path))).first()["n"] == 2
     assert files.scan(spark, str(tmp_path), "*.md", recursive=False).count() == 1
     assert one(spark, files.under(F.lit("/a/b/c"), ["/a/b/"])) and not one(spark, files.under(F.lit("/a/bc"), ["/a/b"]))
+    (tmp_path / ".cursor").mkdir()
+    assert files.installed_assistants(str(tmp_path)) == {"cursor": [(str(tmp_path / ".cursor"), "**/*.jsonl")]}
     (tmp_path / "l.jsonl").write_text('{"a": 1, "b": {"c": 2}}\nbroken\n{"a": "x"}\n')
     sinks.jsonl_to_parquet(spark, str(tmp_path / "l.jsonl"), str(tmp_path / "out"))
     got = {(r["a"], r["b"], r["_raw"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
