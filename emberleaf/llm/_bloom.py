@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits that a filter has at most, 16 MB; bits for each key; bits at which a filter is no use.
+#: Bits that a filter has at most, 16 MB, and for each key.
 MOST, PER_KEY = 1 << 27, 16
 
 
 def partnered(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """``rows`` without most of those whose ``column`` is not in ``keys``, a stored table of one long column.
 
-    All rows with a partner stay. The bits are set by distributed aggregation; their number is bounded. More keys than a filter
-    of that size can tell apart leave ``rows`` as they are.
+    All rows with a partner stay. The bits are set by a distributed aggregation; their number is bounded, and tests read them
+    from a scalar subquery within generated code. More keys than a filter of that size can tell
+    apart leave ``rows`` as they are.
     """
     n = keys.count()
     if n * 2 > MOST:
@@ -27,14 +28,6 @@ def partnered(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     got = set_.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
     words[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
-    shipped = rows.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
-        held = shipped.value
-        hit = np.ones(len(a), bool)
-        for x in (a.to_numpy(), b.to_numpy()):
-            hit &= (held[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
-        return pd.Series(hit)
-
-    return rows.where(maybe(at(F.col(column), 1), at(F.col(column), 2)))
+    held = rows.sparkSession.createDataFrame(pa.table({"words": pa.array([words.view(np.int64)], pa.list_(pa.int64()))})).scalar()
+    test = lambda a: F.call_function("getbit", F.get(held, F.shiftright(a, 6).cast("int")), a.bitwiseAND(63).cast("int")) == 1
+    return rows.where(test(at(F.col(column), 1)) & test(at(F.col(column), 2)))

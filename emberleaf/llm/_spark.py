@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,12 +42,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``f`` over the Arrow batches of ``df``."""
+#: Bytes of an Arrow batch, in the JVM and in a Python worker.
+BATCH_BYTES = 8 << 20
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield from f(batch)
 
-    return df.mapInArrow(run, schema)
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches are held to BATCH_BYTES, so that long texts do not fill a worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(re.sub(r"\D", "", conf.get(key))) <= BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberleaf.llm._spark import stored
+from emberleaf.llm._spark import bounded, stored
 from emberleaf.llm._text import cut, scan
 
 #: Words whose counts are broadcast, words that have classes, and words that the exchange moves.
@@ -77,7 +77,7 @@ def counted(docs: DataFrame, text: str, keys) -> DataFrame:
                     yield tally.drain()
         yield tally.drain()
 
-    return docs.select(F.col(text)).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return bounded(docs).select(F.col(text)).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -276,7 +276,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
     score alike. A model of no texts knows no word.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    frame = docs.select(F.monotonically_increasing_id().alias("row_"), F.col(text).alias("text_"), *keep)
+    frame = bounded(docs).select(F.monotonically_increasing_id().alias("row_"), F.col(text).alias("text_"), *keep)
     rest = frame.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberleaf.llm._spark import bounded
 from emberleaf.llm._text import strings
 
 BINS = 1 << 16
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, text: str, lang: str, key: str, sample_rows: int = SAMP
     language's number of rows; priors are over all rows. More than MAX_LANGUAGES languages are an error, since
     the matrix is broadcast. No labelled rows give a model without languages.
     """
-    known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.crc32(F.concat(F.lit("fit:"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("h"))
+    known = bounded(docs).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.crc32(F.concat(F.lit("fit:"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("h"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -173,7 +174,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     kinds = {"lang_pred": "string", "score": "double"}
     names = [c for c in docs.columns if c not in kinds or c == text]
-    frame = docs.select(*(F.col("`" + c.replace("`", "``") + "`") for c in names))
+    frame = bounded(docs).select(*(F.col("`" + c.replace("`", "``") + "`") for c in names))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

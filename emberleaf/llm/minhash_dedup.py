@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from emberleaf.llm._bloom import partnered
 from emberleaf.llm._graph import components
-from emberleaf.llm._spark import stored
+from emberleaf.llm._spark import bounded, stored
 from emberleaf.llm._text import cut, mix, pair, scan, shingles
 
 VALUES, ORDERS, DEPTH = 64, 16, 4
@@ -217,7 +217,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     links. component_id is the smallest id reachable; a null id counts as the greatest and shows as null. Rows that share an id are one document. Texts count whole.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    known = docs.select(body.alias("text_"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(body).alias("th"))
+    known = bounded(docs).select(body.alias("text_"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(body).alias("th"))
     all_ = stored(known.mapInArrow(_describe(words, 2), "ord long, th long, n long, s1 long, s2 long, sig binary"))
     best = F.min(F.struct("ord", "th", "n", "sig")).alias("r")
     reps = stored(all_.where("n > 0").groupBy("s1", "s2").agg(best).select("s1", "s2", F.col("r.ord").alias("rep"), "r.th", "r.n", "r.sig"))

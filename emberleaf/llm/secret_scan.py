@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberleaf.llm._spark import bounded
+
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}", re.ASCII)
@@ -110,7 +112,7 @@ def find_secrets(docs: DataFrame, text: str = "text", replacement: str | None =
                     kept[names.index(text)] = pa.array([s and masked(s, row, replacement) for s, row in zip(texts, every, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*kept, *out], names=[*names, *kinds])
 
-    frame = docs.select(*quoted)
+    frame = bounded(docs).select(*quoted)
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema), *(f"{k} {v}" for k, v in kinds.items())])
     return frame.mapInArrow(run, schema)
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberleaf.llm._spark import bounded, stored
 from emberleaf.llm._text import cut, mix, prefixes, scan
 
 PREFIXES = (4, 5, 6)
@@ -147,9 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         return empty
     drawn = known.where(F.when(F.col("y") == 1, F.col("u") < sample_rows / sizes[1]).otherwise(F.col("u") < sample_rows / sizes[0]))
     drawn = drawn.groupBy("id").agg(F.max("y").alias("y"))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
-    from emberleaf.llm._spark import stored
-
+    rows = bounded(docs).where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(drawn), "id")
     rows = stored(rows.select("text", "y", (F.crc32(F.concat(F.lit("part:"), F.col("id").cast("string"))) % 3 == 0).alias("hold")).repartition(8))
     sums = {(r["y"], r["hold"]): r["n"] for r in rows.groupBy("y", "hold").agg(F.count("*").alias("n")).collect()}
     if not sums.get((0, False)) or not sums.get((1, False)):
@@ -221,7 +220,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     kinds = {"score": "double", "predicted": "int", "n_tokens": "bigint", "passages": "array<struct<start:bigint,end:bigint,score:double>>"}
     names = [c for c in docs.columns if c not in kinds or c == text]
-    frame = docs.select(*(F.col("`" + c.replace("`", "``") + "`") for c in names))
+    frame = bounded(docs).select(*(F.col("`" + c.replace("`", "``") + "`") for c in names))
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
