@@ -23,10 +23,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberleaf.llm._bloom import partnered
-from emberleaf.llm._spark import stored
+from emberleaf.llm._spark import bounded, stored
 from emberleaf.llm._text import Words, cut, mix, pair, scan
 
 LENGTH = 20
+#: Occurrences below which a window is never treated as a hot one.
+HOT_ROWS = 10_000
 LAST = 2**63 - 1
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -185,15 +187,20 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     if length < 4 or length % 2:
         raise ValueError("length must be even and at least 4")
     half = length // 2
-    known = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text_"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
+    known = bounded(docs).select(F.coalesce(F.col(text), F.lit("")).alias("text_"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"))
     slim = stored(known.mapInArrow(_first_level(half, 2), "ord long, th long, n_words long, sha string, seq long, marks array<struct<h:long,pos:int>>"))
     first = slim.groupBy("sha").agg(F.min("ord").alias("first"))
     flagged = stored(slim.select("ord", "th", "n_words", "sha", "seq").join(first, "sha").withColumn("copy", F.col("ord") > F.col("first")).drop("first"))
 
     marks = slim.select("seq", F.explode("marks").alias("m")).select("seq", "m.h", "m.pos")
     place = F.xxhash64("seq", "pos")
-    repeated = marks.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("h")
-    kept = marks.join(repeated, "h").groupBy("seq").agg(F.collect_set("pos").alias("marks"))
+    repeated = stored(marks.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n")).where("a <> b").select("h", "n"))
+    # a window that makes up a thousandth of all is one of a thousand at most: these few are broadcast, not shuffled
+    least = max(HOT_ROWS, (repeated.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = stored(repeated.where(F.col("n") > least).select("h").withColumn("hot", F.lit(True)))
+    told = marks.join(F.broadcast(hot), "h", "left")
+    rest = told.where("hot is null").join(repeated.where(F.col("n") <= least), "h")
+    kept = told.where("hot").select("seq", "pos").unionByName(rest.select("seq", "pos")).groupBy("seq").agg(F.collect_set("pos").alias("marks"))
     wanted = stored(flagged.where(~F.col("copy")).select("ord", "th", "seq").dropDuplicates(["ord", "th"]).join(kept, "seq").drop("seq"))
     found = stored(partnered(known, "th", wanted.select("th")).join(wanted, ["ord", "th"]).select("text_", "ord", "th", "marks"))
 
