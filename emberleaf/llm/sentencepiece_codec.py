@@ -22,15 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberleaf.llm._spark import bounded
+
 MARK = "▁"
-CACHED_WORDS = 300_000
-CACHED_PAIRS = 1_000_000
+#: Words and pairs of tokens whose answers a worker keeps, some 350 and 150 bytes each.
+CACHED_WORDS, CACHED_PAIRS = 800_000, 300_000
 
 
 class Codec:
     """Encodes as the sentencepiece library does, for BPE models with byte fallback and no text normalisation."""
 
-    def __init__(self, model: bytes) -> None:
+    def __init__(self, model: bytes, cached_words: int = CACHED_WORDS) -> None:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto.FromString(model)
@@ -51,6 +53,7 @@ class Codec:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[int, str, bytes]] = {}
+        self.cached_words = cached_words
 
     def merged(self, s: str) -> list[str]:
         """``s`` by repeatedly merging the best-scored adjacent pair, leftmost first."""
@@ -100,7 +103,7 @@ class Codec:
         ids: list[int] = []
         for t in self.tokens(s):
             ids += [self.ids[t]] if t in self.ids else [self.bytes[b] for b in t.encode()]
-        if len(self.cache) >= CACHED_WORDS:
+        if len(self.cache) >= self.cached_words:
             self.cache.clear()
         got = len(ids), ",".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
         if len(s) <= 64:
@@ -122,21 +125,22 @@ class Codec:
         return out.removeprefix(b" ").decode(errors="replace")
 
 
-_codecs: dict[str, Codec] = {}
+_codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(model: bytes) -> Codec:
+def codec(model: bytes, cached_words: int = CACHED_WORDS) -> Codec:
     """One codec for each model in a Python worker, so that its caches outlive a task."""
-    key = hashlib.sha256(model).hexdigest()
+    key = hashlib.sha256(model).hexdigest(), cached_words
     if key not in _codecs:
-        _codecs[key] = Codec(model)
+        _codecs[key] = Codec(model, cached_words)
     return _codecs[key]
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = True, cached_words: int = CACHED_WORDS) -> DataFrame:
     """``docs`` with columns ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, unless ``ids`` is off, ``ids`` and ``decoded``.
 
-    The model file is read on the driver and sent along; its size does not depend on the data. A
+    The model file is read on the driver and sent along; its size does not depend on the data. A worker keeps the answers of
+    ``cached_words`` words. A
     null text is an empty one and has no ids. Other columns pass through, but for
     such that bear a result's name, which it replaces. Rows are independent: repeated rows and
     ties need no rule, an empty table stays empty, and a long text is encoded whole.
@@ -153,7 +157,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = Tru
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(shipped.value)
+        coder = codec(shipped.value, cached_words)
         for batch in batches:
             col, step = batch.column(kept.index(text)), 256 if ids else 4096
             for lo in range(0, batch.num_rows, step):
@@ -169,7 +173,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = Tru
                 yield pa.RecordBatch.from_arrays([*(part.column(kept.index(c)) for c in names), *(pa.array(c, t) for c, t in zip(columns, extra.values(), strict=True))], names=[*names, *extra])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*map(_name, names)).schema), *(f"{k} {v}" for k, v in kinds.items())])
-    return docs.select(*map(_name, kept)).mapInArrow(run, schema)
+    return bounded(docs).select(*map(_name, kept)).mapInArrow(run, schema)
 
 
 def _name(c: str):
