@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from emberleaf.functions import vectors as v
 TIERS = {"hot": (384, "float"), "warm": (256, "float"), "cold": (128, "int8"), "frozen": (64, "bits")}
 #: Predictions that a tier may give, and least similarity of one.
 LIMITS, LEAST = {"frozen": 50, "cold": 20, "warm": 10, "hot": 5}, 0.25
+#: Rows of one block of a label, of which every two are compared in one task.
+BLOCK_ROWS = 2048
 
 
 def exact(df: DataFrame, key: str, vector: str, query: Sequence[float], k: int) -> DataFrame:
@@ -123,3 +126,41 @@ def bit_search(df: DataFrame, key: str, vector: str, query: Sequence[float], k:
     own = [int("".join("1" if x > 0 else "0" for x in query[i : i + 32]), 2) for i in range(0, len(query), 32)]
     d = v.hamming(v.bits(F.col(vector), strict=True), F.array(*(F.lit(x).cast("long") for x in own)))
     return df.withColumn("distance", d).orderBy("distance", key).limit(k)
+
+
+def label_pairs(df: DataFrame, key: str, label: str, vector: str, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``a`` < ``b`` of one label and ``score``, their cosine, of all pairs where it is above ``least``, which is 0 or more.
+
+    Rows of a label are dealt by a hash of the key into blocks, every two of which meet in a task of their own, so that
+    a large label spreads over many tasks and no pair is left out. Rows without a label and vectors that are zero or hold a null or non-finite
+    component have no pairs.
+    """
+    size = v.norm(F.col(vector))
+    rows = df.where(F.col(label).isNotNull() & (size > 0) & (size < float("inf"))).select(F.col(key).alias("id"), F.col(label).alias("label"), F.size(vector).alias("dim"), v.doubles(F.col(vector)).alias("e"))
+    blocks = rows.groupBy("label", "dim").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n"))
+    dealt = rows.join(blocks, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), "n").cast("int"))
+    met = dealt.select("label", "dim", "id", "e", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    met = met.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "e", "own")
+    kind = df.schema[key].dataType.simpleString()
+    return met.groupBy("label", "dim", "i", "j").applyInArrow(_meet(least), f"a {kind}, b {kind}, score double")
+
+
+def _meet(least: float):
+    def run(key, table):
+        i, j = key[2].as_py(), key[3].as_py()
+        own, ids = table["own"].to_numpy(), table["id"].combine_chunks()
+        e = np.asarray(table["e"].combine_chunks().flatten()).reshape(len(own), -1)
+        e = e / np.linalg.norm(e, axis=1, keepdims=True)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        score = e[left] @ e[right].T
+        r, c = np.nonzero(score > least)
+        a, b = left[r], right[c]
+        value = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        # within one block each pair is met from both sides
+        use = value[a] < value[b] if i == j else value[a] != value[b]
+        a, b, s = a[use], b[use], score[r[use], c[use]]
+        swap = value[a] > value[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "score": s})
+
+    return run

@@ -181,3 +181,10 @@ def label_pairs(spark, sf_dir):
     both = some.join(rows.select(F.col("vec_id").alias("other"), "label", "embedding"), "label").where("vec_id < other")
     score = v.cosine(F.col("e"), F.col("embedding"))
     return both.select("vec_id", "other", score.alias("s")).where("s > 0.2").select("vec_id", "other", F.round("s", 6).alias("score"))
+
+
+@q()
+def label_pairs_all(spark, sf_dir):
+    """All pairs of similar vectors of the same label."""
+    pairs = vs.label_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.2)
+    return pairs.select(F.col("a").alias("vec_id"), F.col("b").alias("other"), F.round("score", 6).alias("score"))

@@ -6,6 +6,8 @@ import hashlib
 import hmac
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from emberleaf.functions import hashes
 from emberleaf.functions import text as t
 from emberleaf.functions import vectors as v
 from emberleaf.operators import fingerprints, governance, graph, lifecycle, merkle, metrics, search, sessions, spatial, supersession, vector_search
+from emberleaf.queries import vectors as queries_of_vectors
 from emberleaf.sources import files, sinks
 
 
@@ -137,6 +140,22 @@ def brute_simhash(words):
     return "".join("1" if x >= 0 else "0" for x in acc) if words else "0" * 256
 
 
+def test_label_pairs(spark, sf):
+    """All pairs of a label by brute force, from many small blocks and as registered."""
+    d = pd.read_parquet(f"{sf}/embeddings.parquet")
+    e = np.stack(d.embedding.to_numpy()).astype(float)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    near = (e @ e.T > 0.2) & (d.label.to_numpy()[:, None] == d.label.to_numpy())
+    ids = d.vec_id.to_numpy()
+    want = {(int(ids[i]), int(ids[j])): (e[i] @ e[j]) for i, j in zip(*np.nonzero(near), strict=True) if ids[i] < ids[j]}
+    blocks = vector_search.label_pairs(spark.read.parquet(f"{sf}/embeddings.parquet"), "vec_id", "label", "embedding", 0.2, block_rows=7)
+    for got in (blocks.collect(), queries_of_vectors.label_pairs_all(spark, sf).collect()):
+        assert len(got) == len(want)
+        assert {tuple(r)[:2]: tuple(r)[2] for r in got} == pytest.approx(want, abs=1e-6)
+    odd = spark.createDataFrame([(1, "x", [1.0, 0.0]), (2, "x", [2.0, 0.1]), (3, "x", [0.0, 0.0]), (4, "x", None), (5, None, [1.0, 0.0]), (6, "y", [1.0, 0.0]), (7, "x", [1.0]), (8, "x", [1.0, None])], "id long, l string, e array<double>")
+    assert [tuple(r)[:2] for r in vector_search.label_pairs(odd, "id", "l", "e", 0.2, block_rows=1).collect()] == [(1, 2)]
+
+
 def test_simhash(spark):
     rows = [(1, "merkle trees verify the merkle content"), (2, ""), (3, None), (4, " ".join(f"word{i % 97}" for i in range(30_000)))]
     got = {r["id"]: r["hex"] for r in fingerprints.simhash_table(spark.createDataFrame(rows, "id long, text string"), "id", "text").select("id", fp.to_hex(F.col("fingerprint")).alias("hex")).collect()}
