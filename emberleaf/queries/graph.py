@@ -64,3 +64,10 @@ def keyword_graph(spark, sf_dir):
     """Conversations that share a rare word, by the Jaccard similarity of their words."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list(t.tokens("text")))).alias("k"))
     return g.keyword_edges(rows, "conv_id", "k", bucket=20).select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
+@q()
+def keyword_graph_all(spark, sf_dir):
+    """Conversations that share a word of at most 200 conversations, by the Jaccard similarity of their words."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list(t.tokens("text")))).alias("k"))
+    return g.keyword_edges(rows, "conv_id", "k").select("a", "b", F.round("overlap", 6).alias("overlap"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from emberleaf.functions import hashes
 from emberleaf.functions import text as t
 from emberleaf.functions import vectors as v
 from emberleaf.operators import fingerprints, governance, graph, lifecycle, merkle, metrics, search, sessions, spatial, supersession, vector_search
+from emberleaf.queries import graph as queries_of_graph
 from emberleaf.queries import vectors as queries_of_vectors
 from emberleaf.sources import files, sinks
 
@@ -216,6 +218,23 @@ def test_graph(spark):
     assert one(spark, w) == pytest.approx(0.6 * 0.2 + 0.4 * 0.5)
 
 
+def test_keyword_graph_all(spark, sf):
+    """Edges by brute force, also those whose shared words are all in 21 to 200 conversations."""
+    sf = sf.replace("0.001", "0.01")
+    sets, holders = {}, {}
+    for r in pd.read_parquet(f"{sf}/conversations.parquet").itertuples():
+        sets.setdefault(r.conv_id, set()).update(re.findall("[a-z0-9]+", (r.text or "").lower()))
+    for i, k in sets.items():
+        for w in k:
+            holders.setdefault(w, []).append(i)
+    near = {(a, b) for h in holders.values() if 2 <= len(h) <= 200 for a in h for b in h if a < b}
+    jaccard = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {p: jaccard(*p) for p in near if jaccard(*p) >= 0.1}
+    assert {(r["a"], r["b"]): r["overlap"] for r in queries_of_graph.keyword_graph_all(spark, sf).collect()} == pytest.approx(want, abs=1e-6)
+    common = spark.createDataFrame([(i, ["word", f"own{i}"]) for i in range(30)], "id long, k array<string>")
+    assert graph.keyword_edges(common, "id", "k").count() == 30 * 29 // 2
+
+
 def test_supersession(spark):
     terms = ["graphql", "rest", "domain:api", "domain:protocol"]
     rows = [("a", "decision", terms, "2026-01-01"), ("b", "decision", terms, "2026-02-01"), ("c", "decision", terms, "2026-03-01"), ("d", "decision", ["kafka", "nats"], "2026-04-01"), ("e", "incident", terms, "2026-05-01"), ("f", None, terms, "2026-06-01"), ("g", "decision", ["rest"], "2026-06-01")]
