@@ -62,4 +62,7 @@ def components(edges: DataFrame) -> DataFrame:
     if met.isEmpty():
         return low.withColumnRenamed("m", "component")
     above = components(met).select(F.col("node").alias("m"), "component")
-    return stored(low.join(above, "m", "left").select("node", F.coalesce("component", "m").alias("component")))
+    out = low.join(above, "m", "left").select("node", F.coalesce("component", "m").alias("component"))
+    # centres that are in no other star, but reach a smaller node through one of their own
+    only = above.withColumnRenamed("m", "node").join(low, "node", "left_anti").select("node", "component")
+    return stored(out.unionByName(only))

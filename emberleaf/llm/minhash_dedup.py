@@ -6,7 +6,8 @@ a prefix tree. Candidates are a document's neighbours in the list, those with th
 prefixes, and the region's centre, the document nearest to the most common values. A large
 region is split at the depth at which its prefixes part, and each part has a centre again. The list is
 range-partitioned by whole signatures and id, so that even one region of a third of all rows
-spreads over tasks; regions that are cut meet again by their ends. Candidates grow in
+spreads over tasks. Regions that are cut meet again by their ends, and each of them has a centre among the rows of all its
+tasks, with which every row of it is a candidate. Candidates grow in
 proportion to documents and are never capped by score.
 
 Links are confirmed on full shingle sets: at first each document's best candidate; then, of the
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ LAST = 2**63 - 1
 
 #: Crowded rows of one task that looks for candidates.
 TASK_ROWS = 20_000
+#: Rows of cut regions that a task holds at once.
+HELD_ROWS = 200_000
 
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
@@ -145,10 +149,10 @@ def _pairs(sig: np.ndarray, tree: np.ndarray, n: np.ndarray, ids: np.ndarray) ->
 
 
 def _candidates(ends: bool):
-    """Candidate pairs of a partition of the sorted list and, with ``ends``, the rows at which regions may go on in the next one."""
+    """Candidate pairs of a partition of the sorted list and, with ``ends``, the rows at which regions may go on in the next one, ``agree`` being the number of their list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches):
+        for k, table in enumerate(_runs(batches)):
             tree = table["tree"].to_numpy()
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), ">u2").reshape(-1, VALUES).astype(np.uint16)
             n, ids, th = (table[c].to_numpy() for c in ("n", "rep", "th"))
@@ -167,7 +171,8 @@ def _candidates(ends: bool):
             if ends:
                 at = np.unique(np.concatenate([np.arange(min(NEAR, len(n))), np.arange(max(0, len(n) - NEAR), len(n)), np.array(centres, np.int64)]).astype(np.int64))
                 none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(th[at]), none, none, none, pa.array(tree[at], pa.int32()), table["sig"].take(pa.array(at)).combine_chunks(), pa.array(n[at])], names=NAMES)
+                list_ = pa.array(np.full(len(at), TaskContext.get().partitionId() << 20 | k))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(th[at]), none, none, list_, pa.array(tree[at], pa.int32()), table["sig"].take(pa.array(at)).combine_chunks(), pa.array(n[at])], names=NAMES)
 
     return run
 
@@ -193,6 +198,143 @@ def _runs(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
+def _keys(sig: np.ndarray, tree: np.ndarray, most: int = VALUES) -> Iterator[tuple[int, np.ndarray]]:
+    """Each depth with the keys of the regions in which turned signatures are at that depth."""
+    key = mix(tree.astype(np.uint64) + np.uint64(1))
+    for k in range(most):
+        key = pair(key, sig[:, k].astype(np.uint64))
+        yield k + 1, key
+
+
+def _cut_regions(ends: DataFrame) -> list[list[tuple[int, int]]]:
+    """For each cut of the sorted list the regions (depth, key) on both of its sides, from the widest."""
+    edge = ends.groupBy("agree").agg(F.min(F.struct("tree", "sig")).alias("lo"), F.max(F.struct("tree", "sig")).alias("hi")).orderBy("lo", "hi").toArrow().to_pylist()
+    out = []
+    for x, y in zip(edge[:-1], edge[1:], strict=True):
+        a, b = (np.frombuffer(r["sig"], ">u2").astype(np.uint16) for r in (x["hi"], y["lo"]))
+        same = VALUES if (a == b).all() else int((a != b).argmax())
+        if x["hi"]["tree"] == y["lo"]["tree"] and same >= DEPTH:
+            out.append([(d, int(k[0])) for d, k in _keys(a[None], np.array([y["lo"]["tree"]]), same) if d >= DEPTH])
+    return out
+
+
+def _of_regions(shared, emit, schema: pa.Schema):
+    """Rows by ``emit(region, sig, rows)`` for the rows of each region of ``shared``, a broadcast map from depth to sorted keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, held, size = shared.value, [], 0
+
+        def done():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), ">u2").reshape(-1, VALUES).astype(np.uint16)
+            for depth, key in _keys(sig, rows["tree"].to_numpy(), max(wanted)):
+                if depth in wanted:
+                    want = wanted[depth]
+                    own = np.flatnonzero(want[np.minimum(np.searchsorted(want, key), len(want) - 1)] == key)
+                    own = own[np.argsort(key[own], kind="stable")]
+                    for part in np.split(own, np.flatnonzero(np.diff(key[own])) + 1):
+                        if len(part):
+                            region = int(key[part[0]])
+                            yield pa.RecordBatch.from_pydict(emit(region, sig[part], rows.take(pa.array(part))), schema=schema)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                size += b.num_rows
+            if size >= HELD_ROWS:
+                yield from done()
+                held, size = [], 0
+        if size:
+            yield from done()
+
+    return run
+
+
+def _signed(region: int) -> int:
+    return int(np.uint64(region).view(np.int64))
+
+
+def _size(region: int, sig: np.ndarray, rows: pa.Table) -> dict:
+    return {"region": [_signed(region)], "c": [len(sig)]}
+
+
+def _common(region: int, sig: np.ndarray, rows: pa.Table) -> dict:
+    """The most common value at each place and how many rows have it."""
+    value, count = np.zeros(VALUES, np.uint16), np.zeros(VALUES, np.int64)
+    for i, c in enumerate(sig.T):
+        v, n = np.unique(c, return_counts=True)
+        value[i], count[i] = v[n.argmax()], n.max()
+    return {"region": [_signed(region)], "value": [value.tobytes()], "c": [count.tobytes()]}
+
+
+def _voted(key, table):
+    """Of one region the value at each place that most rows of all tasks have."""
+    value = np.frombuffer(b"".join(table["value"].to_pylist()), np.uint16).reshape(-1, VALUES)
+    count = np.frombuffer(b"".join(table["c"].to_pylist()), np.int64).reshape(-1, VALUES)
+    most = []
+    for v, c in zip(value.T, count.T, strict=True):
+        own, at = np.unique(v, return_inverse=True)
+        most.append(own[np.bincount(at, c).argmax()])
+    return pa.table({"region": pa.array([key[0].as_py()], pa.int64()), "value": pa.array([np.array(most, np.uint16).tobytes()], pa.binary())})
+
+
+def _nearest(common):
+    """The row that agrees most with the region's common values."""
+
+    def emit(region: int, sig: np.ndarray, rows: pa.Table) -> dict:
+        agree = (sig == common.value[region]).sum(1)
+        best = np.flatnonzero(agree == agree.max())
+        r = rows.take(pa.array(best[[rows["rep"].to_numpy()[best].argmin()]])).to_pylist()[0]
+        return {"region": [_signed(region)], "agree": [int(agree.max())], **{c: [r[c]] for c in ("rep", "th", "n", "sig")}}
+
+    return emit
+
+
+def _to_centre(centres):
+    """Candidate pairs of each row with its region's centre."""
+
+    def emit(region: int, sig: np.ndarray, rows: pa.Table) -> dict:
+        rep, th, n, own = centres.value[region]
+        ids, hashes, size = (rows[c].to_numpy() for c in ("rep", "th", "n"))
+        agree = (sig == own).sum(1)
+        use = (agree >= AGREE) & (ids != rep) & (100 * np.minimum(size, n) >= 80 * np.maximum(size, n))
+        ids, hashes, agree = ids[use], hashes[use], agree[use]
+        low = ids < rep
+        return {"a": np.where(low, ids, rep), "ta": np.where(low, hashes, th), "b": np.where(low, rep, ids), "tb": np.where(low, th, hashes), "agree": agree.astype(np.int64)}
+
+    return emit
+
+
+def _centred(rows: DataFrame, ends: DataFrame) -> DataFrame | None:
+    """Candidate pairs of the centres of all regions that tasks cut with every row of them; None if no region is cut."""
+    ship = rows.sparkSession.sparkContext.broadcast
+    longs = lambda *names: pa.schema([(c, pa.int64()) for c in names])
+    cuts = _cut_regions(ends)
+    if not cuts:
+        return None
+
+    def wanted(regions: set[tuple[int, int]]):
+        return ship({d: np.array(sorted(k for e, k in regions if e == d), np.uint64) for d in {d for d, _ in regions}})
+
+    def per(regions, emit, schema: pa.Schema, kinds: str) -> DataFrame:
+        return rows.mapInArrow(_of_regions(regions, emit, schema), kinds)
+
+    every = {r for c in cuts for r in c}
+    got = per(wanted(every), _size, longs("region", "c"), "region long, c long").groupBy("region").agg(F.sum("c").alias("c")).collect()
+    size = {r["region"]: r["c"] for r in got}
+    # regions of one cut that hold the same rows are one
+    kept = {(d, k) for c in cuts for i, (d, k) in enumerate(c) if not i or size.get(_signed(k)) != size.get(_signed(c[i - 1][1]))}
+    regions = wanted(kept)
+    bytes_ = [pa.field(c, pa.binary()) for c in ("value", "c")]
+    seen = per(regions, _common, longs("region").append(bytes_[0]).append(bytes_[1]), "region long, value binary, c binary")
+    most = seen.groupBy("region").applyInArrow(_voted, "region long, value binary").collect()
+    common = {int(np.int64(r["region"]).view(np.uint64)): np.frombuffer(r["value"], np.uint16) for r in most}
+    nearest = per(regions, _nearest(ship(common)), longs("region", "agree", "rep", "th", "n").append(pa.field("sig", pa.binary())), "region long, agree long, rep long, th long, n long, sig binary")
+    best = nearest.groupBy("region").agg(F.max(F.struct("agree", (-F.col("rep")).alias("o"), "rep", "th", "n", "sig")).alias("r")).select("region", "r.rep", "r.th", "r.n", "r.sig").collect()
+    centres = {int(np.int64(r["region"]).view(np.uint64)): (r["rep"], r["th"], r["n"], np.frombuffer(r["sig"], ">u2").astype(np.uint16)) for r in best}
+    return per(regions, _to_centre(ship(centres)), longs("a", "ta", "b", "tb", "agree"), "a long, ta long, b long, tb long, agree long")
+
+
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,7 +351,7 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, task_rows: int = TASK_ROWS) -> DataFrame:
     """A row for each document: id, ``n_shingles``, ``component_id``, ``kept``, and ``ord`` and ``th`` that tell its id and text.
 
     Documents are linked if their sets of distinct shingles of ``words`` words, A-Z folded, have a Jaccard similarity
@@ -230,11 +372,13 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rows = forest.select(F.explode("trees").alias("tree"), "sig", "rep", "th", "n").mapInArrow(_turned, "tree int, sig binary, rep long, th long, n long")
     order = ["tree", "sig", "rep"]
     size = crowded.agg(F.sum(F.size("trees"))).first()[0] or 0
-    found = stored(rows.repartitionByRange(max(1, -(-size // TASK_ROWS)), *order).sortWithinPartitions(*order).mapInArrow(_candidates(True), PAIRS))
+    found = stored(rows.repartitionByRange(max(1, -(-size // task_rows)), *order).sortWithinPartitions(*order).mapInArrow(_candidates(True), PAIRS))
     # a few rows from either end of each partition
     ends = found.where("tree is not null").select("tree", "sig", F.col("a").alias("rep"), F.col("ta").alias("th"), "n").dropDuplicates(["tree", "rep"])
+    centred = _centred(rows, found.where("tree is not null").select("tree", "sig", "agree"))
     across = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_candidates(False), PAIRS)
-    pairs = stored(found.where("tree is null").unionByName(across).groupBy("a", "ta", "b", "tb").agg(F.max("agree").alias("agree")))
+    candidates = found.where("tree is null").unionByName(across).select("a", "ta", "b", "tb", "agree")
+    pairs = stored((candidates if centred is None else candidates.unionByName(centred)).groupBy("a", "ta", "b", "tb").agg(F.max("agree").alias("agree")))
 
     sides = pairs.select(F.col("a").alias("ord"), F.col("ta").alias("th")).unionByName(pairs.select(F.col("b").alias("ord"), F.col("tb").alias("th"))).distinct()
     sides = stored(sides)

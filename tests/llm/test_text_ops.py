@@ -14,6 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from emberleaf.llm._graph import components
 from emberleaf.llm import class_lm, language_id, minhash_dedup, queries, secret_scan, sentencepiece_codec, source_mix, substring_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -268,6 +269,37 @@ def test_near_duplicates_of_edited_texts(spark):
     assert got == linked_groups(list(texts), near_pairs(texts, 5)[1])
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+def test_components_over_tasks(spark, parts):
+    """Links by brute force however they are dealt; a star's centre may reach a smaller node by way of its members."""
+    rng = np.random.default_rng(parts)
+    links = [(5, 300), (0, 300), *((int(a), int(b)) for a, b in rng.integers(1000, 1100, (70, 2)) if a != b)]
+    want = {i: c for i, c in linked_groups(sorted({x for p in links for x in p}), links).items() if i != c}
+    rdd = spark.sparkContext.parallelize(links, parts)
+    got = components(spark.createDataFrame(rdd, "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
+
+
+def test_near_duplicates_of_a_star_over_tasks(spark, monkeypatch):
+    """Many texts near to one original but not to each other, in more tasks than one."""
+    monkeypatch.setattr(minhash_dedup, "TASK_ROWS", 100)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(600):
+        own = list(base)
+        for at in rng.choice(50, 4, replace=False) * 4:
+            own[at] = f"n{rng.integers(1e12)}"
+        texts[i] = " ".join(own if i != 300 else base)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    more = {"task_rows": 100} if "task_rows" in minhash_dedup.groups.__code__.co_varnames else {}
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.groups(docs, words=4, **more).collect()}
+    sets = {i: shingled(t, 4) for i, t in texts.items()}
+    near = [(300, i) for i in texts if 100 * len(sets[300] & sets[i]) >= 80 * len(sets[300] | sets[i])]
+    want = linked_groups(list(texts), near)
+    assert len(near) == 600 and got == want
+
+
 def test_near_duplicates_edges(odd, none):
     got = minhash_dedup.groups(odd).collect()
     by = {r["doc_id"]: r for r in got}
