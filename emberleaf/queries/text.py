@@ -126,6 +126,13 @@ def sanitized(spark, sf_dir):
     return docs.where(clean & ~bad).select("doc_id", t.sanitize_summary("text").alias("plain"), t.sanitize_query("text").alias("query"), t.contextualize(F.lit("Title"), "text").alias("contextual"), t.format_size("n_chars").alias("size"))
 
 
+@q()
+def sanitized_all(spark, sf_dir):
+    """Texts made safe for a prompt, with size labels, for all documents: lines that look like instructions go."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", t.sanitize_summary("text").alias("plain"), t.sanitize_query("text").alias("query"), t.contextualize(F.lit("Title"), "text").alias("contextual"), t.format_size("n_chars").alias("size"))
+
+
 @q("""
 WITH g AS (SELECT doc_id, CASE WHEN length(text) < 4 THEN [lower(text)] ELSE list_transform(range(1, CAST(length(text) AS BIGINT) - 2), lambda i: substr(lower(text), i, 4)) END AS a FROM documents)
 SELECT doc_id, len(a) AS n_windows, len(list_distinct(a)) AS n_distinct FROM g
