@@ -179,11 +179,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         odds[:-1] = np.log((t + PRIOR * share * np.exp(prior / 2)) / (c + PRIOR * (1 - share) * np.exp(-prior / 2))) - np.log(toxic / clean)
     order = np.argsort(h)
     model = Model(h[order], odds[:-1][order])
-    return _calibrated(model, rows)
+    # the curve is fitted at the ratio of drawn rows; the bias takes it to the ratio of all labelled rows
+    share = {y: min(1.0, sample_rows / n) for y, n in sizes.items()}
+    return _calibrated(model, rows, float(np.log(share[0] / share[1])))
 
 
-def _calibrated(model: Model, rows: DataFrame) -> Model:
-    """``model`` with the extreme-value law of clean texts and the curve, both from rows held back from the counts."""
+def _calibrated(model: Model, rows: DataFrame, shift: float = 0.0) -> Model:
+    """``model`` with the extreme-value law of clean texts and the curve, both from rows held back from the counts; ``shift`` is added to the curve's bias."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,6 +209,7 @@ def _calibrated(model: Model, rows: DataFrame) -> Model:
     # the maximum likelihood of a Gumbel law of known rate gives its location
     model.space = float(1 / np.exp(np.log(np.mean(np.exp(np.clip(-model.rate * best[clean], -300, 0)) * np.maximum(n[clean], 1)))))
     model.slope, model.bias = _logistic(model.level(best, n), y == 1)
+    model.bias += shift
     return model
 
 

@@ -132,6 +132,24 @@ def test_segments_against_brute_force(seed):
     assert all(x == pytest.approx(s[a:b].sum()) for a, b, x in got)
 
 
+def test_toxicity_keeps_the_share_of_toxic_rows(spark):
+    """Scores of a table with one toxic row in ten, of which the fit draws as many as of the clean ones."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(50)]
+    rows = []
+    for i in range(4000):
+        toxic = int(rng.random() < 0.1)
+        own = list(rng.choice(words, 12))
+        if rng.random() < (0.6 if toxic else 0.15):
+            own[5] = "awful"
+        rows.append((i, " ".join(own), toxic))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    for sample_rows in (400, 10_000):
+        model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), sample_rows=sample_rows)
+        mean = toxicity.score(docs.select("doc_id", "text"), model).agg(F.avg("score")).first()[0]
+        assert mean == pytest.approx(0.1, abs=0.05), sample_rows
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (6, 0), (7, 1), (8, 1), (9, 0), (None, 1), (10, None)], "doc_id long, toxic int")
     for model in (toxicity.fit(odd, labels), toxicity.fit(odd, labels.where("toxic = 0")), toxicity.fit(none, labels)):
