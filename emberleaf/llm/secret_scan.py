@@ -51,27 +51,73 @@ def literal_score(value: str) -> float:
     return min(1.0, bits / 24) * (0.6 if mixed < 2 else 1.0)
 
 
+#: Characters of a joined value that are kept as text; of longer ones the counts of characters are.
+KEPT = 4096
+
+
+class Value:
+    """What a name is assigned: its own spans and the values of the constants it joins, by reference, with what their score needs."""
+
+    def __init__(self) -> None:
+        self.spans: list[tuple[int, int]] = []
+        self.of: list[Value] = []
+        self.size, self.text, self.head, self.tail = 0, "", "", ""
+        self.counts: Counter[str] = Counter()
+
+    def add(self, size: int, text: str | None, head: str, tail: str, counts: Counter[str]) -> None:
+        self.size += size
+        self.text = self.text + text if self.size <= KEPT and self.text is not None and text is not None else None
+        self.head, self.tail = (self.head + head)[:2], (self.tail + tail)[-2:]
+        self.counts.update(counts)
+
+    def literal(self, span: tuple[int, int], text: str) -> None:
+        self.spans.append(span)
+        self.add(len(text), text, text[:2], text[-2:], Counter(text))
+
+    def constant(self, value: Value) -> None:
+        self.of.append(value)
+        self.add(value.size, value.text, value.head, value.tail, value.counts)
+
+    def score(self) -> float:
+        """``literal_score`` of the joined text."""
+        if self.text is not None:
+            return literal_score(self.text)
+        every = "".join(self.counts)
+        if any(c.isspace() for c in every) or PLACEHOLDER.match(self.head + every * 12 + self.tail):
+            return 0.0
+        share = [n / self.size for n in self.counts.values()]
+        bits = -sum(p * math.log2(p) for p in share if p) * min(self.size, 1 << 60)
+        mixed = sum(any(f(c) for c in every) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in every)
+        return min(1.0, bits / 24) * (0.6 if mixed < 2 else 1.0)
+
+
 def literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name directly or through constants."""
-    known: dict[str, list[tuple[int, int]]] = {}
+    known: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
+    reached: set[Value] = set()
     for m in PAIR.finditer(text):
-        at, spans = m.end(), []
+        at, own = m.end(), Value()
         while t := TERM.match(text, at):
             k = t.lastindex
             value = t[k]
             if k == 3 and value in known:
-                spans += known[value]
+                own.constant(known[value])
             elif value:
-                spans.append(t.span(k))
+                own.literal(t.span(k), value)
             at = t.end()
             if not (plus := PLUS.match(text, at)):
                 break
             at = plus.end()
-        if spans:
-            known[m[1]] = spans[:64]
-            if name_score(m[1]) >= SENSITIVE and literal_score("".join(text[a:b] for a, b in spans)) >= LOOK:
-                found.update(spans)
+        if own.size:
+            known[m[1]] = own
+            if name_score(m[1]) >= SENSITIVE and own.score() >= LOOK:
+                todo = [own]
+                while todo:
+                    if (one := todo.pop()) not in reached:
+                        reached.add(one)
+                        found.update(one.spans)
+                        todo += one.of
     return sorted(found)
 
 

@@ -188,6 +188,16 @@ def test_assigned_literals(text, want):
     assert [text[a:b] for a, b in secret_scan.literals(text)] == want
 
 
+def test_literals_of_many_pieces():
+    """A key of 100 pieces that reaches its name through a constant, and constants that double 200 times."""
+    pieces = [f"Zx{i:03}Qp" for i in range(100)]
+    text = "part = " + " + ".join(f'"{x}"' for x in pieces) + "\nsame = part\nprivate_key = same"
+    assert [text[a:b] for a, b in secret_scan.literals(text)] == pieces
+    lines = ['c0 = "Zx81Qp0LmN47"', *(f"c{i + 1} = c{i} + c{i}" for i in range(2000)), "api_key = c2000", "color = c7"]
+    text = "\n".join(lines)
+    assert [text[a:b] for a, b in secret_scan.literals(text)] == ["Zx81Qp0LmN47"]
+
+
 def test_secrets_edges(odd, none):
     got = secret_scan.find_secrets(odd, replacement="*")
     assert got.count() == odd.count() and got.where("n_assign is null or base is null or spans is null").isEmpty()
