@@ -1,4 +1,9 @@
-"""Connected components of links between ids."""
+"""Connected components of links between ids.
+
+Each task shrinks its links to stars. While more links remain than one task may hold, nodes toss coins: a node of
+one side joins its smallest neighbour of the other, so that about a quarter of the nodes or more go in a round, whatever
+their shape, and no chain of joins forms. The rest is solved in one task, and the rounds are read backwards.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberleaf.llm._skew import spread
 from emberleaf.llm._spark import stored
 
-HELD = 4_000_000
+#: Links that a task holds at once, and that one task may solve.
+HELD = 1 << 20
 
 
 def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -31,38 +38,55 @@ def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             root = up
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def star(held: list) -> pa.RecordBatch:
-        node, root = smallest(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+def _contract(held: int):
+    """Stars (node, root), root the smallest node, of the links of a task, of about ``held`` at a time."""
+
+    def star(parts: list) -> pa.RecordBatch:
+        node, root = smallest(np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts]))
         return pa.RecordBatch.from_arrays([pa.array(x[node != root]) for x in (node, root)], names=["node", "root"])
 
-    held, n = [], 0
-    for b in batches:
-        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
-        n += b.num_rows
-        if n > HELD:
-            yield star(held)
-            held, n = [], 0
-    if n:
-        yield star(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for b in batches:
+            parts.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            n += b.num_rows
+            if n > held:
+                yield star(parts)
+                parts, n = [], 0
+        if n:
+            yield star(parts)
+
+    return run
+
+
+def _joined(links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Fewer links after one round of coins, and the nodes that went with the neighbours that they joined."""
+    coin = lambda c: F.xxhash64(F.lit(turn), c).bitwiseAND(1)
+    both = links.unionByName(links.select(F.col("root").alias("node"), F.col("node").alias("root")))
+    up = stored(both.where((coin("node") == 0) & (coin("root") == 1)).groupBy("node").agg(F.min("root").alias("up")))
+    first = spread(links, up, ["node"], "left").select(F.coalesce("up", "node").alias("a"), "root")
+    both = spread(stored(first), up.withColumnRenamed("node", "root"), ["root"], "left").select("a", F.coalesce("up", "root").alias("b"))
+    return stored(both.where("a <> b").mapInArrow(_contract(HELD), "node long, root long")), up
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, held: int = HELD) -> DataFrame:
     """``node`` and ``component``, the smallest node that it reaches, for the nodes of ``edges`` that reach a smaller one.
 
-    ``edges`` has two columns of longs without nulls; direction, order and repetition do not matter.
-    Each task shrinks its links to stars. A node in several stars joins their centres; this smaller graph of
-    centres is solved in the same way, until no star meets another.
+    ``edges`` has two columns of longs without nulls; direction, order and repetition do not matter. No links give no rows.
+    ``held`` changes the number of rounds alone.
     """
-    stars = stored(edges.mapInArrow(_contract, "node long, root long"))
-    low = stored(stars.groupBy("node").agg(F.min("root").alias("m")))
-    met = stars.join(low, "node").where("root <> m").select("root", "m")
-    centres = stars.select("root").distinct()
-    met = stored(met.unionByName(low.join(centres, low["node"] == centres["root"]).select("root", "m")).distinct())
-    if met.isEmpty():
-        return low.withColumnRenamed("m", "component")
-    above = components(met).select(F.col("node").alias("m"), "component")
-    out = low.join(above, "m", "left").select("node", F.coalesce("component", "m").alias("component"))
-    # centres that are in no other star, but reach a smaller node through one of their own
-    only = above.withColumnRenamed("m", "node").join(low, "node", "left_anti").select("node", "component")
-    return stored(out.unionByName(only))
+    links, ups = stored(edges.mapInArrow(_contract(HELD), "node long, root long")), []
+    while links.count() > held:
+        links, up = _joined(links, len(ups))
+        ups.append(up)
+    label = stored(links.coalesce(1).mapInArrow(_contract(2 * HELD), "node long, component long"))
+    if not ups:
+        return label
+    for up in reversed(ups):
+        through = spread(up, label.withColumnRenamed("node", "up"), ["up"], "left").select("node", F.coalesce("component", "up").alias("component"))
+        label = stored(label.unionByName(through))
+    # a component's name is so far a node of the last round
+    least = stored(label.groupBy("component").agg(F.min("node").alias("least")).select("component", F.least("component", "least").alias("least")))
+    named = spread(label, least, ["component"]).select("node", F.col("least").alias("component"))
+    centres = least.select(F.col("component").alias("node"), F.col("least").alias("component"))
+    return stored(named.unionByName(centres).where("node <> component"))

@@ -15,30 +15,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; a session that names none, as in tests, gets
-    a temporary one.
+    It is the cluster's ``spark.checkpoint.dir``. A local session that names none, as in tests, gets a temporary one;
+    on a cluster that is an error, since executors do not see each other's folders.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="emberleaf-"))
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="emberleaf-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Removes a query's shuffle files at its end; those of a written table are of no more use.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder: its lineage ends there.
 
     A lost executor then costs a read, not a recomputation. The table goes when the JVM ends; the
-    shuffle files behind it go now, as the driver collects what refers to them.
+    shuffle files behind it go at the end of the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/emberleaf-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where)
-    jvm.System.gc()
+    before = spark.conf.get(CLEANED, "false")
+    spark.conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANED, before)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 

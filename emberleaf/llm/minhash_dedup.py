@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from emberleaf.llm._bloom import partnered
 from emberleaf.llm._graph import components
+from emberleaf.llm._skew import copied, dealt, hot, spread
 from emberleaf.llm._spark import bounded, stored
 from emberleaf.llm._text import cut, mix, pair, scan, shingles
 
@@ -34,7 +35,8 @@ VALUES, ORDERS, DEPTH = 64, 16, 4
 REGION, NEAR = 24, 3
 #: Equal values of 64 below which no pair of Jaccard 0.8 falls, but for one in 10^8.
 AGREE = 32
-LAST = 2**63 - 1
+#: Least number that stands for a null id.
+NULL_ID = 1 << 62
 
 #: Crowded rows of one task that looks for candidates.
 TASK_ROWS = 20_000
@@ -356,10 +358,14 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     Documents are linked if their sets of distinct shingles of ``words`` words, A-Z folded, have a Jaccard similarity
     of ``percent`` or more. A shorter text is one shingle; a null or empty one has none and no
-    links. component_id is the smallest id reachable; a null id counts as the greatest and shows as null. Rows that share an id are one document. Texts count whole.
+    links. component_id is the smallest id reachable. Rows that share an id are one document. Ids are below 2^62; a
+    null id counts as a greater number that the row's text gives, so that only copies share it, and shows as
+    null, as does a component of null ids alone; its copies are kept or not as one. Texts count whole. An empty table
+    gives no rows; other columns, whatever their names, are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    known = bounded(docs).select(body.alias("text_"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("ord"), F.xxhash64(body).alias("th"))
+    own = F.xxhash64(F.lit("id"), body).bitwiseAND(NULL_ID - 1).bitwiseOR(NULL_ID)
+    known = bounded(docs).select(body.alias("text_"), F.coalesce(F.col(key).cast("long"), own).alias("ord"), F.xxhash64(body).alias("th"))
     all_ = stored(known.mapInArrow(_describe(words, 2), "ord long, th long, n long, s1 long, s2 long, sig binary"))
     best = F.min(F.struct("ord", "th", "n", "sig")).alias("r")
     reps = stored(all_.where("n > 0").groupBy("s1", "s2").agg(best).select("s1", "s2", F.col("r.ord").alias("rep"), "r.th", "r.n", "r.sig"))
@@ -373,10 +379,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     order = ["tree", "sig", "rep"]
     size = crowded.agg(F.sum(F.size("trees"))).first()[0] or 0
     found = stored(rows.repartitionByRange(max(1, -(-size // task_rows)), *order).sortWithinPartitions(*order).mapInArrow(_candidates(True), PAIRS))
-    # a few rows from either end of each partition
+    # a few rows from either end of each partition, those of an order together
     ends = found.where("tree is not null").select("tree", "sig", F.col("a").alias("rep"), F.col("ta").alias("th"), "n").dropDuplicates(["tree", "rep"])
     centred = _centred(rows, found.where("tree is not null").select("tree", "sig", "agree"))
-    across = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(_candidates(False), PAIRS)
+    across = ends.repartition(ORDERS, "tree").sortWithinPartitions(*order).mapInArrow(_candidates(False), PAIRS)
     candidates = found.where("tree is null").unionByName(across).select("a", "ta", "b", "tb", "agree")
     pairs = stored((candidates if centred is None else candidates.unionByName(centred)).groupBy("a", "ta", "b", "tb").agg(F.max("agree").alias("agree")))
 
@@ -386,21 +392,27 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     texts = texts.dropDuplicates(["ord", "th"])
 
     def confirmed(p: DataFrame) -> DataFrame:
+        """The links among pairs ``p``, a stored table; a text of many pairs goes to several tasks."""
         one = texts.select(F.col("ord").alias("b"), F.col("th").alias("tb"), F.col("text_").alias("y"))
         two = texts.select(F.col("ord").alias("a"), F.col("th").alias("ta"), F.col("text_").alias("x"))
-        return p.select("a", "ta", "b", "tb").join(one, ["b", "tb"]).join(two, ["a", "ta"]).select("a", "b", "x", "y").mapInArrow(_confirm(words, percent), "a long, b long")
+        left, right = (["a", "ta"], hot(p, ["a", "ta"]), "u_"), (["b", "tb"], hot(p, ["b", "tb"]), "v_")
+        both = dealt(dealt(p, *left), *right).join(copied(one, *right), ["b", "tb", "v_"]).join(copied(two, *left), ["a", "ta", "u_"])
+        return both.select("a", "b", "x", "y").mapInArrow(_confirm(words, percent), "a long, b long")
 
     # each document's best candidate, the smaller id at a tie
     rank = lambda other: F.struct("agree", (-F.col(other)).alias("o"), "a", "ta", "b", "tb").alias("p")
     top = pairs.select(F.col("a").alias("x"), rank("b")).unionByName(pairs.select(F.col("b").alias("x"), rank("a"))).groupBy("x").agg(F.max("p").alias("p")).select("p.a", "p.ta", "p.b", "p.tb").distinct()
+    top = stored(top)
     links = stored(confirmed(top))
     # rows of one id with different sets, or copies of a set
-    same = all_.where("n > 0").select("s1", "s2", "ord").join(reps.select("s1", "s2", "rep"), ["s1", "s2"]).where("ord <> rep").select(F.col("ord").alias("a"), F.col("rep").alias("b"))
-    label = components(links.unionByName(same))
+    same = spread(all_.where("n > 0").select("s1", "s2", "ord"), reps.select("s1", "s2", "rep"), ["s1", "s2"]).where("ord <> rep").select(F.col("ord").alias("a"), F.col("rep").alias("b"))
+    links = stored(links.unionByName(same))
+    label = components(links)
     near = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    left = pairs.join(near("a"), "a", "left").join(near("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    more = stored(confirmed(left.join(top, ["a", "ta", "b", "tb"], "left_anti")))
+    named = spread(stored(spread(pairs, near("a"), ["a"], "left")), near("b"), ["b"], "left")
+    apart = named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "ta", "b", "tb")
+    more = stored(confirmed(stored(apart.join(top, ["a", "ta", "b", "tb"], "left_anti"))))
     if not more.isEmpty():
-        label = components(links.unionByName(same).unionByName(more))
+        label = components(links.unionByName(more))
     out = all_.join(label, all_["ord"] == label["node"], "left").withColumn("c", F.coalesce("component", "ord"))
-    return out.select(F.when(F.col("ord") < LAST, F.col("ord")).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("c") < LAST, F.col("c")).alias("component_id"), (F.col("c") == F.col("ord")).alias("kept"), "ord", "th")
+    return out.select(F.when(F.col("ord") < NULL_ID, F.col("ord")).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("c") < NULL_ID, F.col("c")).alias("component_id"), (F.col("c") == F.col("ord")).alias("kept"), "ord", "th")

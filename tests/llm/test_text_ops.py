@@ -297,20 +297,62 @@ def test_near_duplicates_of_edited_texts(spark):
     assert got == linked_groups(list(texts), near_pairs(texts, 5)[1])
 
 
-@pytest.mark.parametrize("parts", [1, 2, 7, 40])
-def test_components_over_tasks(spark, parts):
+def dealt_links(spark, links, parts):
+    return spark.createDataFrame(spark.sparkContext.parallelize([(int(a), int(b)) for a, b in links], parts), "a long, b long")
+
+
+@pytest.mark.parametrize(("parts", "held"), [(1, 1 << 20), (8, 1 << 20), (64, 1 << 20), (8, 20)])
+def test_components_over_tasks(spark, parts, held):
     """Links by brute force however they are dealt; a star's centre may reach a smaller node by way of its members."""
     rng = np.random.default_rng(parts)
-    links = [(5, 300), (0, 300), *((int(a), int(b)) for a, b in rng.integers(1000, 1100, (70, 2)) if a != b)]
+    links = [(5, 300), (0, 300), *((int(a), int(b)) for a, b in rng.integers(1000, 1200, (140, 2)) if a != b)]
     want = {i: c for i, c in linked_groups(sorted({x for p in links for x in p}), links).items() if i != c}
-    rdd = spark.sparkContext.parallelize(links, parts)
-    got = components(spark.createDataFrame(rdd, "a long, b long")).collect()
+    got = components(dealt_links(spark, links, parts), held).collect()
     assert {r["node"]: r["component"] for r in got} == want and len(got) == len(want)
 
 
-def test_near_duplicates_of_a_star_over_tasks(spark, monkeypatch):
+def test_components_of_a_chain(spark, monkeypatch):
+    """Rounds grow with the logarithm of a chain, and a hot node is dealt over tasks."""
+    from emberleaf.llm import _graph, _skew
+
+    rounds, plain = [], _graph._joined
+    monkeypatch.setattr(_graph, "_joined", lambda *a: rounds.append(1) or plain(*a))
+    monkeypatch.setattr(_skew, "HOT_ROWS", 8)
+    rng = np.random.default_rng(0)
+    links = [(i, i + 1) for i in rng.permutation(3000)] + [(9000, i) for i in range(8000, 8200)]
+    got = {r["node"]: r["component"] for r in components(dealt_links(spark, links, 32), held=200).collect()}
+    assert got == {i: 0 for i in range(1, 3001)} | {i: 8000 for i in [*range(8001, 8200), 9000]}
+    assert len(rounds) <= 14
+
+
+def test_near_duplicates_through_a_third(spark):
+    """C is near A and B, which are not near each other, in many tasks."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = {}
+        for g in range(60):
+            base = [f"g{g}w{i}" for i in range(60)]
+            texts[3 * g + 2] = " ".join(base)
+            texts[3 * g] = " ".join([f"g{g}x", *base[3:]])
+            texts[3 * g + 1] = " ".join([*base[:-3], f"g{g}y"])
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(list(texts.items()), 8), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.groups(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == linked_groups(list(texts), near_pairs(texts, 5)[1]) and len(set(got.values())) == 60
+
+
+def test_near_duplicates_with_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = spark.createDataFrame([(5, a), (9, b), (None, a), (None, b), (None, "c d e f g h"), (None, "c d e f g h")], "doc_id long, text string")
+    got = sorted((str(r["doc_id"]), r["component_id"] or 0, r["kept"]) for r in minhash_dedup.groups(rows).collect())
+    assert got == [("5", 5, True), ("9", 9, True), ("None", 0, True), ("None", 0, True), ("None", 5, False), ("None", 9, False)]
+
+
+def test_near_duplicates_of_a_star_over_tasks(spark):
     """Many texts near to one original but not to each other, in more tasks than one."""
-    monkeypatch.setattr(minhash_dedup, "TASK_ROWS", 100)
     rng = np.random.default_rng(4)
     base = [f"w{i}" for i in range(200)]
     texts = {}
@@ -320,8 +362,7 @@ def test_near_duplicates_of_a_star_over_tasks(spark, monkeypatch):
             own[at] = f"n{rng.integers(1e12)}"
         texts[i] = " ".join(own if i != 300 else base)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    more = {"task_rows": 100} if "task_rows" in minhash_dedup.groups.__code__.co_varnames else {}
-    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.groups(docs, words=4, **more).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.groups(docs, words=4, task_rows=100).collect()}
     sets = {i: shingled(t, 4) for i, t in texts.items()}
     near = [(300, i) for i in texts if 100 * len(sets[300] & sets[i]) >= 80 * len(sets[300] | sets[i])]
     want = linked_groups(list(texts), near)
