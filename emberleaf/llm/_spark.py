@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from pyspark.sql import DataFrame, SparkSession
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Least number that stands for a null id.
+NULL_ID = 1 << 62
+
+
+def numbered(key: Column, *told_by: Column) -> Column:
+    """``key`` as a long, a null one as a number from NULL_ID that ``told_by`` gives, so that only rows alike in these share it."""
+    return F.coalesce(key.cast("long"), F.xxhash64(F.lit("id"), *told_by).bitwiseAND(NULL_ID - 1).bitwiseOR(NULL_ID))
+
+
 #: Bytes of an Arrow batch, in the JVM and in a Python worker.
 BATCH_BYTES = 8 << 20
 

@@ -46,8 +46,12 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _POWERS = mix(np.arange(1, 4097, dtype=np.uint64) * _A) | np.uint64(1)
 
 
-def _powers(n: int) -> np.ndarray:
-    return _POWERS if n <= len(_POWERS) else mix(np.arange(1, n + 1, dtype=np.uint64) * _A) | np.uint64(1)
+_OTHER_POWERS = mix(np.arange(1, 4097, dtype=np.uint64) * _B) | np.uint64(1)
+
+
+def _powers(n: int, other: bool = False) -> np.ndarray:
+    known = _OTHER_POWERS if other else _POWERS
+    return known if n <= len(known) else mix(np.arange(1, n + 1, dtype=np.uint64) * (_B if other else _A)) | np.uint64(1)
 
 
 @dataclass
@@ -89,10 +93,11 @@ def strings(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def scan(col: pa.Array, lower: bool = False, hashes: bool = True, letters: bool = False) -> Words:
+def scan(col: pa.Array, lower: bool = False, hashes: bool = True, letters: bool = False, other: bool = False) -> Words:
     """The words of each text of ``col``; ``lower`` folds A-Z before hashing.
 
-    With ``letters``, ASCII characters other than letters and digits part words too.
+    With ``letters``, ASCII characters other than letters and digits part words too. ``other`` gives hashes that are
+    independent of the usual ones.
     """
     data, off = strings(col)
     n = len(data)
@@ -113,7 +118,7 @@ def scan(col: pa.Array, lower: bool = False, hashes: bool = True, letters: bool
         value = (_LOWER if lower else _EXACT)[data[start[0] :]]
         if letters:
             value[space[start[0] :]] = 0
-        value *= _powers(longest)[np.minimum(at, longest - 1, out=at)]
+        value *= _powers(longest, other)[np.minimum(at, longest - 1, out=at)]
         out.hash = mix(np.add.reduceat(value, start - start[0]) + (end - start).astype(np.uint64) * _A)
     return out
 

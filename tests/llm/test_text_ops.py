@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -198,6 +199,17 @@ def test_literals_of_many_pieces():
     assert [text[a:b] for a, b in secret_scan.literals(text)] == ["Zx81Qp0LmN47"]
 
 
+@pytest.mark.parametrize("unit", ["a", "aB3+/", "ab.", "a ", "a=", 'a="', "a:'", "token ", "password=", "AKIA", "0f", "k=v+", "\\"], ids=repr)
+def test_secrets_in_linear_time(unit):
+    """A megabyte of one unbroken run, or of one piece of syntax again and again."""
+    began = time.perf_counter()
+    secret_scan.scan_text("x=1 " + unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - began < 10
+    began = time.perf_counter()
+    secret_scan.scan_text("a" * 1_000_000 + " b:c")
+    assert time.perf_counter() - began < 1
+
+
 def test_secrets_edges(odd, none):
     got = secret_scan.find_secrets(odd, replacement="*")
     assert got.count() == odd.count() and got.where("n_assign is null or base is null or spans is null").isEmpty()
@@ -466,6 +478,26 @@ def test_substring_dedup_of_repetitive_texts(spark):
         assert not out or got[i]["kept_text"] == kept
 
 
+@pytest.mark.parametrize("length", [4, 40, 64])
+def test_substring_dedup_of_other_lengths(spark, length):
+    """One doubling and several, with passages of all lengths around the one asked for."""
+    assert substring_dedup.levels(length) == {4: [2, 4], 20: [10, 20], 40: [10, 20, 40], 64: [8, 16, 32, 64]}[length]
+    rng = np.random.default_rng(length)
+    passages = [[f"p{k}w{i}" for i in range(n)] for k, n in enumerate((length - 1, length, length + 1, 2 * length + 3, 12, 25))]
+    docs = {i: " ".join(w for _ in range(6) for w in [f"d{i}n{rng.integers(1e9)}", *passages[int(rng.integers(6))]]) for i in range(40)}
+    frame = spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_sha256"] for r in substring_dedup.dedup(frame, length=length).collect()}
+    assert got == {i: sha(" ".join(w for k, w in enumerate(words) if k not in out)) for i, (words, out) in removed(docs, length).items()}
+
+
+def test_substring_dedup_of_null_ids(spark):
+    """Rows without an id come last, each distinct text as a document of its own."""
+    part = " ".join(f"w{i}" for i in range(25))
+    rows = [(None, part), (None, part), (None, part + " x"), (None, "y " + part), (3, part + " z")]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == [(0, 25, 25), (0, 25, 25), (0, 26, 25), (0, 26, 25), (3, 26, 0)]
+
+
 def test_substring_dedup_edges(odd, none):
     got = substring_dedup.dedup(odd).collect()
     assert len(got) == odd.count()
