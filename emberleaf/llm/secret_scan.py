@@ -25,7 +25,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}", re.ASCII)
 HEX = re.compile(r"[0-9a-f]{24,}", re.ASCII)
 
-PAIR = re.compile(r"""([A-Za-z_][A-Za-z0-9_.\-]*)["'\]]{0,2}[ \t]*(?::=|=>|=(?!=)|:(?!//))""", re.ASCII)
+#: A name is sought once in each run of its characters, never from within, so that long runs take linear time.
+PAIR = re.compile(r"""(?<![A-Za-z0-9_.\-])[0-9.\-]*+([A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]{0,2}[ \t]*+(?::=|=>|=(?!=)|:(?!//))""", re.ASCII)
 TERM = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_$./+~-]+=*))""", re.ASCII)
 PLUS = re.compile(r"[ \t]*\+(?!\+)", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
