@@ -6,10 +6,14 @@ single precision; callers measure what they return again in double.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberleaf.llm._spark import numbered
+
 BATCH = 1024
 
 
@@ -145,7 +149,55 @@ def insert(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, rows: np.ndarray
         lo += len(own)
 
 
-LAST = 2**63 - 1
+def connect(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, rows: np.ndarray, start: int) -> np.ndarray:
+    """``graph`` with links, in further columns if need be, so that a walk from ``start`` can reach all ``rows``.
+
+    A row that no walk reaches gets a link from the nearest of up to BATCH rows that one does.
+    """
+    seen = np.zeros(len(x), bool)
+
+    def walk(first: int) -> None:
+        front = np.array([first])
+        seen[first] = True
+        while len(front):
+            near = graph[front].ravel()
+            near = np.unique(near[near >= 0])
+            front = near[~seen[near]]
+            seen[front] = True
+
+    walk(start)
+    rng = np.random.default_rng(1)
+    while len(lost := rows[~seen[rows]]):
+        one = int(lost[0])
+        reached = rows[seen[rows]]
+        own = reached if len(reached) <= BATCH else rng.choice(reached, BATCH, replace=False)
+        own = own[np.argsort(norms[own] - 2 * x[own] @ x[one], kind="stable")]
+        free = (graph[own] < 0).any(1)
+        if not free.any():
+            graph = np.concatenate([graph, np.full((len(graph), 1), -1, graph.dtype)], 1)
+            free[:] = True
+        at = own[free.argmax()]
+        graph[at, (graph[at] < 0).argmax()] = one
+        walk(one)
+    return graph
+
+
+#: Rows whose distances one matrix product takes for the price of one that a beam gathers.
+GATHER = 8
+#: Distances that one matrix product holds.
+BLOCK = 1 << 23
+
+
+def cheaper_exactly(width: int, degree: int, size: int) -> bool:
+    """Whether comparing a query with all rows costs no more than a beam of ``width``."""
+    return width * degree * GATHER >= size
+
+
+def slices(queries: int, size: int) -> Iterator[slice]:
+    """Query ranges whose products with all rows hold at most BLOCK distances, one query at least."""
+    step = max(1, BLOCK // max(1, size))
+    for lo in range(0, queries, step):
+        yield slice(lo, lo + step)
 
 
 def usable(vectors: Column) -> Column:
@@ -155,11 +207,17 @@ def usable(vectors: Column) -> Column:
 
 
 def vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``id`` (a null one as the greatest), ``v`` in double precision, its length ``dim`` and a 128-bit ``h1``, ``h2``; only usable ones."""
-    v = F.transform(F.col(vector), lambda c: c.cast("double") + F.lit(0.0))
-    rows = df.where(usable(F.col(vector))).select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), v.alias("v"))
-    return rows.withColumn("dim", F.size("v")).withColumn("h1", F.xxhash64(F.lit(1), "v")).withColumn("h2", F.xxhash64(F.lit(2), "v"))
+    """A row for each row of ``df``: ``id``, ``v`` in double precision, its length ``dim`` and a 128-bit ``h1``, ``h2``, null for an unusable vector.
+
+    A null id is a number from NULL_ID that the vector gives, so that only equal vectors share it.
+    """
+    v = F.when(usable(F.col(vector)), F.transform(F.col(vector), lambda c: c.cast("double") + F.lit(0.0)))
+    rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v"))
+    hashed = lambda k: F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(k), "v"))
+    rows = rows.withColumn("dim", F.when(F.col("v").isNotNull(), F.size("v"))).withColumn("h1", hashed(1)).withColumn("h2", hashed(2))
+    return rows.withColumn("id", numbered(F.col("id"), F.col("h1"), F.col("h2")))
 
 
-def shards(rows: int, least: int, most_rows: int) -> int:
-    return max(least, -(-rows // most_rows))
+def shards(size: int, least: int, most: int) -> int:
+    """How many parts of about ``most`` hold ``size``, ``least`` at least."""
+    return max(least, -(-size // most))

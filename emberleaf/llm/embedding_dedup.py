@@ -1,16 +1,19 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs per shard.
 
-Equal vectors are one. Vectors are dealt to shards by a hash; each shard is one task's graph of layers. Every
+Equal vectors are one. Vectors are dealt to shards of bounded bytes by a hash; each shard is one task's graph of layers. Every
 vector is searched in every shard: from the top layer greedily down, then by a beam in the
-lowest layer. A beam that holds links only is widened, at last to the whole shard. For each block
-of queries a sample is compared with all of the shard; if links are missing, the block is searched
-again with a beam twice as wide. Links are measured in double precision. A task sends counts
-and the stars of its links, never pairs.
+lowest layer. A beam that holds links only is widened, at last to the whole shard.
+
+Two audits set the width of beams, which doubles until neither misses a link. When a graph is built it must find rows
+from queries made at all cosines from the threshold up, so an audit has links however few the
+data have; and of each block of queries a sample is compared with the whole shard. Links near the threshold are
+measured in double precision. A task sends counts and the stars of its links, never pairs.
 """
 
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberleaf.llm._graph import components, smallest
-from emberleaf.llm._proximity import BATCH, LAST, beam, insert, shards, vectors
-from emberleaf.llm._spark import stored
+from emberleaf.llm._proximity import BATCH, beam, cheaper_exactly, connect, insert, shards, slices, vectors
+from emberleaf.llm._skew import spread
+from emberleaf.llm._spark import NULL_ID, stored
 
 THRESHOLD = 0.95
-#: Least number of shards, and rows of one shard and one block of queries.
-SHARDS, SHARD_ROWS, QUERY_ROWS = 8, 250_000, 32_768
-DEGREE, BUILD, WIDTH, AUDIT, RECALL = 24, 48, 32, 48, 1.0
+#: Least number of shards, and bytes of the vectors of one shard and of one block of queries.
+SHARDS, SHARD_BYTES, QUERY_BYTES = 8, 64 << 20, 16 << 20
+DEGREE, BUILD, WIDTH = 24, 48, 32
+#: Queries made for the audit of a graph, and queries of a block that are compared with the whole shard.
+PLANTED, AUDIT = 256, 48
+#: Links that a task holds before it shrinks them to stars.
+HELD = 1 << 20
 
 
 class Layers:
@@ -41,7 +49,7 @@ class Layers:
             graph = np.full((len(x), DEGREE), -1, np.int32)
             above = list(self.graphs)
             insert(x, self.norms, graph, self.rows[: int((level >= k).sum())], lambda own, above=above: self.descend(x[own], above), BUILD, 1.0)
-            self.graphs.append(graph)
+            self.graphs.append(connect(x, self.norms, graph, self.rows[: int((level >= k).sum())], int(self.rows[0])))
 
     def descend(self, q: np.ndarray, graphs: list[np.ndarray]) -> np.ndarray:
         """First rows of a search in the layer below ``graphs``."""
@@ -55,43 +63,52 @@ class Layers:
         return beam(self.x, self.norms, self.graphs[-1], q, self.descend(q, self.graphs[:-1]), min(width, len(self.x)))
 
 
-def within(index: Layers, q: np.ndarray, low: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) whose single-precision cosine is ``low`` or more, of unit vectors."""
-    out = []
-    todo = np.arange(len(q))
+def margin(dim: int) -> float:
+    """How far a cosine in single precision may be off."""
+    return 2.0**-22 * (dim + 16)
+
+
+def within(index: Layers, q: np.ndarray, low: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs (query, row) found by beams of ``width`` and more, with single-precision cosines of at least ``low``, of unit vectors."""
     size = len(index.x)
-    while len(todo):
-        again = []
-        for lo in range(0, len(todo), BATCH):
-            part = todo[lo : lo + BATCH]
-            if width >= size or width > 8 * WIDTH:
-                r, c = np.nonzero(q[part] @ index.x.T >= low)
-            else:
-                ids, d = index.search(q[part], width)
-                hit = d <= 1 - 2 * low
-                full = hit.all(1)
-                again.append(part[full])
-                hit[full] = False
-                r, c = np.nonzero(hit)
-                c = ids[r, c]
-            out.append((part[r], c))
-        todo = np.concatenate(again) if again else todo[:0]
-        width *= 4
-    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
-
-
-def block(index: Layers, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block of queries, with beams widened until its audit finds every link."""
-    low, width = threshold - 1e-4, WIDTH
-    probe = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    true = q[probe] @ index.x.T >= low
-    while True:
-        a, b = within(index, q, low, width)
-        at = np.searchsorted(probe, a)
-        hit = (at < len(probe)) & (probe[np.minimum(at, len(probe) - 1)] == a)
-        if width >= len(index.x) or hit.sum() >= RECALL * true.sum():
-            return a, b
+    full = []
+    exact = width >= size
+    for lo in range(0, 0 if exact else len(q), BATCH):
+        ids, d = index.search(q[lo : lo + BATCH], width)
+        hit = d <= 1 - 2 * low
+        more = hit.all(1)
+        full.append(np.flatnonzero(more) + lo)
+        hit[more] = False
+        r, c = np.nonzero(hit)
+        yield r + lo, ids[r, c], (1 - d[r, c]) / 2
+    todo = np.arange(len(q)) if exact else np.concatenate([*full, np.zeros(0, np.int64)])
+    if not exact and len(todo) and not cheaper_exactly(4 * width, DEGREE, size):
+        for r, c, cos in within(index, q[todo], low, 4 * width):
+            yield todo[r], c, cos
+        return
+    for part in slices(len(todo), size):
+        cos = q[todo[part]] @ index.x.T
+        r, c = np.nonzero(cos >= low)
+        yield todo[part][r], c, cos[r, c]
+
+
+def complete(index: Layers, q: np.ndarray, low: float, width: int) -> int:
+    """The least width, ``width`` doubled as often as need be, at which no link of ``q`` is missed."""
+    true = sum(int((q[part] @ index.x.T >= low).sum()) for part in slices(len(q), len(index.x)))
+    while width < len(index.x) and sum(len(r) for r, _, _ in within(index, q, low, width)) < true:
         width *= 2
+    return width
+
+
+def planted(x: np.ndarray, low: float) -> np.ndarray:
+    """Unit vectors at cosines from ``low`` to 1 to rows of ``x``."""
+    rng = np.random.default_rng(2)
+    own = x[np.unique(np.linspace(0, len(x) - 1, min(PLANTED, len(x))).astype(int))]
+    c = low + (1 - low) * rng.random((len(own), 1))
+    away = rng.standard_normal(own.shape)
+    away -= (away * own).sum(1, keepdims=True) * own
+    away /= np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-30)
+    return _unit(c * own + np.sqrt(1 - c * c) * away)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -102,38 +119,53 @@ def _matrix(col: pa.ChunkedArray, n: int) -> np.ndarray:
     return np.asarray(col.combine_chunks().flatten()).reshape(n, -1)
 
 
-def _build(key, table):
-    table = table.sort_by("id")
-    v = _matrix(table["v"], len(table))
-    scale = np.abs(v).max(1, keepdims=True)
-    data = pickle.dumps((table["id"].to_numpy(), table["copies"].to_numpy(), v / scale, Layers(_unit(v / scale))))
-    return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+def _build(threshold: float):
+    def run(key, table):
+        table = table.sort_by("id")
+        v = _matrix(table["v"], len(table))
+        v = v / np.abs(v).max(1, keepdims=True)
+        index = Layers(_unit(v))
+        low = threshold - margin(v.shape[1])
+        width = complete(index, planted(index.x, low), low, WIDTH)
+        data = pickle.dumps((table["id"].to_numpy(), table["copies"].to_numpy(), v, index, width))
+        return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    return run
 
 
 def _search(threshold: float):
     def run(_key, left, right):
         ids, n, roots = (np.zeros(0, np.int64) for _ in range(3))
         if len(left) and len(right):
-            own, copies, v, index = pickle.loads(left["data"][0].as_py())
+            own, copies, v, index, width = pickle.loads(left["data"][0].as_py())
             right = right.sort_by("id")
             qid, q = right["id"].to_numpy(), _matrix(right["v"], len(right))
+            del right
             q = q / np.abs(q).max(1, keepdims=True)
-            a, b = block(index, _unit(q), threshold)
-            other = qid[a] != own[b]
-            a, b = a[other], b[other]
-            for lo in range(0, len(a), 1 << 16):
-                x, y = q[a[lo : lo + (1 << 16)]], v[b[lo : lo + (1 << 16)]]
-                cos = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-                bad = cos < threshold
-                a[lo : lo + (1 << 16)][bad] = -1
-            a, b = a[a >= 0], b[a >= 0]
-            if len(a):
-                links = np.bincount(a, copies[b], len(qid)).astype(np.int64)
-                node, root = smallest(qid[a], own[b])
-                found = np.unique(a)
-                ids = np.concatenate([qid[found], node])
-                n = np.concatenate([links[found], np.zeros(len(node), np.int64)])
-                roots = np.concatenate([qid[found], root])
+            unit, off = _unit(q), margin(q.shape[1])
+            low = threshold - off
+            probe = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
+            width = complete(index, unit[probe], low, width)
+            links, held, stars = np.zeros(len(q)), 0, []
+            for a, b, cos in within(index, unit, low, width):
+                near = np.flatnonzero(cos < threshold + off)
+                ok = qid[a] != own[b]
+                for lo in range(0, len(near), 1 << 16):
+                    at = near[lo : lo + (1 << 16)]
+                    x, y = q[a[at]], v[b[at]]
+                    ok[at] &= (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= threshold
+                a, b = a[ok], b[ok]
+                links += np.bincount(a, copies[b], len(q))
+                stars.append((qid[a], own[b]))
+                held += len(a)
+                if held > HELD:
+                    stars = [smallest(*map(np.concatenate, zip(*stars, strict=True)))]
+                    held = 0
+            found = np.flatnonzero(links)
+            node, root = smallest(*map(np.concatenate, zip(*stars, strict=True))) if stars else (ids, ids)
+            ids = np.concatenate([qid[found], node])
+            n = np.concatenate([links[found].astype(np.int64), np.zeros(len(node), np.int64)])
+            roots = np.concatenate([qid[found], root])
         return pa.table({"id": ids, "n": n, "root": roots})
 
     return run
@@ -144,30 +176,26 @@ def groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", thresh
 
     Two vectors of one length are linked if their cosine in double precision is ``threshold`` or more. Vectors that are null, zero,
     or hold a null or non-finite component, have no links. n_links counts rows, copies included;
-    component_id is the smallest id reachable. A null id counts as the greatest and shows as null; rows that
-    share an id are vectors of their own in n_links and one in components.
+    component_id is the smallest id reachable. Ids are below 2^62; a null id counts as a greater number that the vector
+    gives, so that only equal vectors share it, and shows as null, as does a component of null ids alone. Rows that
+    share an id are vectors of their own in n_links and one in components. An empty table gives no rows; other columns, whatever
+    their names, are not read.
     """
-    rows = stored(vectors(df, key, vector).select("id", "v", "dim", "h1", "h2"))
+    every = stored(vectors(df, key, vector))
+    rows = every.where("dim is not null")
     one = stored(rows.groupBy("dim", "h1", "h2").agg(F.min("id").alias("id"), F.min("v").alias("v"), F.count("*").alias("copies")))
-    total = one.count()
-    number, parts = shards(total, SHARDS, SHARD_ROWS), shards(total, 1, QUERY_ROWS)
+    total = one.agg(F.sum("dim")).first()[0] or 0
+    number, parts = shards(8 * total, SHARDS, SHARD_BYTES), shards(8 * total, 1, QUERY_BYTES)
     shard = F.pmod("h1", F.lit(number)).cast("int")
-    index = stored(one.withColumn("shard", shard).select("dim", "shard", "id", "copies", "v").groupBy("dim", "shard").applyInArrow(_build, "dim int, shard int, data binary"))
-    every = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = one.withColumn("part", F.pmod("h2", F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
+    index = stored(one.withColumn("shard", shard).select("dim", "shard", "id", "copies", "v").groupBy("dim", "shard").applyInArrow(_build(threshold), "dim int, shard int, data binary"))
     by = ["dim", "shard", "part"]
-    found = stored(every.select(*by, "data").groupBy(*by).cogroup(asked.select(*by, "id", "v").groupBy(*by)).applyInArrow(_search(threshold), "id long, n long, root long"))
-    label = components(found.where("id <> root").select("id", "root").unionByName(rows.join(one.select("dim", "h1", "h2", F.col("id").alias("root")), ["dim", "h1", "h2"]).where("id <> root").select("id", "root")))
+    indices = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = one.withColumn("part", F.pmod("h2", F.lit(parts)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(number - 1))))
+    found = stored(indices.select(*by, "data").groupBy(*by).cogroup(asked.select(*by, "id", "v").groupBy(*by)).applyInArrow(_search(threshold), "id long, n long, root long"))
+    same = ["dim", "h1", "h2"]
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    size = rows.select("dim", "h1", "h2", F.col("id").alias("own")).join(one.select("dim", "h1", "h2", "id", "copies"), ["dim", "h1", "h2"]).join(links, "id", "left").select("own", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    size = size.groupBy(F.col("own").alias("id"), "h1", "h2").agg(F.max("n_links").alias("n_links"))
-    plain = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), F.when(usable_(vector), F.transform(F.col(vector), lambda c: c.cast("double") + F.lit(0.0))).alias("v"))
-    plain = plain.select("id", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v")).alias("h1"), F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(2), "v")).alias("h2"))
-    out = plain.join(size, ["id", "h1", "h2"], "left").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
-    return out.select(F.when(F.col("id") < LAST, F.col("id")).alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("c") < LAST, F.col("c")).alias("component_id"), (F.col("c") == F.col("id")).alias("kept"))
-
-
-def usable_(vector: str):
-    from emberleaf.llm._proximity import usable
-
-    return usable(F.col(vector))
+    sizes = one.select(*same, F.col("id").alias("root"), "copies").join(links.withColumnRenamed("id", "root"), "root", "left").select(*same, "root", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = stored(spread(every.drop("v"), stored(sizes), same, "left").select("id", "root", "n_links"))
+    label = components(found.where("id <> root").select("id", "root").unionByName(out.where("id <> root").select("id", "root")))
+    out = out.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    return out.select(F.when(F.col("id") < NULL_ID, F.col("id")).alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("c") < NULL_ID, F.col("c")).alias("component_id"), (F.col("c") == F.col("id")).alias("kept"))

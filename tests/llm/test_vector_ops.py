@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from emberleaf.llm import embedding_dedup, nearest_neighbours, queries
+from emberleaf.llm import _proximity, embedding_dedup, nearest_neighbours, queries
 from pyspark.sql import functions as F
 
 
@@ -96,3 +96,48 @@ def test_nearest_neighbours_edges(spark):
     assert {r["query_id"] for r in got} == {1, 2, 10, 11, 12}
     assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 1), key=lambda r: r["rank"])] == [2, 10, 12, 11]
     assert nearest_neighbours.search(frame.where("false"), F.lit(True)).isEmpty()
+
+
+def test_embedding_dedup_of_sparse_pairs(spark):
+    """Few links among many vectors that are far from each other."""
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(12_000, 32))
+    for i in range(60):
+        a = v[i] / np.linalg.norm(v[i])
+        away = rng.normal(size=32)
+        away -= (away @ a) * a
+        c = 0.94 + 0.001 * i
+        v[6000 + i] = 3 * (c * a + np.sqrt(1 - c * c) * away / np.linalg.norm(away))
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.groups(frame).collect()}
+    assert got == linked(list(range(len(v))), v)
+    assert sum(n for n, _ in got.values()) >= 90
+
+
+def test_embedding_dedup_with_null_ids(spark):
+    rows = [(4, [1.0, 0.0]), (None, [2.0, 0.0]), (7, [0.0, 1.0]), (None, [0.0, 3.0]), (None, [-1.0, 0.0]), (None, None)]
+    got = embedding_dedup.groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0, r["kept"]) for r in got) == [(0, 0, 0, True), (0, 0, 0, True), (0, 1, 4, False), (0, 1, 7, False), (4, 1, 4, True), (7, 1, 7, True)]
+
+
+def test_walks_reach_islands():
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(size=(50, 4)) + c for c in (0, 100, 200)]).astype(np.float32)
+    graph = np.concatenate([(np.arange(150)[:, None] // 50 * 50 + rng.integers(0, 50, (150, 3)))]).astype(np.int32)
+    graph = _proximity.connect(x, (x * x).sum(1), graph, np.arange(150), 0)
+    seen, front = {0}, [0]
+    while front:
+        front = [int(j) for i in front for j in graph[i] if j >= 0 and j not in seen and not seen.add(int(j))]
+    assert len(seen) == 150
+
+
+def test_audits_widen_beams():
+    """Vectors without structure, on which a narrow beam finds too little."""
+    rng = np.random.default_rng(1)
+    x, q = rng.normal(size=(5000, 128)).astype(np.float32), rng.normal(size=(300, 128)).astype(np.float32)
+    index = nearest_neighbours.Graph(x)
+    true = index.exact(q, 10)
+    share = lambda found: (true[:, :, None] == found[:, None, :10]).any(2).mean()
+    assert share(index.search(q, 20)) < 0.9
+    assert share(index.search(q, index.audited(q, 10, 20))) >= 0.95
+    assert (index.exact(q, 10) == np.argsort((x * x).sum(1) - 2 * q @ x.T, 1, kind="stable")[:, :10]).all()
