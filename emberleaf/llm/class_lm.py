@@ -1,14 +1,17 @@
 """Language-model scoring with Brown classes.
 
-Exchange clustering over all training text puts the most frequent words into classes: a word moves
-to the class that raises the likelihood of class bigrams most. Less frequent words get, by
-one more such step, the class that fits their neighbours' classes. A token's probability is a
-class transition, smoothed to class frequencies, times the word's emission from its class. All
-other words, unseen ones included, share a class of their own with add-half emissions. A transition
-starts from the last token whose class is not that one.
-
-Counts are over all training text. Words are told by 64-bit hashes. Counts of the TABLE most
-frequent words are broadcast; those of the others are joined.
+Exchange clustering puts words into classes: a word moves to the class that raises the likelihood of class
+bigrams most. The most frequent words are exchanged one by one with all counts up to date. Then all words that
+training text has twice or more are placed, and exchanged on, in rounds over the corpus, in which many words
+move at once by the counts of the round before; a round that lowers the likelihood is undone. The number of
+classes grows with the root of the number of words. A token's probability is a class transition, smoothed to class
+frequencies, times the word's emission from its class. Words seen once, and unseen ones, share a class of their
+own with add-half emissions, as do the rarest beyond TABLE words; a transition starts from the last token whose class
+is not that one.
+
+Counts are over all training text. Words are told by 64-bit hashes. Training text is read twice, for counts and to
+replace words by their ranks; all rounds read the ranks. Counts and classes of the TABLE most
+frequent words are broadcast, a few tens of MB whatever the input; counts of the others are joined.
 """
 
 from __future__ import annotations
@@ -21,16 +24,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberleaf.llm._skew import spread
 from emberleaf.llm._spark import bounded, stored
 from emberleaf.llm._text import cut, scan
 
-#: Words whose counts are broadcast, words that have classes, and words that the exchange moves.
-TABLE, CLASSED, EXCHANGED = 1 << 18, 1 << 15, 2048
-CLASSES, PASSES = 48, 8
+#: Words that are broadcast with their classes, words that are exchanged one by one, and the most classes.
+TABLE, SEEDS, MOST_CLASSES = 1 << 20, 2048, 256
+#: Passes over the seeds, and rounds over all words: the first places them, the others exchange half of them each.
+PASSES, ROUNDS = 4, 3
+#: Logarithms that a step of a round holds.
+CELLS = 1 << 22
 END = np.uint64(0x454E44)
 TRANSITION_PRIOR = 20.0
 
 
+def classes(words: int) -> int:
+    """How many classes a vocabulary of so many words gets."""
+    return int(min(MOST_CLASSES, max(4, round(words**0.5 / 3))))
+
+
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the tokens of all texts, an END after each text's words, and offsets."""
     w = scan(col, lower=True)
@@ -80,27 +92,43 @@ def counted(docs: DataFrame, text: str, keys) -> DataFrame:
     return bounded(docs).select(F.col(text)).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
+def _tallied(df: DataFrame, keys) -> DataFrame:
+    """Sums over all rows of ``df``, with one list of ranks, of how often each key in ``keys(ranks, offsets)`` occurs, as ``k`` and ``n``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for b in batches:
+            if b.num_rows:
+                col = b.column(0)
+                off = col.offsets.to_numpy().astype(np.int64)
+                tally.add(keys(col.flatten().to_numpy().astype(np.int64), off - off[0]))
+                if tally.full():
+                    yield tally.drain()
+        yield tally.drain()
+
+    return df.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
 @dataclass
 class Table:
-    """Sorted word hashes and, for each, its count and class."""
+    """Sorted word hashes and their ranks: 0 for the end of a text, then from the most frequent word."""
 
     keys: np.ndarray
-    count: np.ndarray
-    cls: np.ndarray
+    rank: np.ndarray
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Rows of ``h`` in the table, -1 for words that it lacks."""
-        if not len(self.keys):
-            return np.full(len(h), -1)
+        """Ranks of ``h``; words that the table lacks have the number of its words."""
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, at, -1)
+        return np.where(self.keys[at] == h, self.rank[at], len(self.keys))
 
 
 @dataclass
 class Model:
-    """log_step[g, c] and log_emit (one for each row of the table) are log10; the last class holds all words without one."""
+    """count, cls and log_emit are by rank; log_step[g, c] and log_emit are log10; the last two classes hold text ends and words without a class."""
 
     table: Table
+    count: np.ndarray
+    cls: np.ndarray
     log_step: np.ndarray
     log_emit: np.ndarray
     tokens: int
@@ -112,6 +140,15 @@ class Model:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
 
 
+def _h(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """The part of the logarithmic likelihood of class bigrams that depends on classes."""
+    return float(_h(pairs).sum() - _h(pairs.sum(1)).sum() - _h(pairs.sum(0)).sum())
+
+
 def exchange(n: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
     """Classes of the words with bigram counts ``n`` that raise the likelihood of class bigrams.
 
@@ -119,11 +156,10 @@ def exchange(n: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
     """
     size = len(n) - 2
     cls = np.concatenate([np.arange(size) % classes, [classes, classes + 1]])
-    every = classes + 2
-    one = np.eye(every)[cls]
+    one = np.eye(classes + 2)[cls]
     right, left = n @ one, n.T @ one
     pairs = one.T @ right
-    h = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+    diagonal = np.arange(classes)
     for _ in range(passes):
         moved = 0
         for w in range(size):
@@ -133,12 +169,14 @@ def exchange(n: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
             pairs[a, a] += own
             out[a] -= own
             into[a] -= own
-            rows, cols = pairs.sum(1), pairs.sum(0)
-            gain = (h(pairs + out) - h(pairs)).sum(1) + (h(pairs + into[:, None]) - h(pairs)).sum(0)
-            self_pair = np.diag(pairs)
-            gain += h(self_pair + out + into + own) - h(self_pair + out) - h(self_pair + into) + h(self_pair)
-            gain -= h(rows + out.sum() + own) - h(rows) + h(cols + into.sum() + own) - h(cols)
-            b = int(gain[:classes].argmax())
+            rows, cols = pairs.sum(1)[:classes], pairs.sum(0)[:classes]
+            c, g = np.flatnonzero(out), np.flatnonzero(into)
+            after, before = pairs[:classes, c], pairs[g, :classes]
+            gain = (_h(after + out[c]) - _h(after)).sum(1) + (_h(before + into[g, None]) - _h(before)).sum(0)
+            self_pair, x, y = pairs[diagonal, diagonal], out[:classes], into[:classes]
+            gain += _h(self_pair + x + y + own) - _h(self_pair + x) - _h(self_pair + y) + _h(self_pair)
+            gain -= _h(rows + out.sum() + own) - _h(rows) + _h(cols + into.sum() + own) - _h(cols)
+            b = int(gain.argmax())
             if gain[b] <= gain[a] + 1e-9:
                 b = a
             pairs[b] += out
@@ -155,6 +193,52 @@ def exchange(n: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
     return cls[:size]
 
 
+def gains(pairs: np.ndarray, own_class: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How much the likelihood gains, but for a constant of each word, as words join each class, all others staying where they are.
+
+    Of ``word``, ascending from 0, ``n`` counts its bigrams of ``code``: c after class c, ``every`` + c before class c, and
+    2 * ``every`` with itself, which count in both others too.
+    """
+    every = len(pairs)
+    size, to = len(own_class), every - 2
+    twin, counts = np.zeros(size), np.zeros((2, size, every))
+    same = code == 2 * every
+    twin[word[same]] = n[same]
+    counts[code[~same] // every, word[~same], code[~same] % every] = n[~same]
+    counts[:, np.arange(size), own_class] -= twin
+    placed = np.flatnonzero(own_class < to)
+    mine = own_class[placed]
+    out = np.zeros((size, to))
+    for side, matrix, sums in ((0, pairs[:, :to], pairs.sum(0)[:to]), (1, pairs[:to].T, pairs.sum(1)[:to])):
+        w, c = np.nonzero(counts[side])
+        m = counts[side, w, c]
+        for lo in range(0, len(w), max(1, CELLS // every)):
+            part = slice(lo, lo + max(1, CELLS // every))
+            base, at = matrix[c[part]].copy(), np.arange(len(w[part]))  # by the class joined, without the word itself
+            a = own_class[w[part]]
+            has = a < to
+            base[at[has], a[has]] -= m[part][has]
+            home = c[part] == a
+            base[home] -= counts[1 - side, w[part][home], :to]
+            home &= has
+            base[at[home], a[home]] -= twin[w[part][home]]
+            base = np.maximum(base, 0)
+            first = np.flatnonzero(np.diff(w[part], prepend=-1))
+            out[w[part][first]] += np.add.reduceat(_h(base + m[part][:, None]) - _h(base), first)
+        total = (counts[side].sum(1) + twin)[:, None]
+        base = np.repeat(sums[None], size, 0)
+        base[placed, mine] -= total[placed, 0]
+        base = np.maximum(base, 0)
+        out -= _h(base + total) - _h(base)
+    left, right = counts[0, :, :to], counts[1, :, :to]
+    both = np.flatnonzero(((left > 0) & (right > 0)).any(1) | (twin > 0))
+    base = np.repeat(np.diag(pairs)[None, :to], size, 0)
+    base[placed, mine] -= left[placed, mine] + right[placed, mine] + twin[placed]
+    base, left, right = np.maximum(base[both], 0), left[both], right[both]
+    out[both] += _h(base + left + right + twin[both][:, None]) - _h(base + left) - _h(base + right) + _h(base)
+    return out
+
+
 def _matrix(rows: pa.Table, shape: tuple[int, int]) -> np.ndarray:
     out = np.zeros(shape[0] * shape[1])
     out[rows["k"].to_numpy()] = rows["n"].to_numpy()
@@ -168,18 +252,6 @@ def _before(off: np.ndarray, ids: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The most frequent words of ``counts``, at most ``most``: all whose count is above a bound found from a histogram."""
-    step = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.log2("n") * 256) + 1024).cast("long")
-    room, low = most, None
-    for r in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():  # some thousands of rows, whatever the input
-        room -= r["count"]
-        if room < 0:
-            break
-        low = r["s"]
-    return counts.where(step >= low) if low is not None else counts.limit(0)
-
-
 def _steps(cls: np.ndarray, off: np.ndarray, end: int, rare: int) -> np.ndarray:
     """The class that each token's transition starts from: the last one that is not ``rare``."""
     at = np.where(cls != rare, np.arange(len(cls)), -1)
@@ -189,83 +261,118 @@ def _steps(cls: np.ndarray, off: np.ndarray, end: int, rare: int) -> np.ndarray:
     return np.where(prev >= start, cls[prev], end)
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The most frequent words of ``counts``, about ``most`` where there are more.
+
+    A histogram of counts tells from which on all words fit. Of those of the next step as many as fit go along, by a hash.
+    """
+    step = F.when(F.col("n") < 4096, F.col("n")).otherwise(F.floor(F.log2("n") * 256) + 1024).cast("long")
+    room = most
+    for r in counts.groupBy(step.alias("s")).count().orderBy(F.desc("s")).collect():  # some thousands of rows, whatever the input
+        if r["count"] > room:
+            part = F.pmod(F.xxhash64(F.lit("part"), "k"), F.lit(1 << 20)) < int((1 << 20) * 0.98 * room / r["count"])
+            return counts.where((step > r["s"]) | ((step == r["s"]) & part))
+        room -= r["count"]
+    return counts
+
+
 def fit(train: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """A model of all texts of ``train``, null ones as empty, and the stored counts of all words."""
+    """A model of all texts of ``train``, null ones as empty, and the stored counts of all words. No texts give a model that knows no word."""
+    ship = train.sparkSession.sparkContext.broadcast
     counts = stored(counted(train, text, lambda h, off: h))
-    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = frequent(counts, TABLE).toArrow()
+    totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("k") == int(END), F.col("n"))).alias("ends")).first()
+    top = frequent(counts.where((F.col("k") != int(END)) & (F.col("n") > 1)), TABLE - 1).toArrow()
     keys, n = top["k"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    order = np.lexsort((keys, -n, keys != END))  # text ends first, then by frequency
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.arange(len(keys))
-    order = np.argsort(keys)
-    table = Table(keys[order], n[order], rank[order])  # for now the class is the rank
-    size, rare, end = EXCHANGED, EXCHANGED + 1, EXCHANGED
-
-    def ids(h: np.ndarray, most: int) -> np.ndarray:
-        """Ranks from 0 without text ends; ``most`` is a text end, ``most + 1`` any other word."""
-        at = table.find(h)
-        r = np.where(at >= 0, table.cls[at] if len(table.cls) else 0, TABLE) - 1
-        return np.where(h == END, most, np.where((r >= 0) & (r < most), r, most + 1))
-
-    def bigrams(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-        x = ids(h, size)
-        return (_before(off, x, end) * (size + 2) + x).astype(np.uint64)
-
-    found = exchange(_matrix(counted(train, text, bigrams).toArrow(), (size + 2, size + 2)), CLASSES)
-    every = CLASSES + 2
-    first = np.concatenate([found, [CLASSES, CLASSES + 1]])
-
-    def neighbours(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-        x, c = ids(h, CLASSED), first[ids(h, size)]
-        prev = _before(off, c, CLASSES)
-        nxt = np.append(c[1:], CLASSES)
-        more = (x >= size) & (x < CLASSED)
-        left, right = more & (prev <= CLASSES), more & (nxt <= CLASSES)
-        return np.concatenate([x[left] * (2 * every) + prev[left], x[right] * (2 * every) + every + nxt[right]]).astype(np.uint64)
-
-    def classes(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-        c = first[ids(h, size)]
-        return (_before(off, c, CLASSES) * every + c).astype(np.uint64)
-
-    step = _matrix(counted(train, text, classes).toArrow(), (every, every)) + 0.1
-    forward = np.log(step / step.sum(1, keepdims=True))
-    emit = np.log(step.sum(0))
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((keys, -n))
+    keys, count = np.concatenate([[END], keys[order]]), np.concatenate([[totals["ends"] or 0], n[order]])
+    size = len(keys)
+    by_hash = np.argsort(keys)
+    table = Table(keys[by_hash], by_hash.astype(np.int32))
+    to = classes(size)
+    every, end, rare = to + 2, to, to + 1
+    shipped = ship(table)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, best = b.column(0), []
-            for sides in b.column(1).to_pylist():
-                gain = np.zeros(every)
-                total = 0
-                for s in sides:
-                    side, g = divmod(s["side"], every)
-                    gain += s["n"] * (forward[:, g] if side else forward[g])
-                    total += s["n"]
-                best.append(int((gain - total / 2 * emit)[:CLASSES].argmax()))
-            yield pa.RecordBatch.from_arrays([words, pa.array(best, pa.int64())], names=["w", "c"])
-
-    near = counted(train, text, neighbours).select(F.floor(F.col("k") / (2 * every)).alias("w"), F.struct((F.col("k") % (2 * every)).alias("side"), "n").alias("s"))
-    joined = near.groupBy("w").agg(F.collect_list("s").alias("s")).mapInArrow(choose, "w long, c long").toArrow()
-    final = np.full(TABLE + 1, CLASSES + 1)
-    final[:size] = found
-    final[joined["w"].to_numpy()] = joined["c"].to_numpy()
-    table.cls = np.where(table.keys == END, CLASSES, final[np.maximum(table.cls - 1, 0)])
-
-    def chain(h: np.ndarray, off: np.ndarray) -> np.ndarray:
-        at = table.find(h)
-        c = np.where(at >= 0, table.cls[at] if len(table.cls) else 0, CLASSES + 1)
-        return (_steps(c, off, CLASSES, CLASSES + 1) * every + c).astype(np.uint64)
-
-    step = _matrix(counted(train, text, chain).toArrow(), (every, every))
+            for lo, hi in cut(b.column(0)):
+                h, off = tokens(b.column(0).slice(lo, hi - lo))
+                ranks = pa.array(shipped.value.find(h).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), ranks)], names=["ranks"])
+
+    ranks = bounded(stored(bounded(train).select(F.col(text)).mapInArrow(encode, "ranks array<int>")))
+
+    seeds = min(SEEDS, size - 1)
+    cell = np.full(size + 1, seeds + 1)
+    cell[0], cell[1 : seeds + 1] = seeds, np.arange(seeds)
+
+    def bigrams(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+        c = cell[x]
+        return (_before(off, c, seeds) * (seeds + 2) + c).astype(np.uint64)
+
+    cls = np.full(size + 1, rare)
+    cls[0] = end
+    cls[1 : seeds + 1] = exchange(_matrix(_tallied(ranks, bigrams).toArrow(), (seeds + 2, seeds + 2)), to)
+
+    codes, best, before = 2 * every + 1, -np.inf, cls
+    for turn in range(ROUNDS):
+        moves = np.arange(size + 1) % 2 == turn % 2 if turn else cls == rare
+        moves[[0, size]] = False
+        if not moves.any():
+            break
+        known = ship((cls, moves))
+
+        def contexts(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+            cls, moves = known.value  # noqa: B023
+            c = cls[x]
+            prev, use = _before(off, c, end), np.flatnonzero(moves[x])
+            twin = use[(_before(off, x, 0)[use] == x[use])]
+            w = x[use] * codes
+            return np.concatenate([w + prev[use], w + every + c[use + 1], x[twin] * codes + 2 * every, (size + 1) * codes + prev * every + c]).astype(np.uint64)
+
+        seen = stored(_tallied(ranks, contexts))
+        pairs = _matrix(seen.where(F.col("k") >= (size + 1) * codes).select((F.col("k") - (size + 1) * codes).alias("k"), "n").toArrow(), (every, every))
+        now = likelihood(pairs)
+        if now < best:
+            cls = before
+            break
+        best, before = now, cls
+        state = ship((cls, pairs))
+
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cls, pairs = state.value  # noqa: B023
+            for b in batches:
+                for lo in range(0, b.num_rows, 2048):
+                    words, lists = b.column(0).slice(lo, 2048).to_numpy(), b.column(1).slice(lo, 2048)
+                    word = np.repeat(np.arange(len(words)), np.diff(lists.offsets.to_numpy()))
+                    flat = lists.flatten()
+                    own = cls[words]
+                    gain = gains(pairs, own, word, flat.field("code").to_numpy(), flat.field("n").to_numpy())
+                    new = gain.argmax(1)
+                    stay = np.flatnonzero(own < to)
+                    stay = stay[gain[stay, new[stay]] <= gain[stay, own[stay]] + 1e-9]
+                    new[stay] = own[stay]
+                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(new)], names=["w", "c"])
+
+        near = seen.where(F.col("k") < (size + 1) * codes).select(F.floor(F.col("k") / codes).cast("long").alias("w"), F.struct((F.col("k") % codes).alias("code"), "n").alias("s"))
+        new = near.groupBy("w").agg(F.collect_list("s").alias("s")).mapInArrow(choose, "w long, c long").toArrow()  # a row for each word of the table
+        cls = cls.copy()
+        cls[new["w"].to_numpy()] = new["c"].to_numpy()
+
+    final = ship(cls)
+
+    def chain(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+        c = final.value[x]
+        return (_steps(c, off, end, rare) * every + c).astype(np.uint64)
+
+    step = _matrix(_tallied(ranks, chain).toArrow(), (every, every))
     share = (step.sum(0) + 0.5) / (step.sum() + 0.5 * every)
     log_step = np.log10((step + TRANSITION_PRIOR * share) / (step.sum(1, keepdims=True) + TRANSITION_PRIOR))
-    per = np.bincount(table.cls, table.count, every) if len(table.cls) else np.zeros(every)
+    cls = cls[:size]
+    per = np.bincount(cls, count, every)
     tokens_, words_ = int(totals["n"] or 0), int(totals["v"])
-    kept = table.cls != CLASSES + 1
-    rare_tokens, rare_words = tokens_ - int(per[: CLASSES + 1].sum()), words_ - int(kept.sum())
-    emit10 = np.where(kept, np.log10(np.maximum(table.count, 1) / np.maximum(per[table.cls], 1)), np.log10((table.count + 0.5) / (rare_tokens + 0.5 * (rare_words + 1))))
-    return Model(table, log_step, emit10, tokens_, words_, rare_tokens, rare_words), counts
+    rare_tokens, rare_words = tokens_ - int(per[:rare].sum()), words_ - int(((cls != rare) & (count > 0)).sum())
+    emit = np.where(cls != rare, np.log10(np.maximum(count, 1) / np.maximum(per[cls], 1)), np.log10((count + 0.5) / (rare_tokens + 0.5 * (rare_words + 1))))
+    return Model(table, count, cls, log_step, emit, tokens_, words_, rare_tokens, rare_words), counts
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: tuple[Column, ...] = ()) -> DataFrame:
@@ -273,44 +380,41 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
 
     Scores are log10 probabilities of whole texts with their end, base_score by add-half word
     frequencies. A null text is an empty one: its only token is the end. Repeated rows
-    score alike. A model of no texts knows no word.
+    score alike, ties need no rule, and an empty table gives no rows. Kept columns that bear a result's name give way to it; other names do not matter.
     """
+    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
-    frame = bounded(docs).select(F.monotonically_increasing_id().alias("row_"), F.col(text).alias("text_"), *keep)
-    rest = frame.columns[2:]
+    names = docs.select(*keep).columns
+    kept = [(c, name) for c, name in zip(keep, names, strict=True) if name not in results]
+    frame = bounded(docs).select(F.monotonically_increasing_id().alias("row_"), F.col(text).alias("text_"), *(c.alias(f"keep_{i}") for i, (c, _) in enumerate(kept)))
+    columns, more = [c for c in frame.columns if c != "text_"], len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shipped.value
-        base = m.base(m.table.count)
+        every, size = len(m.log_step), len(m.count)
+        base = np.append(m.base(m.count), 0.0)
+        emit, cls, seen = np.append(m.log_emit, 0.0), np.append(m.cls, every - 1), np.append(m.count > 0, False)
         for b in batches:
             for lo, hi in cut(b.column(1)):
                 h, off = tokens(b.column(1).slice(lo, hi - lo))
-                at = m.table.find(h)
-                known, doc = at >= 0, np.repeat(np.arange(hi - lo), np.diff(off))
-                c = np.where(known, m.table.cls[at] if len(base) else 0, CLASSES + 1)
-                c[h == END] = CLASSES
-                step = m.log_step[_steps(c, off, CLASSES, CLASSES + 1), c]
-                s, z, n = step.copy(), np.zeros(len(h)), known.astype(float)
-                if len(base):
-                    s[known] += m.log_emit[at[known]]
-                    z[known] = base[at[known]]
-                elif len(h):
-                    z[h == END] = m.base(0)
-                pairs = np.stack([doc[~known].astype(np.uint64), h[~known]], 1)
-                if not len(base):
-                    pairs = pairs[pairs[:, 1] != END]
+                x = m.table.find(h)
+                c = cls[x]
+                s = m.log_step[_steps(c, off, every - 2, every - 1), c] + emit[x]
+                doc = np.repeat(np.arange(hi - lo), np.diff(off))
+                new = x == size
+                pairs = np.stack([doc[new].astype(np.uint64), h[new]], 1)
                 one, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
                 ends = np.searchsorted(one[:, 0], np.arange(hi - lo + 1).astype(np.uint64)).astype(np.int32)
                 words = pa.StructArray.from_arrays([pa.array(one[:, 1].copy().view(np.int64)), pa.array(times)], names=["k", "times"])
-                sums = [np.add.reduceat(x, off[:-1]) for x in (z, s, n)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(b.column(i + 2).slice(lo, hi - lo) for i in range(len(rest))), pa.array(np.diff(off)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends), words)], names=["row_", *rest, "n_tokens", "z", "s", "known", "other"])
+                sums = [np.add.reduceat(v, off[:-1]) for v in (base[x], s, seen[x].astype(float))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(b.column(i + 2).slice(lo, hi - lo) for i in range(more)), pa.array(np.diff(off)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends), words)], names=[*columns, "n_tokens", "z", "s", "known", "other"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.drop("text_").schema), "n_tokens long, z double, s double, known double, other array<struct<k:long,times:long>>"])
     rows = stored(frame.mapInArrow(run, schema))
-    other = rows.where(F.size("other") > 0).select("row_", F.explode("other").alias("o")).select("row_", "o.k", "o.times")
+    other = stored(rows.where(F.size("other") > 0).select("row_", F.explode("other").alias("o")).select("row_", "o.k", "o.times"))
     n = F.coalesce("n", F.lit(0))
     log = lambda of, words: F.log10((n + 0.5) / (of + 0.5 * (words + 1)))
-    added = other.join(counts, "k", "left").groupBy("row_").agg(F.sum(F.col("times") * log(model.tokens, model.words)).alias("z_"), F.sum(F.col("times") * log(model.rare_tokens, model.rare_words)).alias("s_"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_"))
+    added = spread(other, counts, ["k"], "left").groupBy("row_").agg(F.sum(F.col("times") * log(model.tokens, model.words)).alias("z_"), F.sum(F.col("times") * log(model.rare_tokens, model.rare_words)).alias("s_"), F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("n_"))
     out = rows.drop("other").join(added, "row_", "left")
     total = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0.0))
-    return out.select(*(F.col(f"`{c}`") for c in rest), "n_tokens", total("known", "n_").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), total("z", "z_").alias("base_score"), total("s", "s_").alias("score"))
+    return out.select(*(F.col(f"keep_{i}").alias(name) for i, (_, name) in enumerate(kept)), "n_tokens", total("known", "n_").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), total("z", "z_").alias("base_score"), total("s", "s_").alias("score"))
