@@ -23,10 +23,19 @@ def words(c: Column | str) -> Column:
 
 
 def found(low: Column, own: Column, terms: Sequence[str]) -> Column:
-    """Which of ``terms`` occur in a lower-cased text of the words ``own``: as whole words, or as substrings if they have a space or _."""
+    """Which of ``terms`` occur, in their order, in a lower-cased text of the words ``own``: as whole words, or as substrings if they have a space or _.
+
+    Words are looked up in a hash set of the text's; the text is searched for the others alone.
+    """
     terms = list(dict.fromkeys(terms))
-    phrase = lambda t: F.contains(t, F.lit(" ")) | F.contains(t, F.lit("_"))
-    return F.filter(literal_array(terms), lambda t: F.when(phrase(t), F.contains(low, t)).otherwise(F.array_contains(own, t)))
+    phrases = [t for t in terms if " " in t or "_" in t]
+    held = F.filter(literal_array(phrases), lambda t: F.contains(low, t)) if phrases else literal_array([])
+    return F.array_intersect(literal_array(terms), F.concat(F.array_except(own, literal_array(phrases)), held))
+
+
+def among(hits: Column, terms: Sequence[str]) -> Column:
+    """Those of ``terms`` that are in ``hits``, in the order of ``terms``."""
+    return F.array_intersect(literal_array(list(dict.fromkeys(terms))), hits)
 
 
 def classes(hits: Column, table: list[tuple[str, str]]) -> Column:
@@ -38,8 +47,8 @@ def classes(hits: Column, table: list[tuple[str, str]]) -> Column:
     return let(hits, pick)
 
 
-def _polarity(low: Column, own: Column) -> Column:
-    count = lambda terms: F.size(found(low, own, terms))
+def _polarity(hits: Column) -> Column:
+    count = lambda terms: F.size(among(hits, terms))
     return let(count(lexicon.NEGATIVE) - count(lexicon.POSITIVE), lambda d: F.when(d > 2, "negative").when(d < -2, "positive").otherwise("neutral"))
 
 
@@ -49,7 +58,7 @@ def _with_words(c: Column | str, f) -> Column:
 
 def polarity(c: Column | str) -> Column:
     """negative or positive if that side has more than two distinct signal words more, else neutral."""
-    return _with_words(c, _polarity)
+    return _with_words(c, lambda low, own: let(found(low, own, [*lexicon.NEGATIVE, *lexicon.POSITIVE]), _polarity))
 
 
 def entities(c: Column | str) -> Column:
@@ -64,18 +73,19 @@ def semantics(c: Column | str) -> Column:
     """A struct of technology, category, action, domain, polarity and entities."""
     tech, domain = lexicon.pairs(lexicon.TECHNOLOGY, None), lexicon.pairs(lexicon.DOMAINS, ",")
 
-    def fields(low: Column, own: Column) -> Column:
-        hits = found(low, own, [w for w, _ in tech])
+    def fields(hits: Column) -> Column:
+        tools = among(hits, [w for w, _ in tech])
         return F.struct(
-            hits.alias("technology"),
-            classes(hits, tech).alias("category"),
-            found(low, own, lexicon.ACTIONS).alias("action"),
-            classes(found(low, own, [w for w, _ in domain]), domain).alias("domain"),
-            _polarity(low, own).alias("polarity"),
+            tools.alias("technology"),
+            classes(tools, tech).alias("category"),
+            among(hits, lexicon.ACTIONS).alias("action"),
+            classes(among(hits, [w for w, _ in domain]), domain).alias("domain"),
+            _polarity(hits).alias("polarity"),
             entities(c).alias("entities"),
         )
 
-    return _with_words(c, fields)
+    every = [*(w for w, _ in tech), *lexicon.ACTIONS, *(w for w, _ in domain), *lexicon.NEGATIVE, *lexicon.POSITIVE]
+    return _with_words(c, lambda low, own: let(found(low, own, every), fields))
 
 
 def topic_terms(c: Column | str, technology: Sequence[str] = lexicon.TOPIC_TECHNOLOGY, domains: Sequence[str] = lexicon.TOPIC_DOMAINS) -> Column:

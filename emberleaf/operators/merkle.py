@@ -1,8 +1,8 @@
 """Merkle trees over content hashes: root, proofs and their verification.
 
 Leaf and inner hashes are SHA-256 with a one-byte prefix; leaves are padded by a block of zeros to a power of
-two, at least two. A level is one aggregation of the level below by ``idx / 2``, so a tree of n leaves takes log2 n
-rounds over halving tables.
+two, at least two. All nodes come level by level, each one aggregation of the one below by ``idx / 2``; the root alone folds
+eight levels in each aggregation.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberleaf.functions.hashes import sha2_256
+from emberleaf.functions.text import let
 
 ZERO = "0" * 64
 
@@ -67,11 +68,30 @@ def levels(leaf_rows: DataFrame, n: int) -> DataFrame:
     return out
 
 
+#: Levels that one aggregation folds, so a group has at most 2^FOLD nodes.
+FOLD = 8
+
+
+def fold(level: DataFrame, height: int, steps: int, digest=sha2_256) -> DataFrame:
+    """The nodes ``steps`` levels above those of ``level``, whose own height is ``height``, by one aggregation."""
+    width = 1 << steps
+    place = (F.col("idx") % width).cast("int")
+    groups = level.groupBy(F.floor(F.col("idx") / width).alias("idx")).agg(F.map_from_entries(F.collect_list(F.struct(place, "hash"))).alias("own"))
+    nodes = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.try_element_at(F.col("own"), i), _pad(height, digest)))
+
+    def parents(a: Column) -> Column:
+        return F.transform(F.filter(a, lambda x, i: i % 2 == 0), lambda x, i: node(x, F.get(a, 2 * i + 1), digest))
+
+    for _ in range(steps):
+        nodes = let(nodes, parents)
+    return groups.select("idx", F.get(nodes, F.lit(0)).alias("hash"))
+
+
 def root(leaf_rows: DataFrame, n: int, digest=sha2_256) -> DataFrame:
-    """One row: the root ``hash`` of ``n`` leaves, by halving levels."""
-    at = leaf_rows.select("idx", "hash")
-    for h in range(depth(n)):
-        at = next_level(at, h, digest)
+    """One row: the root ``hash`` of ``n`` leaves, FOLD levels by each aggregation."""
+    at, d = leaf_rows.select("idx", "hash"), depth(n)
+    for h in range(0, d, FOLD):
+        at = fold(at, h, min(FOLD, d - h), digest)
     return at.select("hash")
 
 

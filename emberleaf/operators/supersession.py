@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberleaf.sources.tables import checkpointed
+from emberleaf.sources.tables import checkpointed, stored
 
 LEAST, PENALTY, BOOST = 0.70, 0.3, 1.2
 
@@ -22,22 +22,42 @@ def register(rows: DataFrame, least: float = LEAST) -> DataFrame:
     ``rows`` has ``id``, ``kind``, ``terms`` and ``created_date``. Both must be of one kind, have two terms or more and
     share ``least`` of them; the old one is strictly older. The best match wins, then the later date, then the smaller id.
 
-    Candidates are found by a term of a prefix: two sets of this similarity share one of the first
-    ``n - ceil(least * n) + 1`` terms in an order from rare to frequent, so no pair of all rows of a kind is formed.
+    Terms are few and dates are days, so artifacts are first one row for each distinct set of terms, with the days on which it
+    occurs. Sets are matched by a term of a prefix: two sets of this similarity share one of the first
+    ``n - ceil(least * n) + 1`` terms in an order from rare to frequent. For each set and day the best similarity that has
+    an older day is picked, and within it the last such day. The work grows with sets and days, not with pairs of artifacts.
     """
-    known = rows.where(F.col("kind").isNotNull()).select("id", "kind", "created_date", F.array_distinct("terms").alias("terms")).where(F.size("terms") >= 2)
-    words = known.select("id", "kind", F.size("terms").alias("n"), F.explode("terms").alias("term"))
+    known = rows.where(F.col("kind").isNotNull()).select("id", "kind", "created_date", F.array_sort(F.array_distinct("terms")).alias("terms")).where(F.size("terms") >= 2)
+    known = known.withColumn("topic", F.sha2(F.to_json(F.struct("kind", "terms")), 256))
+    days = stored(known.groupBy("topic", "kind", "created_date", "terms").agg(F.min("id").alias("id")).where("created_date is not null"))
+    sets = days.groupBy("topic", "kind", "terms").agg(F.min("created_date").alias("since"))
+    words = stored(sets.select("topic", "kind", "terms", "since", F.size("terms").alias("n"), F.explode("terms").alias("term")))
     df = words.groupBy("kind", "term").agg(F.count("*").alias("df"))
-    order = W.partitionBy("id").orderBy("df", "term")
+    order = W.partitionBy("topic").orderBy("df", "term")
     cut = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    prefix = words.join(df, ["kind", "term"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= cut).select("id", "kind", "n", "term")
-    new, old = prefix.select("kind", "term", F.col("id").alias("new_id"), F.col("n").alias("nn")), prefix.select("kind", "term", F.col("id").alias("old_id"), F.col("n").alias("no"))
-    fits = (F.col("new_id") != F.col("old_id")) & (F.least("nn", "no") >= least * F.greatest("nn", "no") - 1e-9)
-    pairs = new.join(old, ["kind", "term"]).where(fits).select("new_id", "old_id").distinct()
-    side = lambda s: known.select(F.col("id").alias(f"{s}_id"), F.col("terms").alias(f"{s}_terms"), F.col("created_date").alias(f"{s}_date"))
-    scored = pairs.join(side("new"), "new_id").join(side("old"), "old_id").where("new_date > old_date").withColumn("similarity", jaccard(F.col("new_terms"), F.col("old_terms"))).where(F.col("similarity") >= least)
-    rank = F.row_number().over(W.partitionBy("new_id").orderBy(F.desc("similarity"), F.desc("old_date"), "old_id"))
-    return scored.withColumn("r", rank).where("r = 1").select("new_id", "old_id", "similarity", "new_date")
+    prefix = words.join(df, ["kind", "term"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= cut)
+    side = lambda s: prefix.select("kind", "term", *(F.col(c).alias(f"{s}_{c}") for c in ("topic", "n", "terms", "since")))
+    fits = F.least("new_n", "old_n") >= least * F.greatest("new_n", "old_n") - 1e-9
+    pairs = side("new").join(side("old"), ["kind", "term"]).where(fits).dropDuplicates(["new_topic", "old_topic"])
+    pairs = pairs.withColumn("similarity", jaccard(F.col("new_terms"), F.col("old_terms"))).where(F.col("similarity") >= least)
+    pairs = stored(pairs.select("new_topic", "old_topic", "similarity", F.col("old_since").alias("since")))
+
+    # the best similarity of each set and day with an older artifact
+    levels = pairs.groupBy("new_topic", "similarity").agg(F.min("since").alias("since")).groupBy("new_topic").agg(F.sort_array(F.collect_list(F.struct("similarity", "since")), asc=False).alias("levels"))
+    asked = days.select(F.col("topic").alias("new_topic"), F.col("created_date").alias("day")).join(levels, "new_topic")
+    best = F.get(F.filter("levels", lambda x: x["since"] < F.col("day")), F.lit(0))["similarity"]
+    asked = asked.select("new_topic", "day", best.alias("similarity")).where("similarity is not null")
+    # of each matching set its last day before that one
+    asked = asked.join(pairs.select("new_topic", "old_topic", "similarity"), ["new_topic", "similarity"])
+    points = days.select(F.col("topic").alias("old_topic"), F.col("created_date").alias("day"), F.struct(F.col("created_date").alias("old_date"), F.col("id").alias("old_id")).alias("old"), F.lit(None).cast("string").alias("new_topic"), F.lit(None).cast("double").alias("similarity"))
+    both = points.unionByName(asked.withColumn("old", F.lit(None).cast(points.schema["old"].dataType)).select(points.columns))
+    # at one day questions come before the answer of that day
+    before = W.partitionBy("old_topic").orderBy("day", F.col("old").isNotNull()).rowsBetween(W.unboundedPreceding, -1)
+    hit = both.withColumn("old", F.last("old", ignorenulls=True).over(before)).where("new_topic is not null and old is not null")
+    newest = W.partitionBy("new_topic", "day").orderBy(F.desc("old.old_date"), "old.old_id")
+    last = hit.withColumn("r", F.row_number().over(newest)).where("r = 1")
+    last = last.select(F.col("new_topic").alias("topic"), F.col("day").alias("created_date"), "similarity", "old.old_id")
+    return known.join(last, ["topic", "created_date"]).select(F.col("id").alias("new_id"), "old_id", "similarity", F.col("created_date").alias("new_date"))
 
 
 def superseded_by(found: DataFrame) -> DataFrame:
