@@ -159,9 +159,36 @@ FACT = {
 }
 
 
-def schema_errors(columns: Sequence[str], rules: dict = FACT, allowed: Sequence[str] = ("last_confirmed_at", "expires_at", "notes", "evidence", "supersedes", "tags")) -> Column:
-    """Messages of the rules that a row breaks, in order: one for each column that is absent, wrong or not allowed."""
+EPISODE = {
+    "id: pattern": lambda c: c.rlike(r"^ep_[a-z0-9_]+$"),
+    "summary: length": lambda c: F.length(c).between(20, 1000),
+    "entities: items": lambda c: F.size(c).between(1, 20) & (F.size(F.array_distinct(c)) == F.size(c)) & ~F.exists(c, lambda x: x.isNull()),
+    "timestamp: date-time": lambda c: F.try_to_timestamp(c).isNotNull(),
+    "importance: range": lambda c: c.between(0.0, 1.0),
+    "source_conversation_id: required": lambda c: c.isNotNull(),
+}
+#: Columns that an episode may lack; a value that it has must hold to the rule.
+EPISODE_OPTIONAL = {
+    "decay_rate: range": lambda c: c.between(0.0, 1.0),
+    "compacted: boolean": lambda c: c.cast("boolean").isNotNull(),
+    "pinned: boolean": lambda c: c.cast("boolean").isNotNull(),
+}
+
+
+def episode_errors(columns: Sequence[str]) -> Column:
+    """As ``schema_errors``, for episodes."""
+    return schema_errors(columns, EPISODE, ("project", "follow_up"), EPISODE_OPTIONAL)
+
+
+def schema_errors(columns: Sequence[str], rules: dict = FACT, allowed: Sequence[str] = ("last_confirmed_at", "expires_at", "notes", "evidence", "supersedes", "tags"), optional: dict | None = None) -> Column:
+    """Messages of the rules that a row breaks, in order: one for each column that is absent, wrong or not allowed.
+
+    ``optional`` are rules of columns that may be absent or null.
+    """
+    optional = {m: ok for m, ok in (optional or {}).items() if m.split(":")[0] in columns}
+    allowed = (*allowed, *(m.split(":")[0] for m in optional))
     known = {m.split(":")[0] for m in rules}
     checks = [F.lit(f"{m.split(':')[0]}: missing") if m.split(":")[0] not in columns else F.when(~F.coalesce(ok(F.col(m.split(":")[0])), F.lit(False)), F.lit(m)) for m, ok in rules.items()]
+    checks += [F.when(~F.coalesce(ok(F.col(m.split(":")[0])), F.lit(True)), F.lit(m)) for m, ok in optional.items()]
     checks += [F.lit(f"{c}: not allowed") for c in columns if c not in known and c not in allowed]
     return F.filter(F.array(*checks), lambda m: m.isNotNull())

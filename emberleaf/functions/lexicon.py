@@ -205,6 +205,9 @@ AUDIT_SECRETS = [
 ]
 INJECTIONS = ["system:", "assistant:", "ignore previous", "you are now", "disregard", "forget your"]
 BOILERPLATE = ["<system-reminder>", "system-reminder", "You are Claude", "You are an interactive agent", "IMPORTANT: Assist with authorized", "# System\n", "# Environment\n", "<available-deferred-tools>"]
+# Folders below the home folder that are never scanned, and those whose files are never changed.
+SENSITIVE_FOLDERS = [".ssh", ".gnupg", ".gpg", ".aws", ".azure", ".config/gcloud", ".docker", ".kube", ".vault-token", ".terraform"]
+PROTECTED_FOLDERS = [".claude", ".cursor", ".config/github-copilot"]
 BLOCKED_KEYS = ["safety.", "security.", "tool_policy."]
 # End of the fixed values.
 

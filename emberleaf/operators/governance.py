@@ -48,6 +48,41 @@ def audit(gated: DataFrame, now: Column) -> DataFrame:
     return gated.select(F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"), F.col("status").alias("event"), "label", "key", "confidence", "source", "reason", "rule_id")
 
 
+#: Bytes of a log after which nothing is added until it is rotated.
+LOG_BYTES = 10 << 20
+
+
+def audit_line(events: DataFrame) -> Column:
+    """A line of the typed log for each of ``events`` (``ts``, ``op``, ``tier``, ``to_tier``, ``hash``, ``ratio``, ``ok``, ``n``, ``gen``).
+
+    Operations are tier, recall, encrypt, decrypt, rotate, search and error. Six digits of a hash are shown, of an error
+    without one a question mark; a line with a secret is replaced.
+    """
+    short, at = F.left(events["hash"], F.lit(6)), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    state = F.when(F.col("ok"), "ok").otherwise("fail")
+    body = (
+        F.when(F.col("op") == "tier", F.format_string("TIER %s>%s %.1fx %s", "tier", "to_tier", F.col("ratio").cast("double"), short))
+        .when(F.col("op") == "recall", F.concat(F.lit("RECALL "), "tier", F.lit(" "), short))
+        .when(F.col("op").isin("encrypt", "decrypt"), F.concat(F.upper("op"), F.lit(" "), "tier", F.lit(" "), short, F.lit(" "), state))
+        .when(F.col("op") == "rotate", F.format_string("ROTATE %s gen%d>%d %dheaders", "tier", F.col("gen").cast("long"), (F.col("gen") + 1).cast("long"), F.col("n").cast("long")))
+        .when(F.col("op") == "search", F.format_string("SEARCH %dhits", F.col("n").cast("long")))
+        .otherwise(F.concat(F.lit("ERROR "), "op", F.lit(" "), F.coalesce(F.when(short != "", short), F.lit("?"))))
+    )
+    line = F.concat(at, F.lit(" "), body)
+    return F.when(c.contains_secret(line), F.concat(at, F.lit(" REDACTED — log line contained potential secret/PII"))).otherwise(line)
+
+
+def append_lines(lines: DataFrame, path: str, most: int = LOG_BYTES) -> bool:
+    """Adds the column ``line`` of ``lines`` to a log below ``most`` bytes; a full one stays as it is."""
+    spark = lines.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(folder) and fs.getContentSummary(folder).getLength() > most:
+        return False
+    lines.select("line").write.mode("append").text(path)
+    return True
+
+
 def write_audit(events: DataFrame, path: str) -> None:
     """Appends events as JSON lines without nulls."""
     events.write.mode("append").json(path)

@@ -34,8 +34,10 @@ def keyword_edges(sets: DataFrame, key: str, keywords: str, least: float = 0.1,
     rows = sets.select(key, F.array_distinct(keywords).alias("k"))
     words = rows.select(key, F.explode("k").alias("w"))
     rare = words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n").between(2, bucket)).select("w")
-    use = words.join(rare, "w")
-    pairs = use.select("w", F.col(key).alias("a")).join(use.select("w", F.col(key).alias("b")), "w").where("a < b").select("a", "b").distinct()
+    use = rows.select(key, F.size("k").alias("n"), F.explode("k").alias("w")).join(rare, "w")
+    side = lambda c: use.select("w", F.col(key).alias(c), F.col("n").alias(f"n{c}"))
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))  # sets of too different sizes cannot overlap enough
+    pairs = side("a").join(side("b"), "w").where(fits).select("a", "b").distinct()
     sides = lambda c: rows.select(F.col(key).alias(c), F.col("k").alias(f"k{c}"))
     both = pairs.join(sides("a"), "a").join(sides("b"), "b")
     jaccard = F.size(F.array_intersect("ka", "kb")) / F.size(F.array_union("ka", "kb"))

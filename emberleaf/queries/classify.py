@@ -133,3 +133,35 @@ def schema_validation(spark, sf_dir):
     columns = [x for x in facts.columns if x != "event_id"]
     hash_ok = c.valid_hash(F.sha2("id", 256)) & ~c.valid_hash("id")
     return facts.select("event_id", F.array_join(c.schema_errors(columns), "; ").alias("errors"), hash_ok.alias("hash_ok"))
+
+
+_EPISODE_RULES = [
+    ("id: pattern", "regexp_matches(id, '^ep_[a-z0-9_]+$')"),
+    ("summary: length", "length(summary) BETWEEN 20 AND 1000"),
+    ("entities: items", "len(entities) BETWEEN 1 AND 20 AND len(list_distinct(entities)) = len(entities)"),
+    ("timestamp: date-time", "TRY_CAST(stamp AS TIMESTAMP) IS NOT NULL"),
+    ("importance: range", "importance BETWEEN 0 AND 1"),
+    ("source_conversation_id: required", "conversation IS NOT NULL"),
+]
+
+
+@q(f"""
+WITH e AS (SELECT conv_id * 1000 + turn AS key, CASE WHEN turn % 3 = 0 THEN 'ep-' ELSE 'ep_' END || conv_id AS id, text AS summary, regexp_extract_all(lower(text), '[a-z]{{8,}}') AS entities,
+  CASE WHEN turn % 4 = 0 THEN 'yesterday' ELSE '2024-01-02 03:04:05' END AS stamp, length(text) / 400 AS importance, CASE WHEN turn % 5 > 0 THEN conv_id::VARCHAR END AS conversation, turn / 3 AS decay_rate FROM conversations)
+SELECT key, concat_ws('; ', {", ".join(f"CASE WHEN NOT coalesce({cond}, FALSE) THEN '{m}' END" for m, cond in _EPISODE_RULES)}, CASE WHEN NOT decay_rate BETWEEN 0 AND 1 THEN 'decay_rate: range' END, 'mood: not allowed') AS errors FROM e
+""")
+def episode_validation(spark, sf_dir):
+    """Turns of conversations, as episodes with one column too many, against the episode schema."""
+    turn = F.col("turn")
+    rows = table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 1000 + turn).alias("key"),
+        F.concat(F.when(turn % 3 == 0, "ep-").otherwise("ep_"), F.col("conv_id").cast("string")).alias("id"),
+        F.col("text").alias("summary"),
+        F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0)).alias("entities"),
+        F.when(turn % 4 == 0, "yesterday").otherwise("2024-01-02 03:04:05").alias("timestamp"),
+        (F.length("text") / 400).alias("importance"),
+        F.when(turn % 5 > 0, F.col("conv_id").cast("string")).alias("source_conversation_id"),
+        (turn / 3).alias("decay_rate"),
+        F.lit("calm").alias("mood"),
+    )
+    return rows.select("key", F.array_join(c.episode_errors([x for x in rows.columns if x != "key"]), "; ").alias("errors"))

@@ -121,3 +121,23 @@ def redacted_log(spark, sf_dir):
     value = F.floor("value").cast("string")
     line = F.when(F.col("event_type") == "click", F.concat(F.lit("RECALL password "), value)).otherwise(F.concat(F.lit("SEARCH "), "event_type", F.lit(" "), value))
     return g.redacted(table(spark, sf_dir, "events").select("event_id", line.alias("line")), "line")
+
+
+@q("""
+WITH e AS (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp, event_id % 7 AS k, left(sha256(props), 6) AS h, user_id, value FROM events)
+SELECT event_id, stamp || ' ' || CASE k WHEN 0 THEN 'TIER hot>warm ' || printf('%.1f', (user_id % 9)::DOUBLE + 0.2) || 'x ' || h WHEN 1 THEN 'RECALL warm ' || h WHEN 2 THEN 'ENCRYPT cold ' || h || CASE WHEN user_id % 2 = 0 THEN ' ok' ELSE ' fail' END
+  WHEN 3 THEN 'DECRYPT cold ' || h || CASE WHEN user_id % 2 = 0 THEN ' ok' ELSE ' fail' END WHEN 4 THEN 'ROTATE cold gen' || user_id || '>' || (user_id + 1) || ' ' || event_id || 'headers' WHEN 5 THEN 'SEARCH ' || event_id || 'hits' ELSE 'ERROR compact ?' END AS line FROM e
+UNION ALL SELECT -event_id, stamp || ' REDACTED — log line contained potential secret/PII' FROM e WHERE k = 1
+""")
+def audit_log_lines(spark, sf_dir):
+    """Typed log lines of events; those whose tier names a home folder are replaced."""
+    k, e, u = F.col("event_id") % 7, F.col("event_id"), F.col("user_id")
+    ops = F.get(F.array(*map(F.lit, ["tier", "recall", "encrypt", "decrypt", "rotate", "search", "compact"])), k.cast("int"))
+    tier = F.get(F.array(*map(F.lit, ["hot", "warm", "cold", "cold", "cold", "hot", "hot"])), k.cast("int"))
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), ops.alias("op"), tier.alias("tier"), F.lit("warm").alias("to_tier"), F.when(k < 6, F.sha2("props", 256)).alias("hash"),
+        (u % 9 + 0.2).alias("ratio"), (u % 2 == 0).alias("ok"), e.alias("n"), u.alias("gen"),
+    )
+    bad = rows.where("op = 'recall'").select((-e).alias("event_id"), *(c for c in rows.columns if c not in ("event_id", "tier")), F.lit("/home/u/store").alias("tier"))
+    both = rows.unionByName(bad)
+    return both.select("event_id", g.audit_line(both).alias("line"))

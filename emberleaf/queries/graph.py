@@ -57,17 +57,10 @@ def activation(spark, sf_dir):
 
 @q(r"""
 WITH k AS (SELECT conv_id, list_distinct(flatten(list(regexp_extract_all(lower(text), '[a-z0-9]+')))) AS k FROM conversations GROUP BY conv_id), w AS (SELECT conv_id, unnest(k) AS w FROM k),
-r AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 20), u AS (SELECT * FROM w SEMI JOIN r USING (w)), p AS (SELECT DISTINCT a.conv_id AS a, b.conv_id AS b FROM u a JOIN u b USING (w) WHERE a.conv_id < b.conv_id)
+r AS (SELECT w FROM w GROUP BY w HAVING count(*) BETWEEN 2 AND 200), u AS (SELECT * FROM w SEMI JOIN r USING (w)), p AS (SELECT DISTINCT a.conv_id AS a, b.conv_id AS b FROM u a JOIN u b USING (w) WHERE a.conv_id < b.conv_id)
 SELECT a, b, round(len(list_intersect(x.k, y.k)) / len(list_distinct(list_concat(x.k, y.k))), 6) AS overlap FROM p JOIN k x ON x.conv_id = a JOIN k y ON y.conv_id = b WHERE len(list_intersect(x.k, y.k)) / len(list_distinct(list_concat(x.k, y.k))) >= 0.1
 """)
 def keyword_graph(spark, sf_dir):
-    """Conversations that share a rare word, by the Jaccard similarity of their words."""
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list(t.tokens("text")))).alias("k"))
-    return g.keyword_edges(rows, "conv_id", "k", bucket=20).select("a", "b", F.round("overlap", 6).alias("overlap"))
-
-
-@q()
-def keyword_graph_all(spark, sf_dir):
     """Conversations that share a word of at most 200 conversations, by the Jaccard similarity of their words."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_distinct(F.flatten(F.collect_list(t.tokens("text")))).alias("k"))
     return g.keyword_edges(rows, "conv_id", "k").select("a", "b", F.round("overlap", 6).alias("overlap"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from emberleaf.functions import lexicon
 from emberleaf.operators import pipelines, store
 from emberleaf.queries import Registry, table
 from emberleaf.sources import files, sinks
@@ -73,3 +74,58 @@ def ingested(spark, sf_dir):
     """Artifacts of documents as raw files."""
     docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/n/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("2024-01-31 10:00:00").cast("timestamp").alias("mtime"), F.col("text").cast("binary").alias("content"))
     return files.ingest(docs, "documents").select("artifact_id", "content_hash", "original_size", "created_date", "source_label")
+
+
+_HOME, _ROOTS = "/home/u", ["/home/u/notes", "/home/u/.ssh", "/home/u/.claude", "/data"]
+
+
+def _in(folders) -> str:
+    return "(" + " OR ".join(f"p = '{f}' OR starts_with(p, '{f}/')" for f in folders) + ") AND NOT contains(p, '/../') AND NOT ends_with(p, '/..')"
+
+
+_PATHS = ["/home/u/notes/", "/home/u/notesx/", "/home/u/.ssh/", "/home/u/.claude/plans/", "/data/../etc/", "/data/deep/", "/home/u/.config/gcloud/"]
+
+
+@q(f"""
+WITH d AS (SELECT doc_id, {_PATHS!r}[doc_id % 7 + 1] || source || doc_id AS p FROM documents)
+SELECT doc_id, {_in(_ROOTS)} AS inside, {_in([_HOME + "/" + f for f in lexicon.SENSITIVE_FOLDERS])} AS sensitive, {_in([_HOME + "/" + f for f in lexicon.PROTECTED_FOLDERS])} AS protected,
+  ({_in(_ROOTS)}) AND NOT ({_in([_HOME + "/" + f for f in lexicon.SENSITIVE_FOLDERS])}) AS admitted FROM d
+""")
+def path_guards(spark, sf_dir):
+    """Which paths lie in scanned, sensitive and protected folders."""
+    p = F.concat(F.get(F.array(*map(F.lit, _PATHS)), (F.col("doc_id") % 7).cast("int")), F.col("source"), F.col("doc_id").cast("string"))
+    guards = {"inside": files.under(p, _ROOTS), "sensitive": files.sensitive(p, _HOME), "protected": files.protected(p, _HOME), "admitted": files.admitted(p, _ROOTS, _HOME)}
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(n) for n, c in guards.items()))
+
+
+@q("SELECT doc_id::VARCHAR AS artifact_id, length(text) AS n, source AS tier FROM documents")
+def hot_store(spark, sf_dir):
+    """Documents written as hot JSON by tier and read back with a schema."""
+    path = _folder(spark)
+    sinks.write_hot(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("artifact_id"), F.col("text").alias("content"), F.col("source").alias("tier")), path)
+    rows = spark.read.schema("artifact_id string, content string, tier string").json(path)
+    return rows.select("artifact_id", F.length("content").cast("long").alias("n"), "tier")
+
+
+@q("SELECT conv_id, count(*) AS n, sha256(string_agg(text, chr(10) ORDER BY turn)) AS content_hash FROM conversations WHERE NOT contains(text, chr(10)) AND NOT contains(text, chr(13)) AND trim(text, ' ') <> '' GROUP BY conv_id")
+def log_lines(spark, sf_dir):
+    """Turns written as lines of text logs and read back by lines, in order."""
+    path = _folder(spark)
+    rows = table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("\n")) & ~F.contains("text", F.lit("\r")))
+    sort = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
+    sort.select("conv_id", "text").write.partitionBy("conv_id").text(path)
+    lines = files.jsonl_lines(spark, path)
+    whole = lines.groupBy(F.regexp_extract("path", "conv_id=(\\d+)", 1).cast("long").alias("conv_id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("n", "value"))).alias("l"))
+    return whole.select("conv_id", "n", F.sha2(F.array_join("l.value", "\n"), 256).alias("content_hash"))
+
+
+@q("SELECT count(*) AS artifacts, sum(length(text))::BIGINT AS chars, TRUE AS files, TRUE AS bytes FROM documents")
+def store_statistics(spark, sf_dir):
+    """Rows, characters, files and bytes of a store batch."""
+    path = _folder(spark)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("artifact_id"), F.col("text").alias("content"))
+    sinks.write_batch(rows, path)
+    found = sinks.store_stats(spark, path).first()
+    assert found["files"] == len(sinks.list_files(sinks.read_store(spark, path)))
+    back = sinks.read_store(spark, path)
+    return back.agg(F.count("*").alias("artifacts"), F.sum(F.length("content")).cast("long").alias("chars")).select("*", F.lit(found["files"] > 0).alias("files"), F.lit(found["bytes"] > 0).alias("bytes"))

@@ -16,9 +16,10 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey").join(items, "o_orderkey", "left_semi")
 
 
-@q("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@q("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_join(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an order above 400,000."""
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left_anti")
 
 

@@ -74,7 +74,7 @@ def streaming_distinct(spark, sf_dir):
     return _finished(spark, st.deduplicated(_events(spark, sf_dir), "at", "60 days", "user_id", "event_type").select("user_id", "event_type"))
 
 
-@q()
+@q("SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id HAVING max(ts) + INTERVAL 12 HOUR < (SELECT max(ts) FROM events)")
 def streaming_expiry(spark, sf_dir):
     """Users without an event for twelve hours of event time."""
     return _finished(spark, st.expiring(_events(spark, sf_dir).select("user_id", "at"), "user_id", "at", 12))

@@ -111,23 +111,14 @@ def json_summaries(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", t.summarize("props", F.lit("a/b.json")).alias("summary_json"), t.summarize(twice, F.lit("a/b.JSONL")).alias("summary_jsonl"), t.minify_json(messy).alias("minified"), t.looks_like_jsonl(twice).alias("jsonl"))
 
 
-@q(r"""
-SELECT doc_id, trim(replace(left(text, 200), chr(10), ' '), ' ') AS plain,
+@q(rf"""
+SELECT doc_id, trim(array_to_string(list_filter(string_split(left(text, 200), chr(10)), lambda x: len(list_filter({sql_list(lexicon.INJECTIONS)}, lambda p: contains(lower(x), p))) = 0), ' '), ' ') AS plain,
   regexp_replace(left(text, 50), '[\n\r#*`\[\]<>]', '', 'g') AS query,
   'Title' || chr(10) || chr(10) || left(text, 500) AS contextual,
   CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', n_chars / 1024.0) END AS size
-FROM documents WHERE NOT regexp_matches(lower(left(text, 200)), 'system:|assistant:|ignore previous|you are now|disregard|forget your')
+FROM documents
 """)
 def sanitized(spark, sf_dir):
-    """Texts made safe for a prompt, with size labels, for all documents whose summary keeps every line."""
-    docs = table(spark, sf_dir, "documents")
-    clean = F.size(F.split(t.sanitize_summary("text"), "")) >= 0
-    bad = F.lower(F.left("text", F.lit(200))).rlike("system:|assistant:|ignore previous|you are now|disregard|forget your")
-    return docs.where(clean & ~bad).select("doc_id", t.sanitize_summary("text").alias("plain"), t.sanitize_query("text").alias("query"), t.contextualize(F.lit("Title"), "text").alias("contextual"), t.format_size("n_chars").alias("size"))
-
-
-@q()
-def sanitized_all(spark, sf_dir):
     """Texts made safe for a prompt, with size labels, for all documents: lines that look like instructions go."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", t.sanitize_summary("text").alias("plain"), t.sanitize_query("text").alias("query"), t.contextualize(F.lit("Title"), "text").alias("contextual"), t.format_size("n_chars").alias("size"))

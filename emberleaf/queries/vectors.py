@@ -173,18 +173,8 @@ def trained_codebook(spark, sf_dir):
 _PAIR = f"list_cosine_similarity(a.{_E}, b.{_E})"
 
 
-@q(f"SELECT a.vec_id, b.vec_id AS other, round({_PAIR}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id % 100 = 0 WHERE {_PAIR} > 0.2")
+@q(f"SELECT a.vec_id, b.vec_id AS other, round({_PAIR}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_PAIR} > 0.2")
 def label_pairs(spark, sf_dir):
-    """Similar vectors of the same label as some hundredth of them."""
-    rows = table(spark, sf_dir, "embeddings")
-    some = rows.where("vec_id % 100 = 0").select("vec_id", "label", F.col("embedding").alias("e"))
-    both = some.join(rows.select(F.col("vec_id").alias("other"), "label", "embedding"), "label").where("vec_id < other")
-    score = v.cosine(F.col("e"), F.col("embedding"))
-    return both.select("vec_id", "other", score.alias("s")).where("s > 0.2").select("vec_id", "other", F.round("s", 6).alias("score"))
-
-
-@q()
-def label_pairs_all(spark, sf_dir):
     """All pairs of similar vectors of the same label."""
     pairs = vs.label_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.2)
     return pairs.select(F.col("a").alias("vec_id"), F.col("b").alias("other"), F.round("score", 6).alias("score"))

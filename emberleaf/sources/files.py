@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberleaf.functions import classify, text
+from emberleaf.functions import classify, lexicon, text
 
 SKIPPED = (".zst", ".encf", ".tmp", ".parquet")
 LEAST_BYTES, GZIP_CHARS = 50, 102_400
@@ -108,8 +108,13 @@ def hot_json(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def jsonl_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of log files with their file and number."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n")).alias("n", "value"))
+    """Lines of log files with their file and ``n``, a number that grows from line to line of a file.
+
+    Files are read by lines and in parts, so no row holds a file. A part of a file starts at a byte that is greater than
+    the number of all lines of a task that reads a part before, so ``n``, that byte plus the line's number in its task, keeps the order.
+    """
+    place = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("n"), "value")
     return rows.where(F.trim("value") != "")
 
 
@@ -131,4 +136,19 @@ def under(path: Column, roots: Sequence[str]) -> Column:
     for r in roots:
         r = r.rstrip("/")
         out |= (path == r) | path.startswith(r + "/")
-    return out & ~path.contains("/../")
+    return out & ~path.contains("/../") & ~path.endswith("/..")
+
+
+def sensitive(path: Column, home: str) -> Column:
+    """Whether a path is in a folder of keys or credentials below ``home``, which no scan may read."""
+    return under(path, [f"{home.rstrip('/')}/{f}" for f in lexicon.SENSITIVE_FOLDERS])
+
+
+def protected(path: Column, home: str) -> Column:
+    """Whether a path is in a folder that an assistant manages: to be read, never moved or deleted."""
+    return under(path, [f"{home.rstrip('/')}/{f}" for f in lexicon.PROTECTED_FOLDERS])
+
+
+def admitted(path: Column, roots: Sequence[str], home: str) -> Column:
+    """Whether a path may be scanned: in one of ``roots``, with no step upwards, and not sensitive."""
+    return under(path, roots) & ~sensitive(path, home)

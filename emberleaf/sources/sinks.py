@@ -29,6 +29,12 @@ def list_files(df: DataFrame) -> list[str]:
     return sorted(df.inputFiles())
 
 
+def store_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Files and bytes of a store and its rows, from file metadata and footers."""
+    each = read_store(spark, path).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.max("_metadata.file_size").alias("b"), F.count("*").alias("n"))
+    return each.agg(F.count("*").alias("files"), F.coalesce(F.sum("b"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+
+
 def jsonl_to_parquet(spark: SparkSession, source: str, path: str, level: int = 19) -> None:
     """JSON lines as columns of strings; a bad line goes to ``_raw``, an empty file becomes one row ``_empty``."""
     rows = spark.read.option("primitivesAsString", "true").option("columnNameOfCorruptRecord", "_raw").json(source)
