@@ -42,3 +42,8 @@ def spread(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner")
     if of.isEmpty():
         return many.join(one, keys, how)
     return dealt(many, keys, of).join(copied(one, keys, of), [*keys, "share_"], how).drop("share_")
+
+
+def lookup(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """As ``spread``, for a stored table ``one`` of short rows, which is broadcast if it has at most HOT_KEYS of them."""
+    return many.join(F.broadcast(one), keys, how) if one.count() <= HOT_KEYS else spread(many, one, keys, how)

@@ -9,8 +9,6 @@ from emberleaf.llm import class_lm, embedding_dedup, language_id, minhash_dedup,
 from emberleaf.llm._spark import table
 
 
-
-
 def remainder(n: int):
     """crc32 of the id as text modulo ``n``; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
@@ -18,7 +16,7 @@ def remainder(n: int):
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return source_mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return source_mix.mix(docs, texts=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ are ordered by exponential keys scaled by their quality weights, and a prefix su
 in that order is cut at the rest; the document that crosses it is taken in part.
 
 The order within a source is never sorted as a whole. Sizes are summed in 1,024 ranges of keys, the range that
-crosses the rest is split into 1,024 again, and only the rows of that last range are sorted, so
-that a source with a third of all rows is no burden to any task.
+crosses the rest is split into 1,024 again until it has EDGE_ROWS rows or fewer, however keys are spread, and only these are
+sorted, so that a source with a third of all rows is no burden to any task.
 """
 
 from __future__ import annotations
@@ -18,12 +18,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberleaf.llm._skew import lookup
 from emberleaf.llm._spark import stored
 from emberleaf.llm._text import WORD
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
-PARTS = 1024
+#: Places in the order of keys, and ranges that a round splits, as powers of two.
+PLACES, SPLIT = 50, 10
+#: Rows of a source that are sorted.
+EDGE_ROWS = 10_000
+OWN = ("size", "source_size", "target", "epochs", "extra", "taken")
 
 
 def quality(n_chars: Column, size: Column) -> Column:
@@ -32,7 +37,7 @@ def quality(n_chars: Column, size: Column) -> Column:
 
 
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``docs`` with ``size`` in words, the sampling key ``key_`` and its range ``part_``.
+    """``docs`` with ``size`` in words, the sampling key ``key_``, its place ``z_``, a long in the same order, and the source ``of_``, never null.
 
     The key depends on id and text alone, so reruns agree, and only rows alike in both tie.
     """
@@ -40,7 +45,8 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     u = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(body.cast("binary")))), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
     out = docs.withColumn("size", F.regexp_count(body, F.lit(WORD)).cast("long"))
     out = out.withColumn("key_", -F.log(u) / quality(F.length(body), F.col("size")))
-    return out.withColumn("part_", F.floor((1 - F.exp(-F.col("key_"))) * (PARTS * PARTS)).cast("long"))
+    place = F.floor(F.col("key_") / (1 + F.col("key_")) * float(1 << PLACES))
+    return out.withColumn("z_", F.least(place, F.lit((1 << PLACES) - 1)).cast("long")).withColumn("of_", F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
@@ -76,45 +82,51 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def cuts(rows: DataFrame, goals: DataFrame) -> DataFrame:
-    """``goals`` with complete ``epochs_`` and the point (range ``cut_``, words ``left_`` in it) at which the fraction ends."""
+    """``goals`` with complete ``epochs_`` and the places (from ``cut_`` below ``end_``, ``left_`` words of them) among which the fraction ends."""
     words = F.floor("target")
-    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(words / F.col("source_size")), F.lit(MOST))).otherwise(0)
-    out = goals.withColumn("epochs_", epochs.cast("long")).withColumn("left_", (words - F.col("epochs_") * F.col("source_size")).cast("long")).withColumn("cut_", F.lit(0).cast("long"))
-    for width in (PARTS, 1):
-        part = F.floor(F.col("part_") / width)
-        inside = F.lit(True) if width == PARTS else F.floor(F.col("part_") / PARTS) == F.col("cut_")
-        found = rows.select("source", "size", "part_").alias("r").join(out.select(F.col("source").alias("s_"), "cut_"), F.col("source").eqNullSafe(F.col("s_")))
-        found = found.where(inside & (F.col("size") > 0)).groupBy("source", part.alias("p_")).agg(F.sum("size").alias("n_"))
-        found = found.withColumn("before_", F.sum("n_").over(W.partitionBy("source").orderBy("p_")) - F.col("n_"))
-        found = found.select(F.col("source").alias("s_"), "p_", "n_", "before_")
-        hit = F.col("source").eqNullSafe(F.col("s_")) & (F.col("before_") <= F.col("left_")) & (F.col("left_") < F.col("before_") + F.col("n_"))
-        out = out.join(found, hit, "left").withColumn("left_", F.col("left_") - F.coalesce("before_", F.lit(0))).withColumn("cut_", F.coalesce("p_", F.lit(0)).cast("long")).drop("s_", "p_", "n_", "before_")
-        out = stored(out)
+    epochs = F.when(F.col("source_size") > 0, F.least(F.floor(words / F.col("source_size")), F.lit(MOST))).otherwise(0).cast("long")
+    out = goals.withColumn("of_", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))).withColumn("epochs_", epochs)
+    some = F.col("source_size") > 0
+    out = out.select("of_", "source_size", "target", "epochs_", (words - F.col("epochs_") * F.col("source_size")).cast("long").alias("left_"), F.lit(0).cast("long").alias("cut_"), F.when(some, 1 << PLACES).otherwise(0).cast("long").alias("end_"), some.alias("open_"))
+    out, width = stored(out), 1 << PLACES
+    while not out.where("open_").isEmpty() and width > 1:
+        width >>= SPLIT
+        inside = (F.col("z_") >= F.col("cut_")) & (F.col("z_") < F.col("end_"))
+        found = lookup(rows.where("size > 0"), out.where("open_").select("of_", "cut_", "end_"), ["of_"]).where(inside)
+        found = found.groupBy("of_", F.floor((F.col("z_") - F.col("cut_")) / width).cast("long").alias("p_")).agg(F.sum("size").alias("n_"), F.count("*").alias("rows_"))
+        found = found.withColumn("before_", F.sum("n_").over(W.partitionBy("of_").orderBy("p_")) - F.col("n_"))
+        hit = (F.col("before_") <= F.col("left_")) & (F.col("left_") < F.col("before_") + F.col("n_"))
+        found = found.join(out.select("of_", "left_"), "of_").where(hit).drop("left_", "n_")
+        last = out.join(found, "of_", "left")
+        low = F.col("cut_") + F.coalesce("p_", F.lit(0)) * width
+        split = F.col("p_").isNotNull()
+        out = stored(last.select("of_", "source_size", "target", "epochs_", (F.col("left_") - F.coalesce("before_", F.lit(0))).alias("left_"), low.alias("cut_"), F.when(split, low + width).otherwise(F.col("end_")).alias("end_"), (split & (F.col("rows_") > EDGE_ROWS)).alias("open_")))
     return out
 
 
 def taken(rows: DataFrame, ends: DataFrame) -> DataFrame:
     """``rows`` with ``source_size``, ``target``, complete ``epochs``, words of a further part ``extra`` and all ``taken``."""
-    at = ends.withColumnRenamed("source", "s_").select("s_", "source_size", "target", "epochs_", "cut_", "left_")
-    both = rows.join(at, F.col("source").eqNullSafe(F.col("s_")))
-    plain = both.where(F.col("part_") != F.col("cut_")).withColumn("extra", F.when(F.col("part_") < F.col("cut_"), F.col("size")).otherwise(0).cast("long"))
-    order = W.partitionBy("source").orderBy("key_", F.col("size").desc())
-    edge = both.where(F.col("part_") == F.col("cut_")).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left_") - (F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")))).cast("long"))
+    both = lookup(rows, ends.drop("open_"), ["of_"])
+    inside = (F.col("z_") >= F.col("cut_")) & (F.col("z_") < F.col("end_")) & (F.col("size") > 0)
+    plain = both.where(~inside).withColumn("extra", F.when(F.col("z_") < F.col("cut_"), F.col("size")).otherwise(0).cast("long"))
+    order = W.partitionBy("of_").orderBy("key_", F.col("size").desc())
+    edge = both.where(inside).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left_") - (F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")))).cast("long"))
     out = plain.unionByName(edge).withColumn("epochs", F.col("epochs_")).withColumn("taken", F.col("epochs_") * F.col("size") + F.col("extra"))
-    return out.drop("s_", "epochs_", "cut_", "left_", "key_", "part_")
+    return out.drop("of_", "epochs_", "cut_", "end_", "left_", "key_", "z_")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """``docs`` with the columns of ``taken``.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = WEIGHTS, share: float = SHARE, texts: bool = True) -> DataFrame:
+    """``docs`` with the columns of ``taken``; without ``texts`` the text column is left out.
 
     A null text has size 0, a null source is a source, a null id an id. Repeated rows are
-    samples of their own: they tie and are interchangeable. A very long document may be cut by
-    its source's budget. An empty table gives no rows. A column of a result's name is replaced.
+    samples of their own: they tie and are interchangeable, and ties within the last range are sorted together. A very
+    long document may be cut by its source's budget. An empty table gives no rows. A column of a result's name is replaced.
+    Texts are read once; what is measured of them is stored.
     """
-    plain = docs.select(F.col(key), F.col(text), F.col(source).alias("source")) if docs.columns == [key, text, source] else docs.drop("size", "source_size", "target", "epochs", "extra", "taken", "key_", "part_").withColumnRenamed(source, "source")
-    rows = keyed(plain, key, text)
-    slim = stored(rows.select("source", "size", "key_", "part_"))
-    return taken(rows, cuts(slim, targets(slim, weights, share))).withColumnRenamed("source", source)
+    rows = keyed(docs.drop(*(c for c in (*OWN, "key_", "z_", "of_") if c not in (key, text, source))), key, text, source)
+    rows = stored(rows if texts else rows.drop(text))
+    slim = rows.select(F.col(source).alias("source"), "of_", "size", "z_")
+    return taken(rows, cuts(slim.drop("source"), targets(slim.select("source", "size"), weights, share)))
 
 
 def copies(mixed: DataFrame, text: str = "text") -> DataFrame:
