@@ -31,11 +31,16 @@ def leaves(df: DataFrame, content_hash: str, order: str, digest=sha2_256) -> Dat
 
     Rows are range-partitioned, numbered within partitions and shifted by the sizes of those before.
     """
+    return numbered(df, content_hash, order, digest).select("idx", "hash")
+
+
+def numbered(df: DataFrame, content_hash: str, order: str, digest=sha2_256) -> DataFrame:
+    """``leaves`` with their ``order`` column."""
     rows = df.select(F.col(order).alias("o"), leaf(F.col(content_hash), digest).alias("hash")).repartitionByRange("o").withColumn("p", F.spark_partition_id())
     sizes = rows.groupBy("p").agg(F.count("*").alias("n"))
     start = sizes.select("p", (F.sum("n").over(W.orderBy("p")) - F.col("n")).alias("start"))  # a row for each partition
     within = F.row_number().over(W.partitionBy("p").orderBy("o")) - 1
-    return rows.withColumn("i", within).join(F.broadcast(start), "p").select((F.col("start") + F.col("i")).cast("long").alias("idx"), "hash")
+    return rows.withColumn("i", within).join(F.broadcast(start), "p").select(F.col("o").alias(order), (F.col("start") + F.col("i")).cast("long").alias("idx"), "hash")
 
 
 def depth(n: int) -> int:

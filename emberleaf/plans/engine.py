@@ -2,13 +2,16 @@
 
 Artifacts are one append-only Parquet table. What changes (tier, last access, pin) is a small
 registry whose versions are whole tables: a new version is written beside the old one, and readers take the newest complete one.
+Pins, removals and recalls are appended to it as touches and folded in by the next version. A full-text index and the
+supersession links are stored too; a search reads these, not the texts.
 """
 
 from __future__ import annotations
 
+import time
 from datetime import UTC, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberleaf.functions import classify
@@ -16,7 +19,9 @@ from emberleaf.operators import context, governance, lifecycle, search, store, s
 from emberleaf.plans.config import Config
 from emberleaf.sources import files, sinks
 
-REGISTRY = "artifact_id string, tier string, created_at double, last_accessed double, original_size long, pinned boolean, removed boolean"
+REGISTRY = "artifact_id string, tier string, created_at double, last_accessed double, original_size long, pinned boolean, removed boolean, compressed_size long"
+TOUCHED = "artifact_id string, at long, tier string, last_accessed double, pinned boolean, removed boolean"
+LINKS = "id string, by string, `end` string"
 STATE = "path string, mtime timestamp"
 FIELDS = ("content", "summary", "technology", "category", "action", "domain", "entities")
 
@@ -51,6 +56,8 @@ class MemoryEngine:
         fs, path = self._fs()
         if v >= 1:
             fs.delete(path(f"{self.root}/{name}/v{v - 1}"), True)
+        if name == "registry":
+            fs.delete(path(f"{self.root}/touches"), True)
 
     def artifacts(self) -> DataFrame:
         """All artifacts that are not removed, with their registry columns."""
@@ -58,10 +65,20 @@ class MemoryEngine:
         where = f"{self.root}/artifacts"
         schema = files.artifact_schema()
         rows = self.spark.read.schema(schema).parquet(where) if fs.exists(path(where)) else self.spark.createDataFrame([], schema)
-        return rows.join(self._read("registry", REGISTRY).where("not removed").drop("original_size"), "artifact_id")
+        return rows.join(self.registry().where("not removed").drop("original_size", "compressed_size"), "artifact_id")
 
     def registry(self) -> DataFrame:
-        return self._read("registry", REGISTRY)
+        """The newest version with what touched it since."""
+        rows = self._read("registry", REGISTRY)
+        fs, path = self._fs()
+        where = f"{self.root}/touches"
+        if not fs.exists(path(where)):
+            return rows
+        columns = ("tier", "last_accessed", "pinned", "removed")
+        last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(f"{c}_") for c in columns]
+        new = self.spark.read.schema(TOUCHED).json(where).groupBy("artifact_id").agg(*last)
+        both = rows.join(new, "artifact_id", "left")
+        return both.select(*(F.coalesce(f"{c}_", c).alias(c) if c in columns else F.col(c) for c in rows.columns))
 
     # writing
 
@@ -76,11 +93,22 @@ class MemoryEngine:
         n = fresh.count()
         if n:
             sinks.write_batch(fresh, f"{self.root}/artifacts")
-            new = fresh.select("artifact_id", F.lit("hot").alias("tier"), F.lit(now).alias("created_at"), F.lit(now).alias("last_accessed"), "original_size", F.lit(False).alias("pinned"), F.lit(False).alias("removed"))
+            search.write_index(self._fields(fresh), "artifact_id", FIELDS, f"{self.root}/index")
+            new = fresh.select("artifact_id", F.lit("hot").alias("tier"), F.lit(now).alias("created_at"), F.lit(now).alias("last_accessed"), "original_size", F.lit(False).alias("pinned"), F.lit(False).alias("removed"), F.lit(0).cast("long").alias("compressed_size"))
             self._replace("registry", self.registry().unionByName(new))
+            self._relink()
         fresh.unpersist()
         return n
 
+    @staticmethod
+    def _fields(rows: DataFrame) -> DataFrame:
+        return rows.select("artifact_id", "content", "summary", *(F.array_join(F.col(f"semantic.{f}"), " ").alias(f) for f in FIELDS[2:]))
+
+    def _relink(self) -> None:
+        """Stores which artifact supersedes which, after artifacts came or went."""
+        links = self.supersessions()
+        self._replace("links", links.join(supersession.chain_ends(links), "id"))
+
     def run(self, now: float, dry_run: bool = False) -> dict[str, int]:
         """Ingests changed files of all sources and moves artifacts between tiers."""
         added = 0
@@ -105,7 +133,13 @@ class MemoryEngine:
         moves = rows.where("tier <> new_tier").select("artifact_id", F.col("tier").alias("from_tier"), F.col("new_tier").alias("to_tier")).persist()
         if not dry_run and not moves.isEmpty():
             old = self.registry()
-            new = old.join(moves.select("artifact_id", "to_tier"), "artifact_id", "left").withColumn("tier", F.coalesce("to_tier", "tier")).select(*old.columns)
+            sizes = None
+            for name, level in sinks.LEVELS.items():
+                texts = self.artifacts().join(moves.where(F.col("to_tier") == name), "artifact_id", "left_semi").select("artifact_id", "content")
+                own = sinks.compress(texts, "content", level).select("artifact_id", F.col("compressed_size").alias("new_size"))
+                sizes = own if sizes is None else sizes.unionByName(own)
+            new = old.join(moves.select("artifact_id", "to_tier"), "artifact_id", "left").join(sizes, "artifact_id", "left")
+            new = new.withColumn("tier", F.coalesce("to_tier", "tier")).withColumn("compressed_size", F.coalesce("new_size", "compressed_size")).select(*old.columns)
             self._replace("registry", new)
         return moves
 
@@ -128,15 +162,17 @@ class MemoryEngine:
         self._ingest_rows(gated.where("status = 'ingested'").withColumn("confidence", F.coalesce("adjusted_confidence", "confidence")), now)
         return gated
 
-    def _touch(self, ids: Column, **values) -> None:
-        old = self.registry()
-        self._replace("registry", old.select(*(F.when(ids, F.lit(values[c])).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in old.columns)))
+    def _touch(self, artifact_id: str, **values) -> None:
+        """One line beside the registry; the last one of a column counts."""
+        row = {"artifact_id": artifact_id, "at": time.time_ns(), **values}
+        self.spark.createDataFrame([row], ", ".join(f for f in TOUCHED.split(", ") if f.split()[0] in row)).coalesce(1).write.mode("append").json(f"{self.root}/touches")
 
     def pin(self, artifact_id: str) -> None:
-        self._touch(F.col("artifact_id") == artifact_id, pinned=True)
+        self._touch(artifact_id, pinned=True)
 
     def remove(self, artifact_id: str) -> None:
-        self._touch(F.col("artifact_id") == artifact_id, removed=True)
+        self._touch(artifact_id, removed=True)
+        self._relink()
 
     # reading
 
@@ -146,14 +182,18 @@ class MemoryEngine:
 
     def search(self, query: str, limit: int = 10, after: str | None = None, before: str | None = None) -> DataFrame:
         """The best artifacts by BM25 over seven fields with synonyms, after supersession and within dates."""
-        joined = {f: F.array_join(F.col(f"semantic.{f}"), " ") for f in FIELDS[2:]}
-        rows = self.artifacts().select("artifact_id", "content", "summary", "created_date", *(c.alias(f) for f, c in joined.items()))
-        hits = search.bm25(rows, "artifact_id", FIELDS, search.expanded_terms(query))
-        for bound, keep in ((after, F.col("created_date") > F.lit(after)), (before, F.col("created_date") < F.lit(before))):
-            hits = hits.where(keep) if bound else hits
+        live = self.registry().where("not removed").select("artifact_id")
+        if self._version("registry") < 0:
+            return self.spark.createDataFrame([], "id string, score double, superseded boolean, summary string, tier string, created_date string")
+        hits = search.indexed_bm25(self.spark, f"{self.root}/index", search.expanded_terms(query), among=live).withColumnRenamed("key", "artifact_id")
+        if after or before:
+            dates = self.artifacts().select("artifact_id", "created_date")
+            for bound, keep in ((after, F.col("created_date") > F.lit(after)), (before, F.col("created_date") < F.lit(before))):
+                dates = dates.where(keep) if bound else dates
+            hits = hits.join(dates, "artifact_id", "left_semi")
         top = search.top(hits, "artifact_id", "score", 3 * limit).select(F.col("artifact_id").alias("id"), "score")
-        links = self.supersessions()
-        out = supersession.adjust(top, links, supersession.chain_ends(links), self.config.hide_superseded).limit(limit)
+        links = self._read("links", LINKS)
+        out = supersession.adjust(top, links.select("id", "by"), links.select("id", "end"), self.config.hide_superseded).limit(limit)
         return out.join(self.artifacts().select(F.col("artifact_id").alias("id"), "summary", "tier", "created_date"), "id").orderBy(F.desc("score"), "id")
 
     def recall(self, artifact_id: str, now: float) -> DataFrame:
@@ -161,12 +201,21 @@ class MemoryEngine:
         ids = self.spark.createDataFrame([(artifact_id,)], "artifact_id string")
         out = store.recall(self.artifacts().drop("last_accessed"), ids, now).persist()
         if not out.where("status = 'ok'").isEmpty():
-            self._touch(F.col("artifact_id") == artifact_id, last_accessed=float(now), tier="hot")
+            self._touch(artifact_id, last_accessed=float(now), tier="hot")
         return out
 
     def status(self) -> DataFrame:
-        rows = self.registry().where("not removed").withColumn("compressed_size", F.lit(0).cast("long"))
-        return lifecycle.stats(rows)
+        """Numbers and bytes of each tier and, with a null tier, of all, there with indexed artifacts and keywords."""
+        every = self.artifacts().agg(F.count("*").alias("indexed_artifacts"), F.coalesce(F.sum(F.size("keywords")), F.lit(0)).cast("long").alias("total_keywords"))
+        return lifecycle.stats(self.registry().where("not removed")).join(F.broadcast(every), F.col("tier").isNull(), "left")
+
+    def index_stats(self) -> DataFrame:
+        """Documents and terms of each indexed field."""
+        return search.index_stats(self.spark, f"{self.root}/index")
+
+    def store_stats(self) -> DataFrame:
+        """Files, bytes and rows of the artifact store."""
+        return sinks.store_stats(self.spark, f"{self.root}/artifacts")
 
     def verify(self) -> DataFrame:
         return store.verification(store.verified(self.artifacts()), "artifact_id")

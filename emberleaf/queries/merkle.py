@@ -10,7 +10,7 @@ from emberleaf.queries import Registry, table
 q = Registry()
 
 
-def _sql(source: str, key: str, levels: int) -> str:
+def merkle_sql(source: str, key: str, levels: int) -> str:
     """CTEs l0, l1, ... of up to ``levels`` levels above the leaves; each level ends with one node at least."""
     out = f"l0 AS (SELECT row_number() OVER (ORDER BY {key}) - 1 AS idx, sha256(unhex('00' || sha256(text))) AS hash FROM {source}), z0 AS (SELECT repeat('0', 64) AS z)"
     for h in range(levels):
@@ -24,21 +24,21 @@ def _leaves(spark, sf_dir, name, key):
     return m.leaves(rows, "h", key), rows.count()
 
 
-@q(f"WITH {_sql('benchmark', 'item_id', 12)}, d AS (SELECT greatest(1, ceil(log2(count(*)))::INT) AS d FROM benchmark), every AS ({' UNION ALL '.join(f'SELECT {h} AS level, idx, hash FROM l{h}' for h in range(13))}) SELECT level::INT AS level, idx, hash FROM every, d WHERE level <= d")
+@q(f"WITH {merkle_sql('benchmark', 'item_id', 12)}, d AS (SELECT greatest(1, ceil(log2(count(*)))::INT) AS d FROM benchmark), every AS ({' UNION ALL '.join(f'SELECT {h} AS level, idx, hash FROM l{h}' for h in range(13))}) SELECT level::INT AS level, idx, hash FROM every, d WHERE level <= d")
 def merkle_tree(spark, sf_dir):
     """Every node over the benchmark passages."""
     leaves, n = _leaves(spark, sf_dir, "benchmark", "item_id")
     return m.levels(leaves, n).select("level", "idx", "hash")
 
 
-@q(f"WITH {_sql('documents', 'doc_id', 24)}, d AS (SELECT greatest(1, ceil(log2(count(*)))::INT) AS d FROM documents), every AS ({' UNION ALL '.join(f'SELECT {h} AS level, idx, hash FROM l{h}' for h in range(25))}) SELECT hash AS root, (SELECT count(*) FROM documents) AS leaves FROM every, d WHERE level = d AND idx = 0")
+@q(f"WITH {merkle_sql('documents', 'doc_id', 24)}, d AS (SELECT greatest(1, ceil(log2(count(*)))::INT) AS d FROM documents), every AS ({' UNION ALL '.join(f'SELECT {h} AS level, idx, hash FROM l{h}' for h in range(25))}) SELECT hash AS root, (SELECT count(*) FROM documents) AS leaves FROM every, d WHERE level = d AND idx = 0")
 def merkle_root(spark, sf_dir):
     """The root over all documents."""
     leaves, n = _leaves(spark, sf_dir, "documents", "doc_id")
     return m.root(leaves, n).select(F.col("hash").alias("root"), F.lit(n).cast("long").alias("leaves"))
 
 
-@q(f"""WITH {_sql("benchmark", "item_id", 12)}, d AS (SELECT greatest(1, ceil(log2(count(*)))::INT) AS d FROM benchmark), every AS ({" UNION ALL ".join(f"SELECT {h} AS level, idx, hash FROM l{h}" for h in range(12))}),
+@q(f"""WITH {merkle_sql("benchmark", "item_id", 12)}, d AS (SELECT greatest(1, ceil(log2(count(*)))::INT) AS d FROM benchmark), every AS ({" UNION ALL ".join(f"SELECT {h} AS level, idx, hash FROM l{h}" for h in range(12))}),
 s AS (SELECT level, d, (5 >> level) & 1 AS odd, xor(5 >> level, 1) AS sib FROM range(12) r(level), d WHERE level < d)
 SELECT s.level::INT AS level, hash AS sibling, CASE WHEN odd = 1 THEN 'left' ELSE 'right' END AS side, TRUE AS ok FROM s JOIN every e ON e.level = s.level AND e.idx = s.sib""")
 def merkle_proof(spark, sf_dir):

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberleaf.functions import text as t
+from emberleaf.operators import fingerprints as f
+from emberleaf.operators import merkle
 from emberleaf.operators import search as s
 from emberleaf.queries import Registry, sql_list, table
+from emberleaf.queries.fingerprint import DISTANCE, simhash_sql
+from emberleaf.queries.merkle import merkle_sql
 from emberleaf.queries.vectors import QUERY, SQL_QUERY
+from emberleaf.sources.tables import checkpoint_dir
 
 q = Registry()
 TERMS = ("the", "license", "that")
@@ -150,3 +157,56 @@ def benchmark_matches(spark, sf_dir):
     shared = docs.join(items, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("matched"))
     rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("matched"), "doc_id"))
     return shared.withColumn("r", rank).where("r <= 3").drop("r")
+
+
+def _index(spark, sf_dir) -> str:
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    s.write_index(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id", ["text", "source"], path)
+    return path
+
+
+@q(f"""SELECT doc_id, round(coalesce(a.score, 0) + coalesce(b.score, 0), 6) AS score FROM {bm25_sql("documents", "doc_id", "text", TERMS)} a FULL JOIN {bm25_sql("documents", "doc_id", "source", TERMS)} b USING (doc_id)""")
+def indexed_search(spark, sf_dir):
+    """The scores of all documents with one of three terms, from a stored index."""
+    return s.indexed_bm25(spark, _index(spark, sf_dir), TERMS).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@q("""
+SELECT 'text' AS field, count(*) AS num_docs, (SELECT count(DISTINCT w) FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents)) AS num_terms FROM documents
+UNION ALL SELECT 'source', count(*), (SELECT count(DISTINCT w) FROM (SELECT unnest(regexp_extract_all(lower(source), '[a-z0-9]+')) AS w FROM documents)) FROM documents
+""")
+def index_statistics(spark, sf_dir):
+    """Documents and terms of each field of a stored index."""
+    return s.index_stats(spark, _index(spark, sf_dir))
+
+
+@q("""
+WITH k AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS k FROM documents)
+SELECT count(*) AS artifact_count, count(*) AS leaf_count, (SELECT count(DISTINCT w) FROM (SELECT unnest(k) AS w FROM k)) AS keyword_entries, sum(len(k))::BIGINT AS keyword_refs FROM k
+""")
+def keyword_statistics(spark, sf_dir):
+    """Artifacts, leaves, keywords and references of an index of keywords."""
+    return s.keyword_stats(table(spark, sf_dir, "documents").select("doc_id", t.tokens("text").alias("k")), "k")
+
+
+@q(f"""
+WITH kw AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, len(list_filter(k, lambda w: strlen(w) <= 128 AND contains(w, 'en'))) / 2.0 + len(list_filter(k, lambda w: strlen(w) <= 128 AND contains(w, 'the'))) / 2.0 AS score
+  FROM (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS k FROM documents)) WHERE score > 0 ORDER BY rank LIMIT 20),
+p AS (SELECT * FROM {simhash_sql("documents", "doc_id")}), b AS (SELECT hex FROM {simhash_sql("(SELECT 0 AS k, text FROM benchmark WHERE item_id = 0)", "k")}),
+sh AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM (SELECT doc_id, 1 - ({DISTANCE}) / 256.0 AS score FROM p a, b) WHERE score >= 0.55 ORDER BY rank LIMIT 20),
+f AS (SELECT doc_id, coalesce(1 / (60 + kw.rank), 0) + coalesce(1 / (60 + sh.rank), 0) AS score FROM kw FULL JOIN sh USING (doc_id) ORDER BY 2 DESC, 1 LIMIT 20),
+{merkle_sql("documents", "doc_id", 24)}, d AS (SELECT greatest(1, ceil(log2(count(*)))::INT) AS d FROM documents), every AS ({" UNION ALL ".join(f"SELECT {h} AS level, idx, hash FROM l{h}" for h in range(25))}),
+i AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS leaf_index FROM documents)
+SELECT doc_id, round(score, 9) AS score, source, leaf_index, (SELECT hash FROM every, d WHERE level = d AND idx = 0) AS root FROM f JOIN documents USING (doc_id) JOIN i USING (doc_id)
+""")
+def fused_search(spark, sf_dir):
+    """The best twenty of a keyword and a fingerprint search by reciprocal ranks, with their leaves and the root of the Merkle tree."""
+    docs = table(spark, sf_dir, "documents")
+    scored = docs.select("doc_id", s.keyword_substring(t.tokens("text"), ("en", "the")).alias("score")).where("score > 0")
+    asked = f.simhash_table(table(spark, sf_dir, "benchmark").where("item_id = 0"), "item_id", "text").first()["fingerprint"]
+    alike = f.search(f.simhash_table(docs, "doc_id", "text"), "doc_id", F.array(*(F.lit(x).cast("long") for x in asked)), 20, f.GATE)
+    hits = s.fuse({"keyword": s.ranked(s.top(scored, "doc_id", "score", 20), "doc_id", "score"), "simhash": s.ranked(alike, "doc_id", "score")}, "doc_id", k=20)
+    hashes = docs.select("doc_id", F.sha2("text", 256).alias("h"))
+    leaves, n = merkle.numbered(hashes, "h", "doc_id"), docs.count()
+    out = s.proven(hits.drop("source"), docs.select("doc_id", "source"), leaves, merkle.root(leaves.select("idx", "hash"), n), "doc_id")
+    return out.select("doc_id", F.round("score", 9).alias("score"), "source", "leaf_index", "root")

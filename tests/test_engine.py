@@ -57,17 +57,22 @@ def test_changed_files_and_tiers(engine):
     now = utc("2026-03-11")
     engine.run(now)
     (engine.src / "db.md").write_text(NOTES["db.md"] + "And then we switched it off, for a reason nobody recalls.\n")
-    assert engine.run(now + DAY)["added"] == 1
-    pinned = engine.registry().first()["artifact_id"]
+    (engine.src / "long.md").write_text("A long note on how the backend keeps its data. " * 200)
+    assert engine.run(now + DAY)["added"] == 2
+    pinned = engine.registry().orderBy("original_size").first()["artifact_id"]
     engine.pin(pinned)
     engine.config.thresholds = {"warm": [1, 1], "cold": [2, 2], "frozen": [10000, 10000]}
     old = engine.registry().count()
     moved = engine.tier(now + 5 * DAY).collect()
-    assert all(r["artifact_id"] != pinned for r in moved)
+    assert moved and all(r["artifact_id"] != pinned for r in moved)
     assert engine.registry().count() == old
     engine.remove(pinned)
     assert engine.artifacts().count() == old - 1
-    assert {r["tier"] for r in engine.status().collect()} >= {None}
+    total = engine.status().where("tier is null").first()
+    assert total["n"] == total["indexed_artifacts"] == old - 1 and total["total_keywords"] > 0 and total["compressed_size"] > 0
+    assert engine.search("protocol").where(f"id = '{pinned}'").isEmpty()
+    assert {r["field"]: r["num_docs"] for r in engine.index_stats().collect()}["content"] == old
+    assert engine.store_stats().first()["rows"] == old
 
 
 def test_governed_ingest(engine, spark):
