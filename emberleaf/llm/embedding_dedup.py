@@ -2,7 +2,7 @@
 
 Equal vectors are one. Vectors are dealt to shards of bounded bytes by a hash; each shard is one task's graph of layers. Every
 vector is searched in every shard: from the top layer greedily down, then by a beam in the
-lowest layer. A beam that holds links only is widened, at last to the whole shard.
+lowest layer. A beam that holds links only is widened, at last to the whole shard, as soon as comparing all its rows costs no more.
 
 Two audits set the width of beams, which doubles until neither misses a link. When a graph is built it must find rows
 from queries made at all cosines from the threshold up, so an audit has links however few the
@@ -69,10 +69,13 @@ def margin(dim: int) -> float:
 
 
 def within(index: Layers, q: np.ndarray, low: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs (query, row) found by beams of ``width`` and more, with single-precision cosines of at least ``low``, of unit vectors."""
+    """Pairs (query, row) found by beams of ``width`` and more, with single-precision cosines of at least ``low``, of unit vectors.
+
+    A beam that has been widened gives way to all rows of the shard once comparing these costs no more.
+    """
     size = len(index.x)
     full = []
-    exact = width >= size
+    exact = width >= size or (width > WIDTH and cheaper_exactly(width, DEGREE, size))
     for lo in range(0, 0 if exact else len(q), BATCH):
         ids, d = index.search(q[lo : lo + BATCH], width)
         hit = d <= 1 - 2 * low
@@ -92,10 +95,17 @@ def within(index: Layers, q: np.ndarray, low: float, width: int) -> Iterator[tup
         yield todo[part][r], c, cos[r, c]
 
 
-def complete(index: Layers, q: np.ndarray, low: float, width: int) -> int:
-    """The least width, ``width`` doubled as often as need be, at which no link of ``q`` is missed."""
-    true = sum(int((q[part] @ index.x.T >= low).sum()) for part in slices(len(q), len(index.x)))
-    while width < len(index.x) and sum(len(r) for r, _, _ in within(index, q, low, width)) < true:
+def complete(index: Layers, q: np.ndarray, low: float, sure: float, width: int) -> int:
+    """The least width, ``width`` doubled as often as need be, at which all links of ``q`` of a cosine ``sure`` are found among those of ``low``.
+
+    Between the two lie links that rounding may find or not.
+    """
+    size, true = len(index.x), []
+    for part in slices(len(q), size):
+        r, c = np.nonzero(q[part] @ index.x.T >= sure)
+        true.append((r + part.start) * size + c)
+    true = np.concatenate(true) if true else np.zeros(0, np.int64)
+    while width < size and not np.isin(true, np.concatenate([r * size + c for r, c, _ in within(index, q, low, width)])).all():
         width *= 2
     return width
 
@@ -125,8 +135,8 @@ def _build(threshold: float):
         v = _matrix(table["v"], len(table))
         v = v / np.abs(v).max(1, keepdims=True)
         index = Layers(_unit(v))
-        low = threshold - margin(v.shape[1])
-        width = complete(index, planted(index.x, low), low, WIDTH)
+        low, sure = threshold - margin(v.shape[1]), threshold + margin(v.shape[1])
+        width = complete(index, planted(index.x, threshold), low, sure, WIDTH)
         data = pickle.dumps((table["id"].to_numpy(), table["copies"].to_numpy(), v, index, width))
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
 
@@ -145,7 +155,7 @@ def _search(threshold: float):
             unit, off = _unit(q), margin(q.shape[1])
             low = threshold - off
             probe = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-            width = complete(index, unit[probe], low, width)
+            width = complete(index, unit[probe], low, threshold + off, width)
             links, held, stars = np.zeros(len(q)), 0, []
             for a, b, cos in within(index, unit, low, width):
                 near = np.flatnonzero(cos < threshold + off)

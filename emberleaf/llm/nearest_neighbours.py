@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberleaf.llm._proximity import BATCH, beam, cheaper_exactly, connect, insert, shards, slices, vectors
+from emberleaf.llm._proximity import BATCH, beam, cheaper_exactly, connect, distances, insert, shards, slices, vectors
 from emberleaf.llm._spark import stored
 
 #: Least number of shards, and bytes of the vectors of one shard and of one block of queries.
@@ -68,10 +68,12 @@ class Graph:
         """The least width, ``width`` doubled as often as need be, at which RECALL of the ``k`` nearest rows of a sample of ``q`` are found."""
         own = q[np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))]
         k = min(k, len(self.x))
-        true = self.exact(own, k)
+        far = distances(self.x, self.norms, self.exact(own, k), own).max(1)
+        far += 1e-5 * (np.abs(far) + (own * own).sum(1))  # rows as near as the last one are as good
         while width < len(self.x):
             found = self.search(own, width)[:, :k]
-            if (true[:, :, None] == found[:, None, :]).any(2).mean() >= RECALL:
+            near = (found >= 0) & (distances(self.x, self.norms, found, own) <= far[:, None])
+            if near.sum() >= RECALL * near.size:
                 break
             width *= 2
         return width
