@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from emberleaf.functions import proximity
 from emberleaf.functions import vectors as v
 
 #: Components and kind of each tier, for vectors of 384 components; other sizes scale.
@@ -128,6 +130,51 @@ def bit_search(df: DataFrame, key: str, vector: str, query: Sequence[float], k:
     return df.withColumn("distance", d).orderBy("distance", key).limit(k)
 
 
+#: Bytes of the vectors of one graph of a tier; its links, the beam that builds and the beam that searches it.
+GRAPH_BYTES, LINKS, BUILD, BEAM = 64 << 20, 16, 200, 50
+
+
+def graph_index(df: DataFrame, key: str, vector: str, tier: str, tiers=TIERS) -> DataFrame:
+    """Hierarchical navigable small-world graphs of each tier's truncated vectors: ``tier``, ``shard`` and ``data``, the table to store.
+
+    A tier's rows are dealt by a hash of the key to graphs of at most about GRAPH_BYTES. Zero vectors are left out.
+    """
+    cut = F.lit(None).cast("array<double>")
+    for name, (dims, _) in tiers.items():
+        cut = F.when(F.col(tier) == name, v.truncate(F.col(vector), dims)).otherwise(cut)
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(tier).alias("tier"), cut.alias("v")).where(F.exists("v", lambda x: x != 0))
+    bytes_ = max((r["b"] for r in rows.groupBy("tier").agg(F.sum(F.size("v") * 8).alias("b")).collect()), default=0)  # a row for each tier
+    shard = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-bytes_ // GRAPH_BYTES)))).cast("int")
+    return rows.withColumn("shard", shard).groupBy("tier", "shard").applyInArrow(_graph, "tier string, shard int, data binary")
+
+
+def _graph(key, table):
+    table = table.sort_by("id")
+    x = np.asarray(table["v"].combine_chunks().flatten()).reshape(len(table), -1).astype(np.float32)
+    data = pickle.dumps((table["id"].to_numpy(), proximity.Layers(x, LINKS, BUILD)))
+    return pa.table({"tier": [key[0].as_py()], "shard": pa.array([key[1].as_py()], pa.int32()), "data": pa.array([data], pa.binary())})
+
+
+def graph_search(index: DataFrame, query: Sequence[float], k: int, width: int = BEAM, tiers=TIERS) -> DataFrame:
+    """``id``, ``tier`` and ``score`` of the ``k`` rows of greatest cosine that beams of ``width`` find in all graphs, ties to the smaller id."""
+    q = np.asarray(query, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tier, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids, graph = pickle.loads(data.as_buffer())
+                own = q[: tiers[tier][0]]
+                own = (own / (np.linalg.norm(own) or 1)).astype(np.float32)
+                found, _ = graph.search(own[None], max(width, k))
+                found = found[0][found[0] >= 0]
+                score = graph.x[found].astype(float) @ own.astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array([tier] * len(found)), pa.array(score)], names=["id", "tier", "score"])
+
+    rows = index.select("tier", "data").mapInArrow(run, "id long, tier string, score double")
+    best = rows.groupBy("id").agg(F.max_by("tier", F.struct("score", "tier")).alias("tier"), F.max("score").alias("score"))
+    return best.orderBy(F.desc("score"), "id").limit(k)
+
+
 def label_pairs(df: DataFrame, key: str, label: str, vector: str, least: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``a`` < ``b`` of one label and ``score``, their cosine, of all pairs where it is above ``least``, which is 0 or more.
 

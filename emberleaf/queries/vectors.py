@@ -178,3 +178,14 @@ def label_pairs(spark, sf_dir):
     """All pairs of similar vectors of the same label."""
     pairs = vs.label_pairs(table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 0.2)
     return pairs.select(F.col("a").alias("vec_id"), F.col("b").alias("other"), F.round("score", 6).alias("score"))
+
+
+def _cut_cosine() -> str:
+    return " ".join(f"WHEN {i} THEN list_cosine_similarity(({_E})[1:{d}], ({SQL_QUERY})[1:{d}])" for i, (d, _) in enumerate(TIERS.values()))
+
+
+@q(f"SELECT vec_id, {SQL_TIER} AS tier, round(CASE vec_id % 4 {_cut_cosine()} END, 5) AS score FROM embeddings ORDER BY CASE vec_id % 4 {_cut_cosine()} END DESC, vec_id LIMIT 10")
+def graph_search(spark, sf_dir):
+    """The ten nearest vectors by small-world graphs of each tier; here these find the exact answer."""
+    index = vs.graph_index(table(spark, sf_dir, "embeddings").withColumn("tier", tier()), "vec_id", "embedding", "tier", TIERS)
+    return vs.graph_search(index, QUERY, 10, tiers=TIERS).select(F.col("id").alias("vec_id"), "tier", F.round("score", 5).alias("score"))

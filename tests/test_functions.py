@@ -348,3 +348,46 @@ def test_files(spark, tmp_path):
     got = {(r["a"], r["b"], r["_raw"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {("1", '{"c":"2"}', None), (None, None, "broken"), ("x", None, None)}
     assert math.isclose(one(spark, lifecycle.hours_since(F.lit(0.0), 7200)), 2)
+
+
+def test_graph_search_recall(spark):
+    """Of several graphs of two tiers, against all cosines."""
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=(4000, 32))
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else "warm", x.tolist()) for i, x in enumerate(e)], "id long, tier string, e array<double>")
+    tiers = {"hot": (32, "float"), "warm": (24, "float")}
+    vector_search.GRAPH_BYTES, before = 128 << 10, vector_search.GRAPH_BYTES
+    try:
+        index = vector_search.graph_index(rows, "id", "e", "tier", tiers).collect()
+    finally:
+        vector_search.GRAPH_BYTES = before
+    assert len(index) > 4
+    index = spark.createDataFrame(index, "tier string, shard int, data binary")
+    hits = 0
+    for at in range(5):
+        q = rng.normal(size=32)
+        score = [(x[:d] @ q[:d] / np.linalg.norm(x[:d]) / np.linalg.norm(q[:d])) for i, x in enumerate(e) for d in [32 if i % 2 else 24]]
+        want = set(np.argsort(-np.array(score))[:10].tolist())
+        got = vector_search.graph_search(index, q.tolist(), 10, tiers=tiers).collect()
+        assert all(r["score"] == pytest.approx(score[r["id"]], abs=1e-5) for r in got)
+        hits += len(want & {r["id"] for r in got})
+    assert hits >= 45
+
+
+def test_weighted_simhash_by_brute_force(spark):
+    texts = {1: "alpha beta beta gamma", 2: "", 3: "abc", 4: "delta alpha delta"}
+    idf = {"alpha": 1.2, "beta": 2.5}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    table = spark.createDataFrame(list(idf.items()), "term string, idf double")
+    got = {r["id"]: r["hex"] for r in fingerprints.weighted_simhash(docs, "id", "text", table).select("id", fp.to_hex(F.col("fingerprint")).alias("hex")).collect()}
+    for i, text in texts.items():
+        votes = np.zeros(256)
+        bits = lambda w: np.unpackbits(np.frombuffer(hashlib.sha256(w.encode()).digest(), np.uint8)).astype(float) * 2 - 1
+        words = [w for w in text.split() if len(w) >= 3]
+        for w in set(words):
+            votes += 0.7 * words.count(w) * idf.get(w, 1.0) * bits(w)
+        grams = [text[k : k + 4] for k in range(len(text) - 3)] or [text]
+        for g in grams:
+            votes += 0.3 / len(grams) * bits(g)
+        want = np.packbits(np.round(votes, 9) >= 0).tobytes().hex()
+        assert got.get(i, want) == want
