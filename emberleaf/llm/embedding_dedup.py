@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberleaf.functions.proximity import BATCH, Layers
 from emberleaf.llm._graph import components, smallest
-from emberleaf.llm._proximity import BATCH, beam, cheaper_exactly, connect, insert, shards, slices, vectors
+from emberleaf.llm._proximity import cheaper_exactly, shards, slices, vectors
 from emberleaf.llm._skew import spread
 from emberleaf.llm._spark import NULL_ID, stored
 
@@ -35,34 +36,6 @@ PLANTED, AUDIT = 256, 48
 HELD = 1 << 20
 
 
-class Layers:
-    """A hierarchical navigable small-world graph; layer 0 holds all rows, each next one about one in 16 of those below."""
-
-    def __init__(self, x: np.ndarray) -> None:
-        self.x, self.norms = x, (x * x).sum(1)
-        rng = np.random.default_rng(0)
-        level = np.floor(-np.log(1 - rng.random(len(x))) / np.log(16)).astype(int)
-        self.rows = np.argsort(-level, kind="stable")
-        self.graphs: list[np.ndarray] = []
-        self.tops = int(level.max(initial=0))
-        for k in range(self.tops, -1, -1):
-            graph = np.full((len(x), DEGREE), -1, np.int32)
-            above = list(self.graphs)
-            insert(x, self.norms, graph, self.rows[: int((level >= k).sum())], lambda own, above=above: self.descend(x[own], above), BUILD, 1.0)
-            self.graphs.append(connect(x, self.norms, graph, self.rows[: int((level >= k).sum())], int(self.rows[0])))
-
-    def descend(self, q: np.ndarray, graphs: list[np.ndarray]) -> np.ndarray:
-        """First rows of a search in the layer below ``graphs``."""
-        at = np.full((len(q), 1), self.rows[0], np.int64)
-        for g in graphs:
-            ids, _ = beam(self.x, self.norms, g, q, at, 4, 2)
-            at = ids[:, :1]
-        return at
-
-    def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        return beam(self.x, self.norms, self.graphs[-1], q, self.descend(q, self.graphs[:-1]), min(width, len(self.x)))
-
-
 def margin(dim: int) -> float:
     """How far a cosine in single precision may be off."""
     return 2.0**-22 * (dim + 16)
@@ -134,7 +107,7 @@ def _build(threshold: float):
         table = table.sort_by("id")
         v = _matrix(table["v"], len(table))
         v = v / np.abs(v).max(1, keepdims=True)
-        index = Layers(_unit(v))
+        index = Layers(_unit(v), DEGREE, BUILD)
         low, sure = threshold - margin(v.shape[1]), threshold + margin(v.shape[1])
         width = complete(index, planted(index.x, threshold), low, sure, WIDTH)
         data = pickle.dumps((table["id"].to_numpy(), table["copies"].to_numpy(), v, index, width))

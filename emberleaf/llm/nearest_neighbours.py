@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberleaf.llm._proximity import BATCH, beam, cheaper_exactly, connect, distances, insert, shards, slices, vectors
+from emberleaf.functions.proximity import BATCH, beam, connect, distances, insert
+from emberleaf.llm._proximity import cheaper_exactly, shards, slices, vectors
 from emberleaf.llm._spark import stored
 
 #: Least number of shards, and bytes of the vectors of one shard and of one block of queries.

@@ -5,7 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from emberleaf.llm import _proximity, embedding_dedup, nearest_neighbours, queries
+from emberleaf.functions import proximity
+from emberleaf.llm import embedding_dedup, nearest_neighbours, queries
 from pyspark.sql import functions as F
 
 
@@ -124,7 +125,7 @@ def test_walks_reach_islands():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(50, 4)) + c for c in (0, 100, 200)]).astype(np.float32)
     graph = np.concatenate([(np.arange(150)[:, None] // 50 * 50 + rng.integers(0, 50, (150, 3)))]).astype(np.int32)
-    graph = _proximity.connect(x, (x * x).sum(1), graph, np.arange(150), 0)
+    graph = proximity.connect(x, (x * x).sum(1), graph, np.arange(150), 0)
     seen, front = {0}, [0]
     while front:
         front = [int(j) for i in front for j in graph[i] if j >= 0 and j not in seen and not seen.add(int(j))]
