@@ -23,7 +23,9 @@ BINS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Labelled rows that a language's model is fitted on, in expectation; all rows where it has fewer.
 SAMPLE_ROWS = 2000
-MAX_LANGUAGES = 256
+#: Cells of the matrix that is broadcast, and most languages that it has room for.
+CELLS = 1 << 24
+MAX_LANGUAGES = CELLS >> 10
 SMOOTHING = 0.5
 CHARS = 1 << 18
 
@@ -122,7 +124,7 @@ class Model:
                     row = rows[first : lo + step][use]
                     if len(row):
                         new = np.flatnonzero(np.diff(row, prepend=-1))
-                        scores[row[new]] += np.add.reduceat(self.log_prob[bins[use]], new, axis=0)
+                        scores[row[new]] += np.add.reduceat(self.log_prob[bins[use] & (len(self.log_prob) - 1)], new, axis=0)
             done += k
         return scores + self.prior, letters
 
@@ -130,37 +132,37 @@ class Model:
 def fit(docs: DataFrame, text: str, lang: str, key: str, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the rows whose text and language are not null.
 
-    For each language about ``sample_rows`` rows are drawn by a hash of ``key`` against that
-    language's number of rows; priors are over all rows. More than MAX_LANGUAGES languages are an error, since
-    the matrix is broadcast. No labelled rows give a model without languages.
+    For each language about ``sample_rows`` rows are drawn by a hash of ``key``, or of the text of a null one, against that
+    language's number of rows; priors are over all rows. The matrix is broadcast, so more than 256 languages
+    share its cells by fewer bins, and more than MAX_LANGUAGES, 1,024 bins each, are an error. No labelled rows give a model without languages.
     """
-    known = bounded(docs).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.crc32(F.concat(F.lit("fit:"), F.coalesce(F.col(key).cast("string"), F.lit("")))).alias("h"))
+    known = bounded(docs).where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.crc32(F.concat(F.lit("fit:"), F.coalesce(F.col(key).cast("string"), F.hex(F.xxhash64(text))))).alias("h"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     names = sorted(sizes)
     if not names:
         return Model([], np.zeros((BINS, 0), np.float32), np.zeros(0))
-    drawn = F.lit(False)
-    for x in names:
-        drawn |= (F.col("lang") == x) & (F.col("h") <= int(min(1.0, sample_rows / sizes[x]) * 0xFFFFFFFF))
+    bins = min(BINS, 1 << (CELLS // len(names)).bit_length() - 1)
+    most = docs.sparkSession.createDataFrame([(x, int(min(1.0, sample_rows / n) * 0xFFFFFFFF)) for x, n in sizes.items()], "lang string, most long")
+    drawn = known.join(F.broadcast(most), "lang").where("h <= most")  # a row for each language
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
             langs = np.asarray(b.column(1).to_pylist(), object)
             for x in dict.fromkeys(langs):
-                got = counted(b.column(0).filter(pa.array(langs == x)))
+                got = counted(b.column(0).filter(pa.array(langs == x))).reshape(-1, bins).sum(0)
                 total[x] = total.get(x, 0) + got
         for x, c in total.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at), pa.array(c[at])], names=["lang", "bin", "n"])
 
-    got = known.where(drawn).select("text", "lang").repartition(8).mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((len(names), BINS))
+    got = drawn.select("text", "lang").repartition(8).mapInArrow(count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(names), bins))
     where = {x: i for i, x in enumerate(names)}
     counts[[where[x] for x in got["lang"].to_pylist()], got["bin"].to_numpy()] = got["n"].to_numpy()
-    prob = np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * BINS))
+    prob = np.log((counts + SMOOTHING) / (counts.sum(1, keepdims=True) + SMOOTHING * bins))
     prior = np.log(np.array([sizes[x] for x in names]) / sum(sizes.values()))
     return Model(names, np.ascontiguousarray(prob.T.astype(np.float32)), prior)
 

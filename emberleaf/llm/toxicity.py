@@ -4,12 +4,13 @@ Tokens get log-odds between toxic and clean documents under Dirichlet priors: a
 the log-odds of its six-byte prefix, that one's the five-byte prefix's, and so on, so that unseen forms of a
 stem share its evidence. Less a drift, the scores make clean text fall; a linear-time scan
 finds all maximal segments of each text. A segment is significant by its expected number among
-clean texts of the same length (Karlin-Altschul), and a logistic curve over the best segment's
-extreme-value score gives the document's probability.
+clean texts of the same length (Karlin-Altschul). A document's evidence is the extreme-value score of its best segment or of its
+best several ones together, by their sum's law, and a logistic curve over it gives the probability.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,8 @@ from emberleaf.llm._text import cut, mix, prefixes, scan
 PREFIXES = (4, 5, 6)
 #: Labelled rows of each class that the model is fitted on, in expectation.
 SAMPLE_ROWS = 4000
-#: Most features that are broadcast, the most frequent ones.
-FEATURES = 1 << 18
+#: Most features that are broadcast, 16 MB; a sample of this size has fewer, or else its most frequent ones are taken.
+FEATURES = 1 << 20
 PRIOR, DRIFT, SIGNIFICANT = 1.0, 1.0, 0.01
 
 
@@ -51,12 +52,22 @@ class Model:
                 done |= hit
         return out - DRIFT
 
-    def level(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Extreme-value scores of the best segments of texts of ``n`` tokens."""
-        return self.rate * best - np.log(self.space * np.maximum(n, 1))
+    def evidence(self, scores: list[float], n: int) -> float:
+        """The extreme-value score of a text of ``n`` tokens with segments of ``scores``.
 
-    def probability(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.level(best, n) + self.bias, -50, 50)))
+        It is that of the best segment, or the negative logarithm of how likely clean text has the r best ones
+        together, halved for each further r, if that is more.
+        """
+        low = math.log(self.space * max(n, 1))
+        best, total = self.rate * max(scores, default=0.0) - low, 0.0
+        for r, s in enumerate(sorted((s for s in scores if self.rate * s > low), reverse=True), 1):
+            total += self.rate * s - low
+            if r > 1:
+                best = max(best, total - (r - 1) * math.log(max(total, 1.0)) + math.lgamma(r + 1) + math.lgamma(r) - r * math.log(2))
+        return best
+
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.bias, -50, 50)))
 
 
 def features(w) -> list[np.ndarray]:
@@ -195,10 +206,11 @@ def _calibrated(model: Model, rows: DataFrame, shift: float = 0.0) -> Model:
                 w = scan(b.column(0).slice(lo, hi - lo), lower=True, letters=True)
                 s = np.clip(np.round(model.token_scores(w) * 8), -255, 255).astype(int) + 256
                 bins += [np.bincount(s[x:y], minlength=512) for x, y in zip(w.off[:-1], w.off[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([max([x[2] for x in s], default=0.0) for _, s in got], pa.float64()), pa.array([x.tolist() for x in bins], pa.list_(pa.int64()))], names=["y", "n", "best", "bins"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in got], pa.int64()), pa.array([[x[2] for x in s] for _, s in got], pa.list_(pa.float64())), pa.array([x.tolist() for x in bins], pa.list_(pa.int64()))], names=["y", "n", "scores", "bins"])
 
-    got = rows.where("hold").select("text", "y").mapInArrow(measure, "y int, n long, best double, bins array<long>").toArrow()
-    y, n, best = (got[c].to_numpy() for c in ("y", "n", "best"))
+    got = rows.where("hold").select("text", "y").mapInArrow(measure, "y int, n long, scores array<double>, bins array<long>").toArrow()
+    y, n, scores = got["y"].to_numpy(), got["n"].to_numpy(), got["scores"].to_pylist()
+    best = np.array([max(s, default=0.0) for s in scores])
     if not len(y) or y.min() == y.max():
         return model
     hist = np.asarray(got["bins"].combine_chunks().flatten()).reshape(len(y), 512)[y == 0].sum(0)
@@ -208,7 +220,8 @@ def _calibrated(model: Model, rows: DataFrame, shift: float = 0.0) -> Model:
     clean = y == 0
     # the maximum likelihood of a Gumbel law of known rate gives its location
     model.space = float(1 / np.exp(np.log(np.mean(np.exp(np.clip(-model.rate * best[clean], -300, 0)) * np.maximum(n[clean], 1)))))
-    model.slope, model.bias = _logistic(model.level(best, n), y == 1)
+    evidence = np.array([model.evidence(s, int(k)) for s, k in zip(scores, n, strict=True)])
+    model.slope, model.bias = _logistic(evidence, y == 1)
     model.bias += shift
     return model
 
@@ -232,13 +245,13 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            n, best, found = [], [], []
+            n, evidence, found = [], [], []
             for size, got in documents(b.column(names.index(text)), m):
                 n.append(size)
-                best.append(max([x[2] for x in got], default=0.0))
+                evidence.append(m.evidence([x[2] for x in got], size))
                 low = (np.log(m.space * max(size, 1)) - np.log(SIGNIFICANT)) / m.rate
                 found.append([{"start": x, "end": y, "score": z} for x, y, z in got if z >= low])
-            p = m.probability(np.array(best), np.array(n))
+            p = m.probability(np.array(evidence))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(n, pa.int64()), pa.array(found, passage)], names=[*names, *kinds])
 
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema), *(f"{k} {v}" for k, v in kinds.items())])
