@@ -26,7 +26,7 @@ def _measured(spark, sf_dir):
     rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
     ranked = score.withColumn("rank", rank).where("rank <= 5").select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"), "rank")
     heads = bench.select("item_id", F.left("text", F.lit(60)).alias("head"))
-    relevant = docs.join(F.broadcast(heads), F.contains(F.col("text"), F.col("head"))).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"))
+    relevant = m.holders(docs.select("doc_id", "text"), heads, "doc_id", "text", "head").select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"))
     return m.retrieval(ranked, relevant)
 
 

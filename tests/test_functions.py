@@ -391,3 +391,14 @@ def test_weighted_simhash_by_brute_force(spark):
             votes += 0.3 / len(grams) * bits(g)
         want = np.packbits(np.round(votes, 9) >= 0).tobytes().hex()
         assert got.get(i, want) == want
+
+
+def test_holders_of_passages(spark, monkeypatch):
+    """Passages found by inner words as by comparing all."""
+    docs = spark.createDataFrame([(1, "x one two three four five six y"), (2, "xone two three four five sixy"), (3, "one two three  four five six"), (4, "short one"), (5, "")], "id long, text string")
+    passages = spark.createDataFrame([("a", "one two three four five six"), ("b", "short"), ("c", "two three four five six seven")], "p string, head string")
+    want = {(1, "a"), (2, "a"), (4, "b")}
+    got = lambda: {(r["id"], r["p"]) for r in metrics.holders(docs, passages, "id", "text", "head").collect()}
+    assert got() == want
+    monkeypatch.setattr(metrics, "FEW", 1)
+    assert got() == want
