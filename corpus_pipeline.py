@@ -18,8 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least posterior probability of the predicted language.
 CERTAIN = 0.5
 MASK = "[SECRET]"
-#: Words whose encoding a worker keeps, fewer than for the digests alone since ids take memory too.
-CACHED_WORDS = 100_000
+#: Bytes of encoded words that a worker keeps, fewer than for the digests alone since ids take memory too.
+CACHED_BYTES = 32 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with digests of ids and decoded text."""
-    coded = sentencepiece_codec.encode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("piece_bpe_32k.model"), cached_words=CACHED_WORDS)
+    coded = sentencepiece_codec.encode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("piece_bpe_32k.model"), cached_bytes=CACHED_BYTES)
     return coded.select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

@@ -25,14 +25,16 @@ from pyspark.sql import functions as F
 from emberleaf.llm._spark import bounded
 
 MARK = "▁"
-#: Words and pairs of tokens whose answers a worker keeps, some 350 and 150 bytes each.
-CACHED_WORDS, CACHED_PAIRS = 800_000, 300_000
+#: Bytes of the words whose answers a worker keeps, and pairs of pieces.
+CACHED_BYTES, CACHED_PAIRS = 256 << 20, 300_000
+#: Bytes that an answer takes besides its texts.
+ENTRY_BYTES = 260
 
 
 class Codec:
     """Encodes as the sentencepiece library does, for BPE models with byte fallback and no text normalisation."""
 
-    def __init__(self, model: bytes, cached_words: int = CACHED_WORDS) -> None:
+    def __init__(self, model: bytes, cached_bytes: int = CACHED_BYTES) -> None:
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto.FromString(model)
@@ -53,7 +55,7 @@ class Codec:
         self.automaton.make_automaton()
         self.pairs: dict[tuple[str, str], bool] = {}
         self.cache: dict[str, tuple[int, str, bytes]] = {}
-        self.cached_words = cached_words
+        self.cached_bytes, self.used = cached_bytes, 0
 
     def merged(self, s: str) -> list[str]:
         """``s`` by repeatedly merging the best-scored adjacent pair, leftmost first."""
@@ -103,10 +105,12 @@ class Codec:
         ids: list[int] = []
         for t in self.tokens(s):
             ids += [self.ids[t]] if t in self.ids else [self.bytes[b] for b in t.encode()]
-        if len(self.cache) >= self.cached_words:
-            self.cache.clear()
         got = len(ids), ",".join(map(str, ids)), b"".join(map(self.pieces.__getitem__, ids))
         if len(s) <= 64:
+            if self.used > self.cached_bytes:
+                self.cache.clear()
+                self.used = 0
+            self.used += ENTRY_BYTES + 2 * len(s) + len(got[1]) + len(got[2])
             self.cache[s] = got
         return got
 
@@ -128,19 +132,19 @@ class Codec:
 _codecs: dict[tuple[str, int], Codec] = {}
 
 
-def codec(model: bytes, cached_words: int = CACHED_WORDS) -> Codec:
+def codec(model: bytes, cached_bytes: int = CACHED_BYTES) -> Codec:
     """One codec for each model in a Python worker, so that its caches outlive a task."""
-    key = hashlib.sha256(model).hexdigest(), cached_words
+    key = hashlib.sha256(model).hexdigest(), cached_bytes
     if key not in _codecs:
-        _codecs[key] = Codec(model, cached_words)
+        _codecs[key] = Codec(model, cached_bytes)
     return _codecs[key]
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = True, cached_words: int = CACHED_WORDS) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = True, cached_bytes: int = CACHED_BYTES) -> DataFrame:
     """``docs`` with columns ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, unless ``ids`` is off, ``ids`` and ``decoded``.
 
     The model file is read on the driver and sent along; its size does not depend on the data. A worker keeps the answers of
-    ``cached_words`` words. A
+    words, of about ``cached_bytes`` in all. A
     null text is an empty one and has no ids. Other columns pass through, but for
     such that bear a result's name, which it replaces. Rows are independent: repeated rows and
     ties need no rule, an empty table stays empty, and a long text is encoded whole.
@@ -157,7 +161,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = Tru
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(shipped.value, cached_words)
+        coder = codec(shipped.value, cached_bytes)
         for batch in batches:
             col, step = batch.column(kept.index(text)), 256 if ids else 4096
             for lo in range(0, batch.num_rows, step):
