@@ -38,8 +38,8 @@ CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table written to the shared folder: its lineage ends there.
 
-    A lost executor then costs a read, not a recomputation. The table goes when the JVM ends; the
-    shuffle files behind it go at the end of the write.
+    A lost executor then costs a read, not a recomputation. The table goes when the JVM ends, or before by ``dropped``;
+    the shuffle files behind it go at the end of the write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/emberleaf-{uuid.uuid4().hex}"
@@ -51,7 +51,15 @@ def stored(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANED, before)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = where
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` gave, once nothing is to be read of them."""
+    for t in tables:
+        t._stored_at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(t._stored_at, True)
 
 
 #: Least number that stands for a null id.

@@ -2,8 +2,8 @@
 
 Exchange clustering puts words into classes: a word moves to the class that raises the likelihood of class
 bigrams most. The most frequent words are exchanged one by one with all counts up to date. Then all words that
-training text has twice or more are placed, and exchanged on, in rounds over the corpus, in which many words
-move at once by the counts of the round before; a round that lowers the likelihood is undone. The number of
+training text has twice or more are placed, and those that occur OFTEN exchanged on, in rounds over the corpus, in which many
+words move at once by the counts of the round before; a round that lowers the likelihood is undone. The number of
 classes grows with the root of the number of words. A token's probability is a class transition, smoothed to class
 frequencies, times the word's emission from its class. Words seen once, and unseen ones, share a class of their
 own with add-half emissions, as do the rarest beyond TABLE words; a transition starts from the last token whose class
@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberleaf.llm._skew import spread
-from emberleaf.llm._spark import bounded, stored
+from emberleaf.llm._spark import bounded, dropped, stored
 from emberleaf.llm._text import cut, scan
 
 #: Words that are broadcast with their classes, words that are exchanged one by one, and the most classes.
 TABLE, SEEDS, MOST_CLASSES = 1 << 20, 2048, 256
-#: Passes over the seeds, and rounds over all words: the first places them, the others exchange half of them each.
-PASSES, ROUNDS = 4, 3
+#: Passes over the seeds, and rounds over all words: the first places them, the others exchange half of those that occur OFTEN each.
+PASSES, ROUNDS, OFTEN = 4, 3, 16
 #: Logarithms that a step of a round holds.
 CELLS = 1 << 22
 END = np.uint64(0x454E44)
@@ -92,21 +92,106 @@ def counted(docs: DataFrame, text: str, keys) -> DataFrame:
     return bounded(docs).select(F.col(text)).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def _tallied(df: DataFrame, keys) -> DataFrame:
-    """Sums over all rows of ``df``, with one list of ranks, of how often each key in ``keys(ranks, offsets)`` occurs, as ``k`` and ``n``."""
+ROWS = "w long, code array<int>, n array<long>"
+
+
+def _listed(keys: np.ndarray, n: np.ndarray, width: int, below: bool) -> pa.RecordBatch:
+    """Counts of sorted ``keys`` as one row for each ``key // width``, with lists; ``below`` zero, as -1 - that, if so asked."""
+    w, code = np.divmod(keys, width)
+    first = np.flatnonzero(np.diff(w, prepend=-1))
+    off = pa.array(np.append(first, len(w)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(off, pa.array(x)) for x in (code.astype(np.int32), n.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(-1 - w[first] if below else w[first], pa.int64()), *lists], names=["w", "code", "n"])
+
+
+def _tallied(df: DataFrame, keys, cells: int, width: int, codes: int = 1) -> DataFrame:
+    """How often each key in ``keys(ranks, offsets)`` occurs in a task, over all rows of ``df``, with one list of ranks.
+
+    ``keys`` gives arrays of keys; those of the first one, below ``cells``, are counted in place and become rows below zero, by
+    ``width`` of them; others are sorted and become rows by ``codes`` of them. A row for many counts keeps the shuffle
+    that adds tasks up cheap.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally()
+        tally, dense = Tally(), np.zeros(cells, np.int64)
+
+        def drained() -> Iterator[pa.RecordBatch]:
+            got = tally.drain()
+            k, n = got.column(0).to_numpy(), got.column(1).to_numpy()
+            for lo in range(0, len(k), 1 << 20):
+                yield _listed(k[lo : lo + (1 << 20)], n[lo : lo + (1 << 20)], codes, False)
+
         for b in batches:
             if b.num_rows:
                 col = b.column(0)
                 off = col.offsets.to_numpy().astype(np.int64)
-                tally.add(keys(col.flatten().to_numpy().astype(np.int64), off - off[0]))
+                few, *more = keys(col.flatten().to_numpy().astype(np.int64), off - off[0])
+                dense += np.bincount(few, minlength=cells)
+                for k in more:
+                    tally.add(k.astype(np.uint64))
                 if tally.full():
-                    yield tally.drain()
-        yield tally.drain()
+                    yield from drained()
+        some = np.flatnonzero(dense)
+        for lo in range(0, len(some), 1 << 20):
+            yield _listed(some[lo : lo + (1 << 20)], dense[some[lo : lo + (1 << 20)]], width, True)
+        yield from drained()
+
+    return df.mapInArrow(run, ROWS)
+
+
+def _added(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows sorted by ``w`` the words, codes and sums of counts, sorted by both, some words at a time and each word whole."""
+    none = np.zeros(0, np.int64)
+    held, size = [(none, none, none)], 0
+
+    def summed(w: np.ndarray, code: np.ndarray, n: np.ndarray):
+        order = np.lexsort((code, w))
+        w, code = w[order], code[order]
+        first = np.flatnonzero((np.diff(w, prepend=w[:1] - 1) != 0) | (np.diff(code, prepend=code[:1]) != 0))
+        return w[first], code[first], np.add.reduceat(n[order], first) if len(first) else n
+
+    for b in batches:
+        if b.num_rows:
+            lists = b.column(1)
+            w = np.repeat(b.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            held.append((w, lists.flatten().to_numpy().astype(np.int64), b.column(2).flatten().to_numpy()))
+            size += len(w)
+        if size > most:
+            all_ = summed(*(np.concatenate([x[i] for x in held]) for i in range(3)))
+            cut = np.searchsorted(all_[0], all_[0][-1])
+            if cut:
+                yield tuple(x[:cut] for x in all_)
+            held = [tuple(x[cut:] for x in all_)]
+            size = len(all_[0]) - cut
+    if any(len(x[0]) for x in held):
+        yield summed(*(np.concatenate([x[i] for x in held]) for i in range(3)))
+
+
+#: Shares by which a word's rows of all tasks are first added up.
+SHARES = 16
+
+
+def _fewer(rows: DataFrame) -> DataFrame:
+    """``rows`` added up to about SHARES for each word, so that a word of every task is no burden to one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, code, n in _added(batches):
+            first = np.flatnonzero(np.diff(w, prepend=w[:1] - 1))
+            off = pa.array(np.append(first, len(w)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(w[first]), pa.ListArray.from_arrays(off, pa.array(code.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(n))], names=["w", "code", "n"])
+
+    share = F.pmod(F.xxhash64("code", "n"), F.lit(SHARES))
+    return rows.repartition(F.col("w"), share).sortWithinPartitions("w").mapInArrow(run, ROWS)
+
+
+def _cells(rows: DataFrame, width: int) -> DataFrame:
+    """``k`` and ``n`` of the keys that tasks counted in place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, code, n in _added(batches):
+            yield pa.RecordBatch.from_arrays([pa.array((-1 - w) * width + code), pa.array(n)], names=["k", "n"])
 
-    return df.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return _fewer(rows.where("w < 0")).repartition("w").sortWithinPartitions("w").mapInArrow(run, "k long, n long")
 
 
 @dataclass
@@ -211,10 +296,11 @@ def gains(pairs: np.ndarray, own_class: np.ndarray, word: np.ndarray, code: np.n
     out = np.zeros((size, to))
     for side, matrix, sums in ((0, pairs[:, :to], pairs.sum(0)[:to]), (1, pairs[:to].T, pairs.sum(1)[:to])):
         w, c = np.nonzero(counts[side])
-        m = counts[side, w, c]
+        m = counts[side, w, c].astype(np.float32)
+        matrix = matrix.astype(np.float32)
         for lo in range(0, len(w), max(1, CELLS // every)):
             part = slice(lo, lo + max(1, CELLS // every))
-            base, at = matrix[c[part]].copy(), np.arange(len(w[part]))  # by the class joined, without the word itself
+            base, at = matrix[c[part]], np.arange(len(w[part]))  # by the class joined, without the word itself
             a = own_class[w[part]]
             has = a < to
             base[at[has], a[has]] -= m[part][has]
@@ -222,9 +308,11 @@ def gains(pairs: np.ndarray, own_class: np.ndarray, word: np.ndarray, code: np.n
             base[home] -= counts[1 - side, w[part][home], :to]
             home &= has
             base[at[home], a[home]] -= twin[w[part][home]]
-            base = np.maximum(base, 0)
+            np.maximum(base, 1e-3, out=base)  # log1p, not a difference of logarithms: single precision will do
+            more = m[part][:, None]
+            gain = more * np.log(base + more) + base * np.log1p(more / base)
             first = np.flatnonzero(np.diff(w[part], prepend=-1))
-            out[w[part][first]] += np.add.reduceat(_h(base + m[part][:, None]) - _h(base), first)
+            out[w[part][first]] += np.add.reduceat(gain, first)
         total = (counts[side].sum(1) + twin)[:, None]
         base = np.repeat(sums[None], size, 0)
         base[placed, mine] -= total[placed, 0]
@@ -299,38 +387,39 @@ def fit(train: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
                 ranks = pa.array(shipped.value.find(h).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), ranks)], names=["ranks"])
 
-    ranks = bounded(stored(bounded(train).select(F.col(text)).mapInArrow(encode, "ranks array<int>")))
+    ranks = stored(bounded(train).select(F.col(text)).mapInArrow(encode, "ranks array<int>"))
 
     seeds = min(SEEDS, size - 1)
     cell = np.full(size + 1, seeds + 1)
     cell[0], cell[1 : seeds + 1] = seeds, np.arange(seeds)
 
-    def bigrams(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def bigrams(x: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         c = cell[x]
-        return (_before(off, c, seeds) * (seeds + 2) + c).astype(np.uint64)
+        return [_before(off, c, seeds) * (seeds + 2) + c]
 
     cls = np.full(size + 1, rare)
     cls[0] = end
-    cls[1 : seeds + 1] = exchange(_matrix(_tallied(ranks, bigrams).toArrow(), (seeds + 2, seeds + 2)), to)
+    cls[1 : seeds + 1] = exchange(_matrix(_cells(_tallied(ranks, bigrams, (seeds + 2) ** 2, seeds + 2), seeds + 2).toArrow(), (seeds + 2, seeds + 2)), to)
 
     codes, best, before = 2 * every + 1, -np.inf, cls
+    times = np.append(count, 0)
     for turn in range(ROUNDS):
-        moves = np.arange(size + 1) % 2 == turn % 2 if turn else cls == rare
+        moves = (np.arange(size + 1) % 2 == turn % 2) & (times >= OFTEN) if turn else cls == rare
         moves[[0, size]] = False
         if not moves.any():
             break
         known = ship((cls, moves))
 
-        def contexts(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+        def contexts(x: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
             cls, moves = known.value  # noqa: B023
             c = cls[x]
             prev, use = _before(off, c, end), np.flatnonzero(moves[x])
-            twin = use[(_before(off, x, 0)[use] == x[use])]
             w = x[use] * codes
-            return np.concatenate([w + prev[use], w + every + c[use + 1], x[twin] * codes + 2 * every, (size + 1) * codes + prev * every + c]).astype(np.uint64)
+            twin = _before(off, x, 0)[use] == x[use]
+            return [prev * every + c, np.concatenate([w + prev[use], w + every + c[use + 1], w[twin] + 2 * every])]
 
-        seen = stored(_tallied(ranks, contexts))
-        pairs = _matrix(seen.where(F.col("k") >= (size + 1) * codes).select((F.col("k") - (size + 1) * codes).alias("k"), "n").toArrow(), (every, every))
+        seen = stored(_tallied(ranks, contexts, every * every, every, codes))
+        pairs = _matrix(_cells(seen, every).toArrow(), (every, every))
         now = likelihood(pairs)
         if now < best:
             cls = before
@@ -340,31 +429,33 @@ def fit(train: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls, pairs = state.value  # noqa: B023
-            for b in batches:
-                for lo in range(0, b.num_rows, 2048):
-                    words, lists = b.column(0).slice(lo, 2048).to_numpy(), b.column(1).slice(lo, 2048)
-                    word = np.repeat(np.arange(len(words)), np.diff(lists.offsets.to_numpy()))
-                    flat = lists.flatten()
-                    own = cls[words]
-                    gain = gains(pairs, own, word, flat.field("code").to_numpy(), flat.field("n").to_numpy())
+            for w, code, n in _added(batches):
+                words, word = np.unique(w, return_inverse=True)
+                for lo in range(0, len(words), 2048):
+                    own = cls[words[lo : lo + 2048]]
+                    part = slice(*np.searchsorted(word, [lo, lo + 2048]))
+                    gain = gains(pairs, own, word[part] - lo, code[part], n[part])
                     new = gain.argmax(1)
                     stay = np.flatnonzero(own < to)
                     stay = stay[gain[stay, new[stay]] <= gain[stay, own[stay]] + 1e-9]
                     new[stay] = own[stay]
-                    yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(new)], names=["w", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(words[lo : lo + 2048]), pa.array(new)], names=["w", "c"])
 
-        near = seen.where(F.col("k") < (size + 1) * codes).select(F.floor(F.col("k") / codes).cast("long").alias("w"), F.struct((F.col("k") % codes).alias("code"), "n").alias("s"))
-        new = near.groupBy("w").agg(F.collect_list("s").alias("s")).mapInArrow(choose, "w long, c long").toArrow()  # a row for each word of the table
+        often = _fewer(seen.where((F.col("w") >= 0) & (F.col("w") < SEEDS)))
+        near = seen.where(F.col("w") >= SEEDS).unionByName(often).repartition("w").sortWithinPartitions("w")
+        new = near.mapInArrow(choose, "w long, c long").toArrow()  # a row for each word of the table
+        dropped(seen)
         cls = cls.copy()
         cls[new["w"].to_numpy()] = new["c"].to_numpy()
 
     final = ship(cls)
 
-    def chain(x: np.ndarray, off: np.ndarray) -> np.ndarray:
+    def chain(x: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
         c = final.value[x]
-        return (_steps(c, off, end, rare) * every + c).astype(np.uint64)
+        return [_steps(c, off, end, rare) * every + c]
 
-    step = _matrix(_tallied(ranks, chain).toArrow(), (every, every))
+    step = _matrix(_cells(_tallied(ranks, chain, every * every, every), every).toArrow(), (every, every))
+    dropped(ranks)
     share = (step.sum(0) + 0.5) / (step.sum() + 0.5 * every)
     log_step = np.log10((step + TRANSITION_PRIOR * share) / (step.sum(1, keepdims=True) + TRANSITION_PRIOR))
     cls = cls[:size]
@@ -402,10 +493,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                 s = m.log_step[_steps(c, off, every - 2, every - 1), c] + emit[x]
                 doc = np.repeat(np.arange(hi - lo), np.diff(off))
                 new = x == size
-                pairs = np.stack([doc[new].astype(np.uint64), h[new]], 1)
-                one, times = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
-                ends = np.searchsorted(one[:, 0], np.arange(hi - lo + 1).astype(np.uint64)).astype(np.int32)
-                words = pa.StructArray.from_arrays([pa.array(one[:, 1].copy().view(np.int64)), pa.array(times)], names=["k", "times"])
+                own, word = doc[new], h[new]
+                order = np.lexsort((word, own))
+                own, word = own[order], word[order]
+                first = np.flatnonzero((np.diff(own, prepend=-1) != 0) | (np.diff(word, prepend=word[:1]) != 0))
+                ends = np.searchsorted(own[first], np.arange(hi - lo + 1)).astype(np.int32)
+                words = pa.StructArray.from_arrays([pa.array(word[first].view(np.int64)), pa.array(np.diff(first, append=len(own)))], names=["k", "times"])
                 sums = [np.add.reduceat(v, off[:-1]) for v in (base[x], s, seen[x].astype(float))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(b.column(i + 2).slice(lo, hi - lo) for i in range(more)), pa.array(np.diff(off)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends), words)], names=[*columns, "n_tokens", "z", "s", "known", "other"])
 

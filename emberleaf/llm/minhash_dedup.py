@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from emberleaf.llm._bloom import partnered
 from emberleaf.llm._graph import components
 from emberleaf.llm._skew import copied, dealt, hot, spread
-from emberleaf.llm._spark import bounded, stored
+from emberleaf.llm._spark import NULL_ID, bounded, dropped, numbered, stored
 from emberleaf.llm._text import cut, mix, pair, scan, shingles
 
 VALUES, ORDERS, DEPTH = 64, 16, 4
@@ -35,8 +35,6 @@ VALUES, ORDERS, DEPTH = 64, 16, 4
 REGION, NEAR = 24, 3
 #: Equal values of 64 below which no pair of Jaccard 0.8 falls, but for one in 10^8.
 AGREE = 32
-#: Least number that stands for a null id.
-NULL_ID = 1 << 62
 
 #: Crowded rows of one task that looks for candidates.
 TASK_ROWS = 20_000
@@ -364,8 +362,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     gives no rows; other columns, whatever their names, are not read.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    own = F.xxhash64(F.lit("id"), body).bitwiseAND(NULL_ID - 1).bitwiseOR(NULL_ID)
-    known = bounded(docs).select(body.alias("text_"), F.coalesce(F.col(key).cast("long"), own).alias("ord"), F.xxhash64(body).alias("th"))
+    known = bounded(docs).select(body.alias("text_"), numbered(F.col(key), body).alias("ord"), F.xxhash64(body).alias("th"))
     all_ = stored(known.mapInArrow(_describe(words, 2), "ord long, th long, n long, s1 long, s2 long, sig binary"))
     best = F.min(F.struct("ord", "th", "n", "sig")).alias("r")
     reps = stored(all_.where("n > 0").groupBy("s1", "s2").agg(best).select("s1", "s2", F.col("r.ord").alias("rep"), "r.th", "r.n", "r.sig"))
@@ -388,8 +385,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     sides = pairs.select(F.col("a").alias("ord"), F.col("ta").alias("th")).unionByName(pairs.select(F.col("b").alias("ord"), F.col("tb").alias("th"))).distinct()
     sides = stored(sides)
-    texts = stored(partnered(known, "th", sides.select("th")).join(sides, ["ord", "th"], "left_semi"))
-    texts = texts.dropDuplicates(["ord", "th"])
+    dropped(shared, crowded, forest, found)
+    wanted = stored(partnered(known, "th", sides.select("th")).join(sides, ["ord", "th"], "left_semi"))
+    texts = wanted.dropDuplicates(["ord", "th"])
 
     def confirmed(p: DataFrame) -> DataFrame:
         """The links among pairs ``p``, a stored table; a text of many pairs goes to several tasks."""
@@ -403,16 +401,19 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     rank = lambda other: F.struct("agree", (-F.col(other)).alias("o"), "a", "ta", "b", "tb").alias("p")
     top = pairs.select(F.col("a").alias("x"), rank("b")).unionByName(pairs.select(F.col("b").alias("x"), rank("a"))).groupBy("x").agg(F.max("p").alias("p")).select("p.a", "p.ta", "p.b", "p.tb").distinct()
     top = stored(top)
-    links = stored(confirmed(top))
+    confirmed_ = stored(confirmed(top))
     # rows of one id with different sets, or copies of a set
     same = spread(all_.where("n > 0").select("s1", "s2", "ord"), reps.select("s1", "s2", "rep"), ["s1", "s2"]).where("ord <> rep").select(F.col("ord").alias("a"), F.col("rep").alias("b"))
-    links = stored(links.unionByName(same))
+    links = stored(confirmed_.unionByName(same))
     label = components(links)
     near = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    named = spread(stored(spread(pairs, near("a"), ["a"], "left")), near("b"), ["b"], "left")
+    half = stored(spread(pairs, near("a"), ["a"], "left"))
+    named = spread(half, near("b"), ["b"], "left")
     apart = named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "ta", "b", "tb")
-    more = stored(confirmed(stored(apart.join(top, ["a", "ta", "b", "tb"], "left_anti"))))
+    rest = stored(apart.join(top, ["a", "ta", "b", "tb"], "left_anti"))
+    more = stored(confirmed(rest))
     if not more.isEmpty():
         label = components(links.unionByName(more))
+    dropped(reps, pairs, sides, wanted, top, confirmed_, links, half, rest, more)
     out = all_.join(label, all_["ord"] == label["node"], "left").withColumn("c", F.coalesce("component", "ord"))
     return out.select(F.when(F.col("ord") < NULL_ID, F.col("ord")).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("c") < NULL_ID, F.col("c")).alias("component_id"), (F.col("c") == F.col("ord")).alias("kept"), "ord", "th")

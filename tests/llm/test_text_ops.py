@@ -12,6 +12,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +65,20 @@ def test_source_mix_edges(odd, none):
     assert source_mix.mix(none).isEmpty()
 
 
+@pytest.mark.parametrize("edge", [1, 10_000])
+def test_source_mix_of_unspaced_texts(spark, monkeypatch, edge):
+    """Words of hundreds of characters, whose weights crowd the keys; the range that is sorted is small all the same."""
+    monkeypatch.setattr(source_mix, "EDGE_ROWS", edge)
+    docs = spark.range(20_000).selectExpr("id as doc_id", "repeat(concat('w', repeat('x', 999), ' '), cast(1 + id % 3 as int)) as text", "if(id % 3 = 0, null, concat('s', id % 2)) as source")
+    rows = source_mix.stored(source_mix.keyed(docs))
+    slim = rows.select("source", "of_", "size", "z_")
+    ends = source_mix.cuts(slim.drop("source"), source_mix.targets(slim.select("source", "size")))
+    inside = rows.join(ends, "of_").where("z_ >= cut_ and z_ < end_").groupBy("of_").count().collect()
+    assert len(inside) == 3 and all(r["count"] <= (1 if edge == 1 else 200) for r in inside)
+    got = source_mix.mix(docs, texts=False).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.max(F.col("taken") - 2 * F.col("size")).alias("over")).collect()
+    assert all(abs(r["t"] - r["g"]) < 1 and r["over"] <= 0 for r in got)
+
+
 def test_targets_reshare_the_excess(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 10)], "source string, size long")
     got = {r["source"]: r["target"] for r in source_mix.targets(sizes).collect()}
@@ -107,6 +122,22 @@ def test_language_id_edges(odd, none):
     assert language_id.predict(none, model).isEmpty()
 
 
+def test_language_id_of_many_languages(spark, monkeypatch):
+    """More languages than have room for all bins, and rows without ids, of which a share is drawn as of any others."""
+    monkeypatch.setattr(language_id, "CELLS", 1 << 14)
+    rng = np.random.default_rng(0)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = []
+    for k in range(12):
+        own = rng.permutation(letters)[:6]
+        rows += [(None, " ".join("".join(rng.choice(own, 5)) for _ in range(30)), f"l{k}") for _ in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, "text", "lang", "doc_id", sample_rows=8)
+    assert model.log_prob.shape == (1024, 12)
+    got = language_id.predict(docs, model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) > 0.95 * len(got)
+
+
 def test_toxicity_held_out(spark, sf):
     sf = sf.replace("0.001", "0.01")
     got = queries.op4_toxicity(spark, sf).toPandas().merge(pd.read_parquet(f"{sf}/labels.parquet"), on="doc_id")
@@ -151,6 +182,32 @@ def test_toxicity_keeps_the_share_of_toxic_rows(spark):
         assert mean == pytest.approx(0.1, abs=0.05), sample_rows
 
 
+def test_toxicity_score_by_brute_force(spark, sf):
+    """Scores of whole texts from the fitted numbers, word by word, and evidence from several passages."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    odds = dict(zip(model.keys.tolist(), model.scores.tolist(), strict=True))
+    from emberleaf.llm._text import scan
+
+    for r in toxicity.score(docs.limit(40), model).collect():
+        words = scan(pa.array([r["text"]]), lower=True, letters=True)
+        forms = [f.tolist() for f in toxicity.features(words)]
+        s = [next((odds[f[i]] for f in forms[::-1] if f[i] in odds), 0.0) - toxicity.DRIFT for i in range(len(words.start))]
+        low = math.log(model.space * max(len(s), 1))
+        total, best = np.concatenate([[0.0], np.cumsum(s)]), 0.0
+        lowest = np.inf
+        for x in total:
+            lowest = min(lowest, x)
+            best = max(best, x - lowest)
+        if sum(model.rate * x[2] > low for x in toxicity.segments(np.array(s))) < 2:
+            want = 1 / (1 + math.exp(-(model.slope * (model.rate * best - low) + model.bias)))
+            assert r["n_tokens"] == len(s) and r["score"] == pytest.approx(want, rel=1e-6, abs=1e-9)
+    law = toxicity.Model(model.keys, model.scores, rate=1.0, space=1.0)
+    one, two = law.evidence([9.0], 100), law.evidence([9.0, 8.5], 100)
+    assert one == pytest.approx(9 - math.log(100)) and two > one
+    assert law.evidence([9.0, 1.0, 2.0], 100) == one and law.evidence([], 0) == 0.0
+
+
 def test_toxicity_edges(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (2, 1), (2, 0), (6, 0), (7, 1), (8, 1), (9, 0), (None, 1), (10, None)], "doc_id long, toxic int")
     for model in (toxicity.fit(odd, labels), toxicity.fit(odd, labels.where("toxic = 0")), toxicity.fit(none, labels)):
@@ -420,9 +477,108 @@ def test_class_lm_is_a_distribution(spark):
     step = 10**model.log_step
     assert np.allclose(step.sum(1), 1)
     assert all(0 < p < 1 for p in got.values())
-    kept = model.table.cls != class_lm.CLASSES + 1
-    emit = np.bincount(model.table.cls[kept], 10 ** model.log_emit[kept])
-    assert np.allclose(emit[np.unique(model.table.cls[kept])], 1)
+    kept = model.cls != len(step) - 1
+    emit = np.bincount(model.cls[kept], 10 ** model.log_emit[kept])
+    assert np.allclose(emit[np.unique(model.cls[kept])], 1)
+
+
+def class_likelihood(n, cls):
+    """Of class bigrams with word emissions, but for the part that classes do not change, by brute force."""
+    pairs = Counter()
+    for a in range(len(n)):
+        for b in range(len(n)):
+            pairs[cls[a], cls[b]] += n[a, b]
+    left, right = Counter(), Counter()
+    for (a, b), x in pairs.items():
+        left[a] += x
+        right[b] += x
+    h = lambda c: sum(x * math.log(x) for x in c.values() if x)
+    return h(pairs) - h(left) - h(right)
+
+
+def test_exchange_against_brute_force():
+    """No single move raises the likelihood further, and moves of one word at a time gain as foretold."""
+    rng = np.random.default_rng(8)
+    size, to = 14, 4
+    n = rng.poisson(rng.gamma(0.4, 4, (size + 2, size + 2))).astype(float)
+    n[:, -2] += 1
+    cls = [*class_lm.exchange(n, to, 50), to, to + 1]
+    best = class_likelihood(n, cls)
+    assert best > class_likelihood(n, [*(np.arange(size) % to), to, to + 1])
+    for w in range(size):
+        assert all(class_likelihood(n, [*cls[:w], c, *cls[w + 1 :]]) <= best + 1e-6 for c in range(to))
+    cls = np.array([*rng.integers(0, to, size), to, to + 1])
+    cls[3] = to + 1  # a word without a class
+    pairs = np.zeros((to + 2, to + 2))
+    np.add.at(pairs, (cls[:, None], cls[None]), n)
+    assert class_lm.likelihood(pairs) == pytest.approx(class_likelihood(n, cls))
+    code, count, word = [], [], []
+    for w in range(size):
+        for c in range(to + 2):
+            code += [c, to + 2 + c]
+            count += [n[cls == c, w].sum(), n[w, cls == c].sum()]
+        code.append(2 * (to + 2))
+        count.append(n[w, w])
+        word += [w] * (2 * (to + 2) + 1)
+    got = class_lm.gains(pairs, cls[:size], np.array(word), np.array(code), np.array(count))
+    for w in range(size):
+        want = np.array([class_likelihood(n, [*cls[:w], c, *cls[w + 1 :]]) for c in range(to)])
+        assert np.allclose(got[w] - got[w, 0], want - want[0], atol=0.05)
+
+
+@pytest.mark.parametrize("table", [1 << 20, 40])
+def test_class_lm_score_by_brute_force(spark, sf, monkeypatch, table):
+    """Probabilities by counting tokens and class transitions one by one, also with words that the table lacks."""
+    monkeypatch.setattr(class_lm, "TABLE", table)
+    monkeypatch.setattr(class_lm, "SEEDS", 30)
+    d = documents(sf).head(120)
+    docs = spark.createDataFrame([(int(r.doc_id), r.text) for r in d.itertuples()], "doc_id long, text string")
+    model, counts = class_lm.fit(docs.where("doc_id % 4 <> 0"))
+    words = {r.doc_id: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(r.text or "")] + [None] for r in d.itertuples()}
+    flat = sorted({w for ws in words.values() for w in ws if w is not None})
+    hashes, _ = class_lm.tokens(pa.array(flat))
+    ranks = dict(zip(flat, model.table.find(hashes[hashes != class_lm.END]).tolist(), strict=True)) | {None: 0}
+    every = len(model.log_step)
+    cls = lambda w: int(model.cls[ranks[w]]) if ranks[w] < len(model.cls) else every - 1
+    train = [ws for i, ws in words.items() if i % 4]
+    count = Counter(w for ws in train for w in ws)
+
+    def steps(ws):
+        at = every - 2
+        for w in ws:
+            yield at, cls(w)
+            at = cls(w) if cls(w) < every - 1 else at
+
+    pairs, per = Counter(p for ws in train for p in steps(ws)), Counter()
+    for w, n in count.items():
+        per[cls(w)] += n
+    into, total = Counter(), sum(pairs.values())
+    of = Counter()
+    for (a, b), n in pairs.items():
+        of[a] += n
+        into[b] += n
+    rare = sum(cls(w) == every - 1 for w in count)
+    prior = class_lm.TRANSITION_PRIOR
+    rows = class_lm.score(docs, model, counts, keep=(F.col("doc_id"),)).collect()
+    assert len(rows) == len(d)
+    for r in rows:
+        want = 0.0
+        for w, (a, b) in zip(words[r["doc_id"]], steps(words[r["doc_id"]]), strict=True):
+            share = (into[b] + 0.5) / (total + 0.5 * every)
+            want += math.log10((pairs[a, b] + prior * share) / (of[a] + prior))
+            want += math.log10(count[w] / per[b]) if b < every - 1 else math.log10((count[w] + 0.5) / (per[b] + 0.5 * (rare + 1)))
+        assert r["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_class_lm_of_ties(spark, monkeypatch):
+    """More words of one count than the table holds, and the end of texts beside them."""
+    monkeypatch.setattr(class_lm, "TABLE", 4)
+    docs = spark.createDataFrame([("a b c d e f a b c d e f",)], "text string")
+    model, counts = class_lm.fit(docs)
+    assert model.table.find(np.array([class_lm.END])).tolist() == [0] and len(model.count) < 7
+    r = class_lm.score(docs, model, counts, keep=(F.lit("x").alias("n_known"),)).collect()[0]
+    assert (r["n_tokens"], r["n_known"]) == (13, 13)
+    assert r["base_score"] == pytest.approx(12 * math.log10(2.5 / (13 + 0.5 * 8)) + math.log10(1.5 / (13 + 0.5 * 8)))
 
 
 def test_class_lm_edges(odd, none):
