@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from emberleaf.functions import text as t
 from emberleaf.operators import graph as g
 from emberleaf.queries import Registry, table
+from emberleaf.sources.tables import checkpoint_dir
 
 q = Registry()
 _LOG = "log AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS session, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item FROM events), one AS (SELECT DISTINCT session, item FROM log)"
@@ -34,6 +37,14 @@ def co_recall_graph(spark, sf_dir):
     return g.graph(log(spark, sf_dir), "session", "item").select("src", "dst", "n_ab", F.round("weight", 6).alias("weight"))
 
 
+@q(f"WITH {_GRAPH} SELECT src, dst, n_ab, round(least(1.0, weight * 20), 6) AS overlap FROM e")
+def stored_graph(spark, sf_dir):
+    """Directed edges saved with overlaps that are held within 1, and loaded."""
+    path = f"{checkpoint_dir(spark)}/graph-{uuid.uuid4().hex}"
+    g.save(g.graph(log(spark, sf_dir), "session", "item").withColumn("overlap", F.col("weight") * 20), path)
+    return g.load(spark, path).select("src", "dst", "n_ab", F.round("overlap", 6).alias("overlap"))
+
+
 @q(f"WITH {_GRAPH} SELECT count(*) AS edges, count(DISTINCT src) AS nodes, (SELECT count(DISTINCT session) FROM log) AS sessions, (SELECT count(*) FROM log) AS recalls FROM e")
 def graph_stats(spark, sf_dir):
     rows = log(spark, sf_dir)

@@ -129,3 +129,31 @@ def store_statistics(spark, sf_dir):
     assert found["files"] == len(sinks.list_files(sinks.read_store(spark, path)))
     back = sinks.read_store(spark, path)
     return back.agg(F.count("*").alias("artifacts"), F.sum(F.length("content")).cast("long").alias("chars")).select("*", F.lit(found["files"] > 0).alias("files"), F.lit(found["bytes"] > 0).alias("bytes"))
+
+
+@q("SELECT item_id, length(left(text || chr(10), 102400)) AS n, sha256(left(text || chr(10), 102400)) AS content_hash FROM benchmark")
+def gzip_texts(spark, sf_dir):
+    """Passages written as compressed text files, one each, and read whole."""
+    path = _folder(spark)
+    table(spark, sf_dir, "benchmark").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").option("compression", "gzip").text(path)
+    rows = files.gzip_text(spark, path)
+    return rows.select(F.regexp_extract("path", "item_id=(\\d+)", 1).cast("long").alias("item_id"), F.length("content").cast("long").alias("n"), F.sha2("content", 256).alias("content_hash"))
+
+
+@q("SELECT item_id::VARCHAR AS artifact_id, length(text) AS n FROM benchmark")
+def hot_artifacts(spark, sf_dir):
+    """Passages as one JSON file each, beside one that is broken, read as artifacts."""
+    path = _folder(spark)
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").cast("string").alias("artifact_id"), F.col("text").alias("content"))
+    rows.repartition("item_id").write.partitionBy("item_id").json(path)
+    spark.createDataFrame([('{"artifact_id": "broken',)], "value string").coalesce(1).write.text(f"{path}/item_id=-1")
+    return files.hot_json(spark, f"{path}/*", "artifact_id string, content string").where("artifact_id is not null").select("artifact_id", F.length("content").cast("long").alias("n"))
+
+
+@q("SELECT count(*) AS n, sum(strlen(text) + 1)::BIGINT AS bytes FROM benchmark")
+def file_counts(spark, sf_dir):
+    """Number and bytes of scanned files, of which tiers have written one more."""
+    path = _folder(spark)
+    table(spark, sf_dir, "benchmark").select("item_id", "text").repartition("item_id").write.partitionBy("item_id").text(path)
+    spark.range(1).write.parquet(f"{path}/item_id=-1")
+    return files.count(files.scan(spark, path).where(F.col("path").endswith(".txt") | F.col("path").endswith(".parquet")))

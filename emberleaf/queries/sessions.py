@@ -16,11 +16,13 @@ def messages(spark, sf_dir):
     return rows.withColumn("role", F.when(F.col("role") == "user", "human").otherwise(F.col("role")))
 
 
-@q(r"""
+_SAID = "coalesce(" + ", ".join(f"nullif(left(regexp_extract(text, '{p}'), 100), '')" for p in s.DECISIONS) + ")"
+
+
+@q(rf"""
 WITH m AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'human' ELSE role END AS role, text FROM conversations WHERE role <> 'system'),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM m),
-d AS (SELECT *, CASE WHEN role = 'assistant' AND n <= 10 THEN coalesce(nullif(left(regexp_extract(text, '(?i)(?:decided|decision|chose|choosing|picked|selected|went with|going with)\s+(.{20,100})'), 100), ''),
-  nullif(left(regexp_extract(text, '(?i)(?:built|created|added|implemented|shipped|deployed)\s+(.{20,100})'), 100), ''), nullif(left(regexp_extract(text, '(?i)(?:the (?:fix|solution|answer|result|approach) (?:is|was))\s+(.{20,100})'), 100), '')) END AS f FROM n),
+d AS (SELECT *, CASE WHEN role = 'assistant' AND n <= 10 THEN {_SAID} END AS f FROM n),
 g AS (SELECT conv_id, max(CASE WHEN role = 'human' AND n = 1 THEN regexp_replace(left(text, 200), '\[Image:.*?\]', '[image]', 'g') END) AS head, string_agg(f, '. ' ORDER BY turn) AS found, string_agg(left(text, 300), chr(10) || chr(10) ORDER BY turn) AS whole FROM d GROUP BY conv_id)
 SELECT conv_id, CASE WHEN left(concat_ws('. ', head, found), 300) <> '' THEN left(concat_ws('. ', head, found), 300) ELSE left(whole, 300) END AS summary FROM g
 """)

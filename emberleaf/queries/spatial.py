@@ -56,3 +56,9 @@ def nearby(spark, sf_dir):
     """Customers within 150 of each other, their balance and a number as coordinates."""
     points = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") * 7919 % 10007).cast("double").alias("y"))
     return s.near(points, points.withColumnRenamed("id", "query_id"), 150.0).withColumn("distance", F.round("distance", 6))
+
+
+@q(f"WITH {_SEEN} SELECT left(sha256, 16) AS artifact_id, confidence FROM a WHERE artifact_type = 'route_segment' AND confidence >= 0.3")
+def spatial_of_type(spark, sf_dir):
+    """Route segments of some confidence."""
+    return s.of_type(artifacts(spark, sf_dir), "route_segment", 0.3).select("artifact_id", "confidence")

@@ -78,3 +78,12 @@ def streaming_distinct(spark, sf_dir):
 def streaming_expiry(spark, sf_dir):
     """Users without an event for twelve hours of event time."""
     return _finished(spark, st.expiring(_events(spark, sf_dir).select("user_id", "at"), "user_id", "at", 12))
+
+
+@q("SELECT event_id, event_type AS event, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts FROM events")
+def streaming_audit(spark, sf_dir):
+    """Events appended to an audit log of JSON lines."""
+    path = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows = _events(spark, sf_dir).select("event_id", F.col("event_type").alias("event"), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("ts"))
+    st.append_audit(rows, f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema("event_id long, event string, ts string").json(f"{path}/out")
