@@ -34,16 +34,22 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     i.add_argument("content")
     i.add_argument("--label", default="note")
     sub.add_parser("status")
-    sub.add_parser("verify")
+    for verb in ("verify", "index-stats", "store-stats", "init", "reindex"):
+        sub.add_parser(verb)
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("emberleaf").getOrCreate()
     now = time.time() if a.now is None else a.now
     engine = MemoryEngine(spark, a.root, Config(sources=dict(x.split("=", 1) for x in a.source), pattern=a.pattern))
+    if a.verb == "init":
+        engine.save_config()
+        return
+    if not a.source and (kept := engine.saved_config()):
+        engine.config = kept
     if a.verb == "scan":
         from emberleaf.sources import files
 
         for label, path in engine.config.sources.items():
-            r = files.count(files.scan(spark, path, a.pattern)).first()
+            r = files.count(files.scan(spark, path, engine.config.pattern)).first()
             print(f"{label}: {r['n']} files, {r['bytes']} bytes")
     elif a.verb == "run":
         print(engine.run(now, a.dry_run))
@@ -56,10 +62,12 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         print(engine.context(a.query, now, a.budget).first()["context"])
     elif a.verb == "ingest":
         print(engine.ingest(a.content, a.label, now))
+    elif a.verb == "reindex":
+        print(engine.reindex())
     elif a.verb in ("pin", "remove"):
         getattr(engine, a.verb)(a.artifact_id)
     else:
-        getattr(engine, a.verb)().show(truncate=False)
+        getattr(engine, a.verb.replace("-", "_"))().show(truncate=False)
 
 
 if __name__ == "__main__":

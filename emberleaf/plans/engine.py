@@ -109,6 +109,29 @@ class MemoryEngine:
         links = self.supersessions()
         self._replace("links", links.join(supersession.chain_ends(links), "id"))
 
+    def reindex(self) -> int:
+        """Builds the index and the links anew from the artifacts; the number of artifacts."""
+        rows = self.artifacts()
+        fresh = f"{self.root}/index.new"
+        search.write_index(self._fields(rows), "artifact_id", FIELDS, fresh, "overwrite")
+        fs, path = self._fs()
+        fs.delete(path(f"{self.root}/index"), True)
+        fs.rename(path(fresh), path(f"{self.root}/index"))
+        self._relink()
+        return rows.count()
+
+    def save_config(self) -> None:
+        """Writes the settings beside the tables."""
+        fs, path = self._fs()
+        out = fs.create(path(f"{self.root}/config.json"), True)
+        out.write(self.config.to_json().encode())
+        out.close()
+
+    def saved_config(self) -> Config | None:
+        fs, path = self._fs()
+        where = f"{self.root}/config.json"
+        return Config.from_json(self.spark.read.text(where, wholetext=True).first()[0]) if fs.exists(path(where)) else None
+
     def run(self, now: float, dry_run: bool = False) -> dict[str, int]:
         """Ingests changed files of all sources and moves artifacts between tiers."""
         added = 0

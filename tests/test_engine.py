@@ -101,6 +101,13 @@ def test_command_line(engine, spark, capsys):
     for verb in (["scan"], ["run"], ["search", "protocol"], ["status"], ["verify"], ["context", "api"], ["recall", "none"]):
         main([*common, *verb], spark)
     said = capsys.readouterr().out
+    main([*common, "init"], spark)
+    main([engine.root, "reindex"], spark)
+    main([engine.root, "scan"], spark)
+    for verb in ("index-stats", "store-stats", "search"):
+        main([engine.root, verb, *(["protocol"] if verb == "search" else [])], spark)
+    again = capsys.readouterr().out
+    assert again.startswith("3\nnotes: ") and "num_terms" in again and "GraphQL" in again
     assert "'added': 3" in said and "GraphQL" in said and "not found" in said
 
 
