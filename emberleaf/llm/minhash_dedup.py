@@ -372,7 +372,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     tree = F.col("prefix").bitwiseAND(ORDERS - 1).cast("int")
     crowded = stored(partnered(prefixes, "prefix", shared).join(shared, "prefix").groupBy("rep").agg(F.collect_set(tree).alias("trees")))
     forest = stored(partnered(reps.select("rep", "th", "n", "sig"), "rep", crowded.select("rep")).join(crowded, "rep"))
-    rows = forest.select(F.explode("trees").alias("tree"), "sig", "rep", "th", "n").mapInArrow(_turned, "tree int, sig binary, rep long, th long, n long")
+    rows = stored(forest.select(F.explode("trees").alias("tree"), "sig", "rep", "th", "n").mapInArrow(_turned, "tree int, sig binary, rep long, th long, n long"))
     order = ["tree", "sig", "rep"]
     size = crowded.agg(F.sum(F.size("trees"))).first()[0] or 0
     found = stored(rows.repartitionByRange(max(1, -(-size // task_rows)), *order).sortWithinPartitions(*order).mapInArrow(_candidates(True), PAIRS))
@@ -385,7 +385,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     sides = pairs.select(F.col("a").alias("ord"), F.col("ta").alias("th")).unionByName(pairs.select(F.col("b").alias("ord"), F.col("tb").alias("th"))).distinct()
     sides = stored(sides)
-    dropped(shared, crowded, forest, found)
+    dropped(shared, crowded, forest, rows, found)
     wanted = stored(partnered(known, "th", sides.select("th")).join(sides, ["ord", "th"], "left_semi"))
     texts = wanted.dropDuplicates(["ord", "th"])
 
