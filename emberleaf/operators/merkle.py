@@ -93,10 +93,11 @@ def fold(level: DataFrame, height: int, steps: int, digest=sha2_256) -> DataFram
 
 
 def root(leaf_rows: DataFrame, n: int, digest=sha2_256) -> DataFrame:
-    """One row: the root ``hash`` of ``n`` leaves, FOLD levels by each aggregation."""
+    """One row: the root ``hash`` of ``n`` leaves, FOLD levels by each aggregation, or one by each if ``digest`` is none of Catalyst's own."""
     at, d = leaf_rows.select("idx", "hash"), depth(n)
-    for h in range(0, d, FOLD):
-        at = fold(at, h, min(FOLD, d - h), digest)
+    most = FOLD if digest is sha2_256 else 1
+    for h in range(0, d, most):
+        at = fold(at, h, most if h + most <= d else d - h, digest) if most > 1 else next_level(at, h, digest)
     return at.select("hash")
 
 
