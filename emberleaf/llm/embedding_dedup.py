@@ -182,3 +182,12 @@ def groups(df: DataFrame, key: str = "vec_id", vector: str = "embedding", thresh
     label = components(found.where("id <> root").select("id", "root").unionByName(out.where("id <> root").select("id", "root")))
     out = out.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     return out.select(F.when(F.col("id") < NULL_ID, F.col("id")).alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("c") < NULL_ID, F.col("c")).alias("component_id"), (F.col("c") == F.col("id")).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+c(node, comp) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, c.comp FROM c JOIN l ON l.a = c.node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT node AS vec_id, coalesce(any_value(n.n), 0) AS n_links, min(comp) AS component_id, min(comp) = node AS kept FROM c LEFT JOIN n ON n.a = node GROUP BY node
+"""

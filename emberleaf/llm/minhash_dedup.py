@@ -417,3 +417,15 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     dropped(reps, pairs, sides, wanted, top, confirmed_, links, half, rest, more)
     out = all_.join(label, all_["ord"] == label["node"], "left").withColumn("c", F.coalesce("component", "ord"))
     return out.select(F.when(F.col("ord") < NULL_ID, F.col("ord")).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("c") < NULL_ID, F.col("c")).alias("component_id"), (F.col("c") == F.col("ord")).alias("kept"), "ord", "th")
+
+
+#: Of the registered query, which takes four words.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+c(node, comp) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, c.comp FROM c JOIN l ON l.a = c.node)
+SELECT node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(comp) AS component_id, min(comp) = node AS kept FROM c LEFT JOIN n ON n.doc_id = node GROUP BY node
+"""

@@ -67,4 +67,4 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_language_id, op3_embedding_dedup, op4_toxicity, op5_secret_scans, op6_nearest_neighbours, op7_sentencepiece, op8_minhash_dedup, op9_class_lm, op10_substring_dedup)}
-ORACLE: dict[str, str] = {"op1_source_mix": source_mix.ORACLE}
+ORACLE: dict[str, str] = {"op1_source_mix": source_mix.ORACLE, "op3_embedding_dedup": embedding_dedup.ORACLE, "op8_minhash_dedup": minhash_dedup.ORACLE, "op10_substring_dedup": substring_dedup.ORACLE}

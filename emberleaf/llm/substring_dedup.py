@@ -275,3 +275,14 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         *([F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")] if texts else []),
     )
     return out
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY hash, key ORDER BY doc_id, i) AS r FROM (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS key, hash(array_to_string(w[i:i + 19], ' ')) AS hash FROM k)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r WHERE r > 1),
+o AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) ANTI JOIN g USING (doc_id, i)),
+t AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM o GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN t USING (doc_id)
+"""
