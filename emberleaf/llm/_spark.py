@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +75,20 @@ def numbered(key: Column, *told_by: Column) -> Column:
     return F.coalesce(key.cast("long"), F.xxhash64(F.lit("id"), *told_by).bitwiseAND(NULL_ID - 1).bitwiseOR(NULL_ID))
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker returns free memory to the system, so that what one task took does not stay with an idle worker."""
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
 #: Bytes of an Arrow batch, in the JVM and in a Python worker.
 BATCH_BYTES = 8 << 20
 

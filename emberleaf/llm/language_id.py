@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberleaf.llm._spark import bounded
+from emberleaf.llm._spark import bounded, trimmed
 from emberleaf.llm._text import strings
 
 BINS = 1 << 16
@@ -195,4 +195,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*names, *kinds])
 
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema), *(f"{k} {v}" for k, v in kinds.items())])
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(trimmed(run), schema)

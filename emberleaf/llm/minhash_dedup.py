@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from emberleaf.llm._bloom import partnered
 from emberleaf.llm._graph import components
 from emberleaf.llm._skew import copied, dealt, hot, spread
-from emberleaf.llm._spark import NULL_ID, bounded, dropped, numbered, stored
+from emberleaf.llm._spark import NULL_ID, bounded, dropped, numbered, stored, trimmed
 from emberleaf.llm._text import cut, mix, pair, scan, shingles
 
 VALUES, ORDERS, DEPTH = 64, 16, 4
@@ -39,7 +39,7 @@ AGREE = 32
 #: Crowded rows of one task that looks for candidates.
 TASK_ROWS = 20_000
 #: Rows of cut regions that a task holds at once.
-HELD_ROWS = 200_000
+HELD_ROWS = 50_000
 
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
@@ -317,7 +317,7 @@ def _centred(rows: DataFrame, ends: DataFrame) -> DataFrame | None:
         return ship({d: np.array(sorted(k for e, k in regions if e == d), np.uint64) for d in {d for d, _ in regions}})
 
     def per(regions, emit, schema: pa.Schema, kinds: str) -> DataFrame:
-        return rows.mapInArrow(_of_regions(regions, emit, schema), kinds)
+        return rows.mapInArrow(trimmed(_of_regions(regions, emit, schema)), kinds)
 
     every = {r for c in cuts for r in c}
     got = per(wanted(every), _size, longs("region", "c"), "region long, c long").groupBy("region").agg(F.sum("c").alias("c")).collect()
@@ -363,23 +363,23 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     """
     body = F.coalesce(F.col(text), F.lit(""))
     known = bounded(docs).select(body.alias("text_"), numbered(F.col(key), body).alias("ord"), F.xxhash64(body).alias("th"))
-    all_ = stored(known.mapInArrow(_describe(words, 2), "ord long, th long, n long, s1 long, s2 long, sig binary"))
+    all_ = stored(known.mapInArrow(trimmed(_describe(words, 2)), "ord long, th long, n long, s1 long, s2 long, sig binary"))
     best = F.min(F.struct("ord", "th", "n", "sig")).alias("r")
     reps = stored(all_.where("n > 0").groupBy("s1", "s2").agg(best).select("s1", "s2", F.col("r.ord").alias("rep"), "r.th", "r.n", "r.sig"))
 
-    prefixes = reps.select("rep", "sig").mapInArrow(_prefixes, "prefix long, rep long")
+    prefixes = reps.select("rep", "sig").mapInArrow(trimmed(_prefixes), "prefix long, rep long")
     shared = stored(prefixes.groupBy("prefix").agg(F.count("*").alias("c")).where("c > 1").select("prefix"))
     tree = F.col("prefix").bitwiseAND(ORDERS - 1).cast("int")
     crowded = stored(partnered(prefixes, "prefix", shared).join(shared, "prefix").groupBy("rep").agg(F.collect_set(tree).alias("trees")))
     forest = stored(partnered(reps.select("rep", "th", "n", "sig"), "rep", crowded.select("rep")).join(crowded, "rep"))
-    rows = stored(forest.select(F.explode("trees").alias("tree"), "sig", "rep", "th", "n").mapInArrow(_turned, "tree int, sig binary, rep long, th long, n long"))
+    rows = stored(forest.select(F.explode("trees").alias("tree"), "sig", "rep", "th", "n").mapInArrow(trimmed(_turned), "tree int, sig binary, rep long, th long, n long"))
     order = ["tree", "sig", "rep"]
     size = crowded.agg(F.sum(F.size("trees"))).first()[0] or 0
-    found = stored(rows.repartitionByRange(max(1, -(-size // task_rows)), *order).sortWithinPartitions(*order).mapInArrow(_candidates(True), PAIRS))
+    found = stored(rows.repartitionByRange(max(1, -(-size // task_rows)), *order).sortWithinPartitions(*order).mapInArrow(trimmed(_candidates(True)), PAIRS))
     # a few rows from either end of each partition, those of an order together
     ends = found.where("tree is not null").select("tree", "sig", F.col("a").alias("rep"), F.col("ta").alias("th"), "n").dropDuplicates(["tree", "rep"])
     centred = _centred(rows, found.where("tree is not null").select("tree", "sig", "agree"))
-    across = ends.repartition(ORDERS, "tree").sortWithinPartitions(*order).mapInArrow(_candidates(False), PAIRS)
+    across = ends.repartition(ORDERS, "tree").sortWithinPartitions(*order).mapInArrow(trimmed(_candidates(False)), PAIRS)
     candidates = found.where("tree is null").unionByName(across).select("a", "ta", "b", "tb", "agree")
     pairs = stored((candidates if centred is None else candidates.unionByName(centred)).groupBy("a", "ta", "b", "tb").agg(F.max("agree").alias("agree")))
 
@@ -395,7 +395,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
         two = texts.select(F.col("ord").alias("a"), F.col("th").alias("ta"), F.col("text_").alias("x"))
         left, right = (["a", "ta"], hot(p, ["a", "ta"]), "u_"), (["b", "tb"], hot(p, ["b", "tb"]), "v_")
         both = dealt(dealt(p, *left), *right).join(copied(one, *right), ["b", "tb", "v_"]).join(copied(two, *left), ["a", "ta", "u_"])
-        return both.select("a", "b", "x", "y").mapInArrow(_confirm(words, percent), "a long, b long")
+        return both.select("a", "b", "x", "y").mapInArrow(trimmed(_confirm(words, percent)), "a long, b long")
 
     # each document's best candidate, the smaller id at a tie
     rank = lambda other: F.struct("agree", (-F.col(other)).alias("o"), "a", "ta", "b", "tb").alias("p")

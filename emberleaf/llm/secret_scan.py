@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberleaf.llm._spark import bounded
+from emberleaf.llm._spark import bounded, trimmed
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -161,7 +161,7 @@ def find_secrets(docs: DataFrame, text: str = "text", replacement: str | None =
 
     frame = bounded(docs).select(*quoted)
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in frame.schema), *(f"{k} {v}" for k, v in kinds.items())])
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(trimmed(run), schema)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberleaf.llm._spark import bounded
+from emberleaf.llm._spark import bounded, trimmed
 
 MARK = "▁"
 #: Bytes of the words whose answers a worker keeps, and pairs of pieces.
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: bool = Tru
                 yield pa.RecordBatch.from_arrays([*(part.column(kept.index(c)) for c in names), *(pa.array(c, t) for c, t in zip(columns, extra.values(), strict=True))], names=[*names, *extra])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*map(_name, names)).schema), *(f"{k} {v}" for k, v in kinds.items())])
-    return bounded(docs).select(*map(_name, kept)).mapInArrow(run, schema)
+    return bounded(docs).select(*map(_name, kept)).mapInArrow(trimmed(run), schema)
 
 
 def _name(c: str):
