@@ -28,16 +28,16 @@ def register(rows: DataFrame, least: float = LEAST) -> DataFrame:
     an older day is picked, and within it the last such day. The work grows with sets and days, not with pairs of artifacts.
     """
     known = rows.where(F.col("kind").isNotNull()).select("id", "kind", "created_date", F.array_sort(F.array_distinct("terms")).alias("terms")).where(F.size("terms") >= 2)
-    known = known.withColumn("topic", F.sha2(F.to_json(F.struct("kind", "terms")), 256))
-    days = stored(known.groupBy("topic", "kind", "created_date", "terms").agg(F.min("id").alias("id")).where("created_date is not null"))
-    sets = days.groupBy("topic", "kind", "terms").agg(F.min("created_date").alias("since"))
-    words = stored(sets.select("topic", "kind", "terms", "since", F.size("terms").alias("n"), F.explode("terms").alias("term")))
+    known = stored(known.where("created_date is not null").withColumn("topic", F.md5(F.to_json(F.struct("kind", "terms")))))
+    days = stored(known.groupBy("topic", "created_date").agg(F.min("id").alias("id")))
+    sets = known.groupBy("topic").agg(F.first("kind").alias("kind"), F.first("terms").alias("terms"), F.min("created_date").alias("since"), F.max("created_date").alias("until"))
+    words = stored(sets.select("topic", "kind", "terms", "since", "until", F.size("terms").alias("n"), F.explode("terms").alias("term")))
     df = words.groupBy("kind", "term").agg(F.count("*").alias("df"))
     order = W.partitionBy("topic").orderBy("df", "term")
     cut = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
     prefix = words.join(df, ["kind", "term"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= cut)
-    side = lambda s: prefix.select("kind", "term", *(F.col(c).alias(f"{s}_{c}") for c in ("topic", "n", "terms", "since")))
-    fits = F.least("new_n", "old_n") >= least * F.greatest("new_n", "old_n") - 1e-9
+    side = lambda s: prefix.select("kind", "term", *(F.col(c).alias(f"{s}_{c}") for c in ("topic", "n", "terms", "since", "until")))
+    fits = (F.col("old_since") < F.col("new_until")) & (F.least("new_n", "old_n") >= least * F.greatest("new_n", "old_n") - 1e-9)
     pairs = side("new").join(side("old"), ["kind", "term"]).where(fits).dropDuplicates(["new_topic", "old_topic"])
     pairs = pairs.withColumn("similarity", jaccard(F.col("new_terms"), F.col("old_terms"))).where(F.col("similarity") >= least)
     pairs = stored(pairs.select("new_topic", "old_topic", "similarity", F.col("old_since").alias("since")))
