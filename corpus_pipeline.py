@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberleaf.llm import language_id, minhash_dedup, secret_scan, sentencepiece_codec, source_mix
-from emberleaf.llm._spark import stored, table
+from emberleaf.llm._spark import numbered, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least posterior probability of the predicted language.
@@ -31,10 +31,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near-duplicates; of rows that repeat an id, one."""
-    own = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    tagged = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), own).alias("own"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    kept = minhash_dedup.groups(tagged.select("own", "text"), key="own").where("kept").groupBy("own").agg(F.min("th").alias("th"))
-    return tagged.join(kept, ["own", "th"], "left_semi").dropDuplicates(["own", "th"]).select(*COLUMNS)
+    body = F.coalesce("text", F.lit(""))
+    tagged = docs.select(*COLUMNS, numbered(F.col("doc_id"), body).alias("ord"), F.xxhash64(body).alias("th"))
+    kept = minhash_dedup.groups(docs.select("doc_id", "text")).where("kept").groupBy("ord").agg(F.min("th").alias("th"))
+    return tagged.join(kept, ["ord", "th"], "left_semi").dropDuplicates(["ord", "th"]).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
