@@ -9,11 +9,18 @@ from __future__ import annotations
 import numpy as np
 
 BATCH = 1024
+#: Bytes of gathered vectors at a time.
+GATHERED = 8 << 20
 
 
 def distances(x: np.ndarray, norms: np.ndarray, at: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Of each query to its own candidate rows, less the query's squared norm."""
-    return norms[at] - 2 * np.matmul(x[at], q[:, :, None])[:, :, 0]
+    out = norms[at]
+    step = max(1, GATHERED // max(1, at.shape[1] * x[:1].nbytes))
+    for lo in range(0, len(at), step):
+        part = slice(lo, lo + step)
+        out[part] -= 2 * np.matmul(x[at[part]], q[part][:, :, None])[:, :, 0]
+    return out
 
 
 def beam(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, width: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +87,9 @@ def prune(x: np.ndarray, own: np.ndarray, ids: np.ndarray, degree: int, alpha: f
     The nearest candidate is kept, and those go to which it is nearer than ``1/alpha`` times their distance
     to the row; so on with the next.
     """
+    step = max(1, GATHERED // max(1, ids.shape[1] * (x[:1].nbytes + ids.shape[1] * x.itemsize)))
+    if len(own) > step:
+        return np.concatenate([prune(x, own[lo : lo + step], ids[lo : lo + step], degree, alpha) for lo in range(0, len(own), step)])
     ids = ids.copy()
     ids[ids == own[:, None]] = -1
     v = x[ids]

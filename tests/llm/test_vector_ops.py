@@ -142,3 +142,47 @@ def test_audits_widen_beams():
     assert share(index.search(q, 20)) < 0.9
     assert share(index.search(q, index.audited(q, 10, 20))) >= 0.95
     assert (index.exact(q, 10) == np.argsort((x * x).sum(1) - 2 * q @ x.T, 1, kind="stable")[:, :10]).all()
+
+
+def test_embedding_dedup_moves_pieces_in_rounds(spark, monkeypatch):
+    """What is stored and moved has bounded cells, however large a shard is; rounds and tasks of several shards lose no link."""
+    cells, stored = [], embedding_dedup.stored
+
+    def watched(df, **options):
+        out = stored(df, **options)
+        cells.extend(r[0] for c, kind in out.dtypes if kind == "binary" for r in out.select(F.max(F.length(c))).collect())
+        return out
+
+    monkeypatch.setattr(embedding_dedup, "stored", watched)
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(6000, 32))
+    v[3000:3400] = 2 * v[:400] + rng.normal(size=(400, 32)) * 0.4  # about as far as the threshold
+    v[4000:4100] = v[4000] + rng.normal(size=(100, 32)) * 0.15
+    v[4100:4150] = v[4000:4050]
+    want = linked(list(range(len(v))), v)
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embedding_dedup, "SHARDS", 2)
+    monkeypatch.setattr(embedding_dedup, "ROUND_BYTES", 0, raising=False)
+    for number in (9, 2):  # in three rounds of tasks for up to four shards, and in one
+        monkeypatch.setattr(embedding_dedup, "SHARD_BYTES", 6000 * 32 * 8 * 2 // number)
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.groups(frame).collect()}
+        assert got == want
+    assert sum(n for n, _ in want.values()) > 10_000
+    assert cells and max(cells) <= 1 << 18
+
+
+def test_gathered_vectors_are_bounded():
+    """Wide vectors are compared in parts, to the same graph."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 768)).astype(np.float32)
+    own, ids = np.arange(512), rng.integers(0, 1500, (512, 88))
+    tracemalloc.start()
+    kept = proximity.prune(x, own, ids, 24, 1.0)
+    far = proximity.distances(x, (x * x).sum(1), ids, x[own])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 96 << 20
+    assert (kept == np.concatenate([proximity.prune(x, own[i : i + 1], ids[i : i + 1], 24, 1.0) for i in own])).all()
+    assert np.allclose(far, (x * x).sum(1)[ids] - 2 * np.einsum("ijk,ik->ij", x[ids], x[own]), atol=1e-2)
