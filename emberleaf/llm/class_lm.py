@@ -16,6 +16,7 @@ frequent words are broadcast, a few tens of MB whatever the input; counts of the
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +33,8 @@ from emberleaf.llm._text import cut, scan
 TABLE, SEEDS, MOST_CLASSES = 1 << 20, 2048, 256
 #: Passes over the seeds, and rounds over all words: the first places them, the others exchange half of those that occur OFTEN each.
 PASSES, ROUNDS, OFTEN = 4, 3, 16
-#: Logarithms that a step of a round holds.
-CELLS = 1 << 22
+#: Counts whose gains are looked up, words weighed together, rows added up at once, and entries of a count from which a matrix product adds them.
+LOOKED_UP, CHUNK, BLOCK, MANY = 16, 2048, 1024, 2048
 END = np.uint64(0x454E44)
 TRANSITION_PRIOR = 20.0
 
@@ -71,7 +72,7 @@ class Tally:
         keys = np.concatenate([p[0] for p in self.parts]) if self.parts else np.zeros(0, np.uint64)
         n = np.concatenate([p[1] for p in self.parts]) if self.parts else np.zeros(0, np.int64)
         self.parts, self.size = [], 0
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, n = keys[order], n[order]
         new = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
         return pa.RecordBatch.from_arrays([pa.array(keys[new].view(np.int64)), pa.array(np.add.reduceat(n, new) if len(new) else n)], names=["k", "n"])
@@ -145,7 +146,7 @@ def _added(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[t
     held, size = [(none, none, none)], 0
 
     def summed(w: np.ndarray, code: np.ndarray, n: np.ndarray):
-        order = np.lexsort((code, w))
+        order = np.argsort(w * (code.max(initial=0) + 1) + code)
         w, code = w[order], code[order]
         first = np.flatnonzero((np.diff(w, prepend=w[:1] - 1) != 0) | (np.diff(code, prepend=code[:1]) != 0))
         return w[first], code[first], np.add.reduceat(n[order], first) if len(first) else n
@@ -201,10 +202,28 @@ class Table:
     keys: np.ndarray
     rank: np.ndarray
 
+    @functools.cached_property
+    def first(self) -> np.ndarray:
+        """Where the keys of each value of their first bits begin; there are one to two such values for each key."""
+        bits = len(self.keys).bit_length()
+        out = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount((self.keys >> np.uint64(64 - bits)).view(np.int64), minlength=1 << bits), out=out[1:])
+        return out
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ranks of ``h``; words that the table lacks have the number of its words."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.rank[at], len(self.keys))
+        out = np.full(len(h), len(self.keys), np.int32)
+        bucket = (h >> np.uint64(65 - (len(self.first) - 1).bit_length())).astype(np.int64)
+        at, stop = self.first[bucket], self.first[bucket + 1]
+        todo = np.flatnonzero(at < stop)
+        at, stop, need = at[todo], stop[todo], h[todo]
+        while len(todo):
+            hit = self.keys[at] == need
+            out[todo[hit]] = self.rank[at[hit]]
+            at += 1
+            more = ~hit & (at < stop)
+            todo, at, stop, need = todo[more], at[more], stop[more], need[more]
+        return out
 
 
 @dataclass
@@ -278,52 +297,92 @@ def exchange(n: np.ndarray, classes: int, passes: int = PASSES) -> np.ndarray:
     return cls[:size]
 
 
-def gains(pairs: np.ndarray, own_class: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
+def _gain(base: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What ``m`` more bigrams add to x log x of ``base`` of them."""
+    base = np.maximum(base, 1e-3)
+    return m * np.log(base + m) + base * np.log1p(m / base)
+
+
+class Gains:
+    """Gains by the class bigrams ``pairs``: those of counts up to LOOKED_UP, nearly all there are, are worked out once."""
+
+    def __init__(self, pairs: np.ndarray) -> None:
+        to = len(pairs) - 2
+        self.pairs = pairs
+        self.sides = (pairs[:, :to], pairs.sum(0)[:to]), (np.ascontiguousarray(pairs[:to].T), pairs.sum(1)[:to])
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+        self.one = self.sums = np.zeros((0, 0), np.float32)  # kept, since fresh memory costs more than the product
+
+    def rows(self, side: int, m: int) -> np.ndarray:
+        """By context, the gains of ``m`` bigrams with it as their word joins each class."""
+        if (side, m) not in self.known:
+            self.known[side, m] = _gain(self.sides[side][0], np.float64(m)).astype(np.float32)
+        return self.known[side, m]
+
+    def add(self, out: np.ndarray, side: int, w: np.ndarray, c: np.ndarray, m: np.ndarray) -> None:
+        """Adds to the rows ``w`` of ``out``, ascending, the gains of ``m`` bigrams with contexts ``c``, of no pair twice."""
+        level = np.where(m <= LOOKED_UP, m, 0).astype(np.int64)
+        for x, entries in enumerate(np.bincount(level, minlength=1)):
+            use = np.flatnonzero(level == x) if entries else []
+            if x and entries >= MANY:
+                if len(self.one) != len(out):
+                    self.one, self.sums = np.zeros((len(out), len(self.pairs)), np.float32), np.empty(out.shape, np.float32)
+                self.one[w[use], c[use]] = 1
+                out += np.matmul(self.one, self.rows(side, x), out=self.sums)
+                self.one[w[use], c[use]] = 0
+                continue
+            for lo in range(0, len(use), BLOCK):
+                at = use[lo : lo + BLOCK]
+                gain = self.rows(side, x)[c[at]] if x else _gain(self.sides[side][0][c[at]], m[at, None])
+                first = np.flatnonzero(np.diff(w[at], prepend=-1))
+                out[w[at][first]] += np.add.reduceat(gain, first)
+
+
+def gains(pairs: np.ndarray | Gains, own_class: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray) -> np.ndarray:
     """How much the likelihood gains, but for a constant of each word, as words join each class, all others staying where they are.
 
     Of ``word``, ascending from 0, ``n`` counts its bigrams of ``code``: c after class c, ``every`` + c before class c, and
-    2 * ``every`` with itself, which count in both others too.
+    2 * ``every`` with itself, which count in both others too. Gains are first taken as if the word were in no class yet; then
+    the few cells of ``pairs`` that hold its own bigrams are put right.
     """
-    every = len(pairs)
+    by = pairs if isinstance(pairs, Gains) else Gains(pairs)
+    every = len(by.pairs)
     size, to = len(own_class), every - 2
     twin, counts = np.zeros(size), np.zeros((2, size, every))
     same = code == 2 * every
     twin[word[same]] = n[same]
     counts[code[~same] // every, word[~same], code[~same] % every] = n[~same]
     counts[:, np.arange(size), own_class] -= twin
+    some = counts[:, :, :to] > 0
     placed = np.flatnonzero(own_class < to)
     mine = own_class[placed]
     out = np.zeros((size, to))
-    for side, matrix, sums in ((0, pairs[:, :to], pairs.sum(0)[:to]), (1, pairs[:to].T, pairs.sum(1)[:to])):
-        w, c = np.nonzero(counts[side])
-        m = counts[side, w, c].astype(np.float32)
-        matrix = matrix.astype(np.float32)
-        for lo in range(0, len(w), max(1, CELLS // every)):
-            part = slice(lo, lo + max(1, CELLS // every))
-            base, at = matrix[c[part]], np.arange(len(w[part]))  # by the class joined, without the word itself
-            a = own_class[w[part]]
-            has = a < to
-            base[at[has], a[has]] -= m[part][has]
-            home = c[part] == a
-            base[home] -= counts[1 - side, w[part][home], :to]
-            home &= has
-            base[at[home], a[home]] -= twin[w[part][home]]
-            np.maximum(base, 1e-3, out=base)  # log1p, not a difference of logarithms: single precision will do
-            more = m[part][:, None]
-            gain = more * np.log(base + more) + base * np.log1p(more / base)
-            first = np.flatnonzero(np.diff(w[part], prepend=-1))
-            out[w[part][first]] += np.add.reduceat(gain, first)
-        total = (counts[side].sum(1) + twin)[:, None]
-        base = np.repeat(sums[None], size, 0)
-        base[placed, mine] -= total[placed, 0]
-        base = np.maximum(base, 0)
-        out -= _h(base + total) - _h(base)
-    left, right = counts[0, :, :to], counts[1, :, :to]
-    both = np.flatnonzero(((left > 0) & (right > 0)).any(1) | (twin > 0))
-    base = np.repeat(np.diag(pairs)[None, :to], size, 0)
-    base[placed, mine] -= left[placed, mine] + right[placed, mine] + twin[placed]
-    base, left, right = np.maximum(base[both], 0), left[both], right[both]
-    out[both] += _h(base + left + right + twin[both][:, None]) - _h(base + left) - _h(base + right) + _h(base)
+    for side, (matrix, sums) in enumerate(by.sides):
+        use = np.flatnonzero(code // every == side)
+        w, c = word[use], code[use] - side * every
+        m = counts[side, w, c]
+        w, c, m = w[m > 0], c[m > 0], m[m > 0]
+        by.add(out, side, w, c, m)
+        a = own_class[w]
+        has, home = np.flatnonzero(a < to), np.flatnonzero(c == a)  # the class it leaves, as one joined and as a context
+        less = m[has] + np.where(c[has] == a[has], counts[1 - side, w[has], np.minimum(a[has], to - 1)] + twin[w[has]], 0)
+        i, j = np.divmod(np.flatnonzero(some[1 - side, w[home]]), to)
+        other = j != a[home[i]]
+        i, j = home[i[other]], j[other]
+        entry, joined = np.concatenate([has, i]), np.concatenate([a[has], j])
+        less = np.concatenate([less, counts[1 - side, w[i], j]])
+        base = matrix[c[entry], joined]
+        np.add.at(out, (w[entry], joined), _gain(base - less, m[entry]) - _gain(base, m[entry]))
+        total = counts[side].sum(1) + twin
+        times, inverse = np.unique(total, return_inverse=True)
+        out -= (_h(sums + times[:, None]) - _h(sums))[inverse]
+        base, total = sums[mine], total[placed]
+        left = np.maximum(base - total, 0)
+        out[placed, mine] += _h(base + total) - _h(base) - _h(left + total) + _h(left)
+    i, j = np.divmod(np.flatnonzero(some[0] & some[1] | (twin > 0)[:, None]), to)
+    left, right, both = counts[0, i, j], counts[1, i, j], twin[i]
+    base = np.maximum(np.diag(by.pairs)[j] - np.where(j == own_class[i], left + right + both, 0), 0)
+    out[i, j] += _h(base + left + right + both) - _h(base + left) - _h(base + right) + _h(base)
     return out
 
 
@@ -429,17 +488,18 @@ def fit(train: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls, pairs = state.value  # noqa: B023
+            by = Gains(pairs)
             for w, code, n in _added(batches):
                 words, word = np.unique(w, return_inverse=True)
-                for lo in range(0, len(words), 2048):
-                    own = cls[words[lo : lo + 2048]]
-                    part = slice(*np.searchsorted(word, [lo, lo + 2048]))
-                    gain = gains(pairs, own, word[part] - lo, code[part], n[part])
+                for lo in range(0, len(words), CHUNK):
+                    own = cls[words[lo : lo + CHUNK]]
+                    part = slice(*np.searchsorted(word, [lo, lo + CHUNK]))
+                    gain = gains(by, own, word[part] - lo, code[part], n[part])
                     new = gain.argmax(1)
                     stay = np.flatnonzero(own < to)
                     stay = stay[gain[stay, new[stay]] <= gain[stay, own[stay]] + 1e-9]
                     new[stay] = own[stay]
-                    yield pa.RecordBatch.from_arrays([pa.array(words[lo : lo + 2048]), pa.array(new)], names=["w", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(words[lo : lo + CHUNK]), pa.array(new)], names=["w", "c"])
 
         often = _fewer(seen.where((F.col("w") >= 0) & (F.col("w") < SEEDS)))
         near = seen.where(F.col("w") >= SEEDS).unionByName(often).repartition("w").sortWithinPartitions("w")

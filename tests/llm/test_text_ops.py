@@ -526,6 +526,57 @@ def test_exchange_against_brute_force():
         assert np.allclose(got[w] - got[w, 0], want - want[0], atol=0.05)
 
 
+def test_class_lm_gains_take_few_logarithms(monkeypatch):
+    """Gains of many words with small counts and some large ones are those of brute force, without a logarithm for each context and class."""
+    rng = np.random.default_rng(9)
+    size, to = 600, 30
+    every = to + 2
+    n = rng.poisson(rng.gamma(0.02, 8, (size + 2, size + 2))).astype(float)
+    n[rng.integers(0, size, 40), rng.integers(0, size, 40)] += 200
+    n[range(0, 60, 3), range(0, 60, 3)] += 5  # words that follow themselves
+    n[:, -2] += 1
+    cls = np.array([*rng.integers(0, to, size), to, to + 1])
+    cls[:size:5] = to + 1  # words without a class
+
+    def pairs(cls):
+        one = np.eye(every)[cls]
+        return one.T @ n @ one
+
+    one = np.eye(every)[cls]
+    counts = np.concatenate([n.T[:size] @ one, n[:size] @ one, np.diag(n)[:size, None]], 1)
+    word, code = np.nonzero(counts)
+    logarithms = 0
+
+    def counting(f):
+        def run(x, *more, **named):
+            nonlocal logarithms
+            logarithms += np.size(x)
+            return f(x, *more, **named)
+
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(np, "log", counting(np.log))
+        m.setattr(np, "log1p", counting(np.log1p))
+        got = class_lm.gains(pairs(cls), cls[:size], word, code, counts[word, code])
+    assert logarithms < len(word) * to
+    for w in [0, 3, 5, 45, *rng.integers(0, size, 6)]:
+        want = np.array([class_lm.likelihood(pairs(np.where(np.arange(size + 2) == w, c, cls))) for c in range(to)])
+        assert np.allclose(got[w] - got[w, 0], want - want[0], atol=0.05)
+
+
+def test_class_lm_table_finds_words():
+    """Also words whose hashes share their first bits, and in a table of the end of texts alone."""
+    rng = np.random.default_rng(10)
+    keys = np.unique(np.concatenate([[class_lm.END], np.uint64(1 << 60) + np.arange(50, dtype=np.uint64), rng.integers(0, 1 << 64, 500, np.uint64), [np.uint64((1 << 64) - 1)]]))
+    rank = rng.permutation(len(keys)).astype(np.int32)
+    known = dict(zip(keys.tolist(), rank.tolist(), strict=True))
+    asked = rng.permutation(np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64)]))
+    assert class_lm.Table(keys, rank).find(asked).tolist() == [known.get(k, len(keys)) for k in asked.tolist()]
+    alone = class_lm.Table(np.array([class_lm.END]), np.zeros(1, np.int32))
+    assert alone.find(np.array([class_lm.END, 0, (1 << 64) - 1], np.uint64)).tolist() == [0, 1, 1] and not len(alone.find(np.zeros(0, np.uint64)))
+
+
 @pytest.mark.parametrize("table", [1 << 20, 40])
 def test_class_lm_score_by_brute_force(spark, sf, monkeypatch, table):
     """Probabilities by counting tokens and class transitions one by one, also with words that the table lacks."""
