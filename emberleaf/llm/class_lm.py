@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberleaf.llm._skew import spread
-from emberleaf.llm._spark import bounded, dropped, stored
+from emberleaf.llm._spark import bounded, dropped, stored, trimmed
 from emberleaf.llm._text import cut, scan
 
 #: Words that are broadcast with their classes, words that are exchanged one by one, and the most classes.
@@ -90,7 +90,7 @@ def counted(docs: DataFrame, text: str, keys) -> DataFrame:
                     yield tally.drain()
         yield tally.drain()
 
-    return bounded(docs).select(F.col(text)).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return bounded(docs).select(F.col(text)).mapInArrow(trimmed(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 ROWS = "w long, code array<int>, n array<long>"
@@ -137,7 +137,7 @@ def _tallied(df: DataFrame, keys, cells: int, width: int, codes: int = 1) -> Dat
             yield _listed(some[lo : lo + (1 << 20)], dense[some[lo : lo + (1 << 20)]], width, True)
         yield from drained()
 
-    return df.mapInArrow(run, ROWS)
+    return df.mapInArrow(trimmed(run), ROWS)
 
 
 def _added(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -182,7 +182,7 @@ def _fewer(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(w[first]), pa.ListArray.from_arrays(off, pa.array(code.astype(np.int32))), pa.ListArray.from_arrays(off, pa.array(n))], names=["w", "code", "n"])
 
     share = F.pmod(F.xxhash64("code", "n"), F.lit(SHARES))
-    return rows.repartition(F.col("w"), share).sortWithinPartitions("w").mapInArrow(run, ROWS)
+    return rows.repartition(F.col("w"), share).sortWithinPartitions("w").mapInArrow(trimmed(run), ROWS)
 
 
 def _cells(rows: DataFrame, width: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _cells(rows: DataFrame, width: int) -> DataFrame:
         for w, code, n in _added(batches):
             yield pa.RecordBatch.from_arrays([pa.array((-1 - w) * width + code), pa.array(n)], names=["k", "n"])
 
-    return _fewer(rows.where("w < 0")).repartition("w").sortWithinPartitions("w").mapInArrow(run, "k long, n long")
+    return _fewer(rows.where("w < 0")).repartition("w").sortWithinPartitions("w").mapInArrow(trimmed(run), "k long, n long")
 
 
 @dataclass
@@ -446,7 +446,7 @@ def fit(train: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
                 ranks = pa.array(shipped.value.find(h).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), ranks)], names=["ranks"])
 
-    ranks = stored(bounded(train).select(F.col(text)).mapInArrow(encode, "ranks array<int>"))
+    ranks = stored(bounded(train).select(F.col(text)).mapInArrow(trimmed(encode), "ranks array<int>"))
 
     seeds = min(SEEDS, size - 1)
     cell = np.full(size + 1, seeds + 1)
@@ -503,7 +503,7 @@ def fit(train: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
 
         often = _fewer(seen.where((F.col("w") >= 0) & (F.col("w") < SEEDS)))
         near = seen.where(F.col("w") >= SEEDS).unionByName(often).repartition("w").sortWithinPartitions("w")
-        new = near.mapInArrow(choose, "w long, c long").toArrow()  # a row for each word of the table
+        new = near.mapInArrow(trimmed(choose), "w long, c long").toArrow()  # a row for each word of the table
         dropped(seen)
         cls = cls.copy()
         cls[new["w"].to_numpy()] = new["c"].to_numpy()
@@ -563,7 +563,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text",
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(b.column(i + 2).slice(lo, hi - lo) for i in range(more)), pa.array(np.diff(off)), *map(pa.array, sums), pa.ListArray.from_arrays(pa.array(ends), words)], names=[*columns, "n_tokens", "z", "s", "known", "other"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.drop("text_").schema), "n_tokens long, z double, s double, known double, other array<struct<k:long,times:long>>"])
-    rows = stored(frame.mapInArrow(run, schema))
+    rows = stored(frame.mapInArrow(trimmed(run), schema))
     other = stored(rows.where(F.size("other") > 0).select("row_", F.explode("other").alias("o")).select("row_", "o.k", "o.times"))
     n = F.coalesce("n", F.lit(0))
     log = lambda of, words: F.log10((n + 0.5) / (of + 0.5 * (words + 1)))
