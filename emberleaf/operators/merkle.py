@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from emberleaf.functions.hashes import sha2_256
 from emberleaf.functions.text import let
+from emberleaf.sources.tables import stored
 
 ZERO = "0" * 64
 
@@ -35,8 +36,11 @@ def leaves(df: DataFrame, content_hash: str, order: str, digest=sha2_256) -> Dat
 
 
 def numbered(df: DataFrame, content_hash: str, order: str, digest=sha2_256) -> DataFrame:
-    """``leaves`` with their ``order`` column."""
-    rows = df.select(F.col(order).alias("o"), leaf(F.col(content_hash), digest).alias("hash")).repartitionByRange("o").withColumn("p", F.spark_partition_id())
+    """``leaves`` with their ``order`` column.
+
+    Ranges come of a sample and differ from run to run, so rows are stored with the number of their partition before they are counted.
+    """
+    rows = stored(df.select(F.col(order).alias("o"), leaf(F.col(content_hash), digest).alias("hash")).repartitionByRange("o").withColumn("p", F.spark_partition_id()))
     sizes = rows.groupBy("p").agg(F.count("*").alias("n"))
     start = sizes.select("p", (F.sum("n").over(W.orderBy("p")) - F.col("n")).alias("start"))  # a row for each partition
     within = F.row_number().over(W.partitionBy("p").orderBy("o")) - 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberleaf.functions import text as t
-from emberleaf.operators import store
+from emberleaf.operators import merkle, store
 
 
 def test_trimmed_lines_keep_their_digits(spark):
@@ -21,3 +21,10 @@ def test_verification_names_all_failures(spark):
     got = store.verification(rows, "id").first()
     assert (got["total"], got["passed"], got["failed"]) == (3000, 1500, 1500)
     assert got["failures"] == ",".join(str(i) for i in range(1, 3000, 2))
+
+
+def test_leaves_are_numbered_once(spark):
+    """Every leaf comes out under its own number, though one side of the numbering needs fewer columns."""
+    n = 60_000
+    got = merkle.numbered(spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")), "h", "id").toPandas()
+    assert len(got) == n and (got.idx == got.id).all() and sorted(got.idx) == list(range(n)) and got.hash.nunique() == n
