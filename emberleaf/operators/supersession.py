@@ -16,21 +16,47 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+#: Days with a set of terms that a kind may have for each to be compared with every older one.
+FEW = 200
+
+
 def register(rows: DataFrame, least: float = LEAST) -> DataFrame:
     """``new_id`` and the ``old_id`` that it supersedes.
 
     ``rows`` has ``id``, ``kind``, ``terms`` and ``created_date``. Both must be of one kind, have two terms or more and
     share ``least`` of them; the old one is strictly older. The best match wins, then the later date, then the smaller id.
 
-    Terms are few and dates are days, so artifacts are first one row for each distinct set of terms, with the days on which it
-    occurs. Sets are matched by a term of a prefix: two sets of this similarity share one of the first
+    Terms are few and dates are days, so artifacts are first one row for each distinct set of terms and day. Those of a kind of
+    up to FEW are compared with all older ones of the kind, where they lie after one shuffle; those of larger kinds by ``_of_large_kinds``.
+    """
+    known = rows.where(F.col("kind").isNotNull()).select("id", "kind", "created_date", F.array_sort(F.array_distinct("terms")).alias("terms")).where(F.size("terms") >= 2)
+    known = stored(known.where("created_date is not null"))
+    days = stored(known.groupBy("kind", "terms", "created_date").agg(F.min("id").alias("id")))
+    large = stored(days.groupBy("kind").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("kind"))
+    some = not large.isEmpty()
+    small = days.join(large, "kind", "left_anti") if some else days
+    side = lambda s: small.select("kind", *(F.col(c).alias(f"{s}_{c}") for c in ("terms", "created_date", "id")))
+    n, o = F.size("new_terms"), F.size("old_terms")
+    fits = (F.col("old_created_date") < F.col("new_created_date")) & (F.least(n, o) >= least * F.greatest(n, o) - 1e-9)
+    pairs = side("new").join(side("old").hint("merge"), "kind").where(fits).withColumn("similarity", jaccard(F.col("new_terms"), F.col("old_terms"))).where(F.col("similarity") >= least)
+    best = W.partitionBy("kind", "new_terms", "new_created_date").orderBy(F.desc("similarity"), F.desc("old_created_date"), "old_id")
+    last = pairs.withColumn("r", F.row_number().over(best)).where("r = 1")
+    last = last.select("kind", F.col("new_terms").alias("terms"), F.col("new_created_date").alias("created_date"), "similarity", "old_id")
+    if some:
+        last = last.unionByName(_of_large_kinds(days.join(large, "kind", "left_semi"), least))
+    found = known.join(last, ["kind", "terms", "created_date"])
+    return found.select(F.col("id").alias("new_id"), "old_id", "similarity", F.col("created_date").alias("new_date"))
+
+
+def _of_large_kinds(days: DataFrame, least: float) -> DataFrame:
+    """The best older match of each of ``days``, a row for each ``kind``, ``terms`` and ``created_date`` with the smallest ``id``.
+
+    Sets are matched by a term of a prefix: two sets of this similarity share one of the first
     ``n - ceil(least * n) + 1`` terms in an order from rare to frequent. For each set and day the best similarity that has
     an older day is picked, and within it the last such day. The work grows with sets and days, not with pairs of artifacts.
     """
-    known = rows.where(F.col("kind").isNotNull()).select("id", "kind", "created_date", F.array_sort(F.array_distinct("terms")).alias("terms")).where(F.size("terms") >= 2)
-    known = stored(known.where("created_date is not null").withColumn("topic", F.md5(F.to_json(F.struct("kind", "terms")))))
-    days = stored(known.groupBy("topic", "created_date").agg(F.min("id").alias("id")))
-    sets = known.groupBy("topic").agg(F.first("kind").alias("kind"), F.first("terms").alias("terms"), F.min("created_date").alias("since"), F.max("created_date").alias("until"))
+    days = stored(days.withColumn("topic", F.md5(F.to_json(F.struct("kind", "terms")))))
+    sets = days.groupBy("topic").agg(F.first("kind").alias("kind"), F.first("terms").alias("terms"), F.min("created_date").alias("since"), F.max("created_date").alias("until"))
     words = stored(sets.select("topic", "kind", "terms", "since", "until", F.size("terms").alias("n"), F.explode("terms").alias("term")))
     df = words.groupBy("kind", "term").agg(F.count("*").alias("df"))
     order = W.partitionBy("topic").orderBy("df", "term")
@@ -57,7 +83,7 @@ def register(rows: DataFrame, least: float = LEAST) -> DataFrame:
     newest = W.partitionBy("new_topic", "day").orderBy(F.desc("old.old_date"), "old.old_id")
     last = hit.withColumn("r", F.row_number().over(newest)).where("r = 1")
     last = last.select(F.col("new_topic").alias("topic"), F.col("day").alias("created_date"), "similarity", "old.old_id")
-    return known.join(last, ["topic", "created_date"]).select(F.col("id").alias("new_id"), "old_id", "similarity", F.col("created_date").alias("new_date"))
+    return days.select("topic", "kind", "terms", "created_date").join(last, ["topic", "created_date"]).select("kind", "terms", "created_date", "similarity", "old_id")
 
 
 def superseded_by(found: DataFrame) -> DataFrame:
@@ -72,7 +98,7 @@ def chain_ends(links: DataFrame, rounds: int = 40) -> DataFrame:
     Pointers double each round, so a chain of any length up to 2^rounds takes its logarithm.
     """
     checkpointed(links)
-    at = links.select("id", F.col("by").alias("end"))
+    at = stored(links.select("id", F.col("by").alias("end")))
     for _ in range(rounds):
         nxt = at.select(F.col("id").alias("end"), F.col("end").alias("further"))
         at = at.join(nxt, "end", "left").select("id", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")).checkpoint()

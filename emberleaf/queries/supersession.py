@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberleaf.operators import supersession as s
 from emberleaf.queries import Registry, table
+from emberleaf.sources.tables import stored
 
 q = Registry()
 _ROWS = """
@@ -43,7 +44,7 @@ FROM results r LEFT JOIN ends e ON e.id = r.id WHERE NOT (e.id IS NOT NULL AND e
 """)
 def superseded_results(spark, sf_dir):
     """Results of a search after supersession."""
-    every = rows(spark, sf_dir)
-    links = s.superseded_by(s.register(every))
+    every = stored(rows(spark, sf_dir))
+    links = stored(s.superseded_by(s.register(every)))
     results = every.select("id", (100.0 / (F.col("id") % 97 + 1)).alias("score"))
     return s.adjust(results, links, s.chain_ends(links)).withColumn("score", F.round("score", 6))

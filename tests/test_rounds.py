@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from emberleaf.functions import text as t
-from emberleaf.operators import merkle, store
+from emberleaf.operators import merkle, store, supersession
 
 
 def test_trimmed_lines_keep_their_digits(spark):
@@ -28,3 +30,21 @@ def test_leaves_are_numbered_once(spark):
     n = 60_000
     got = merkle.numbered(spark.range(n).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h")), "h", "id").toPandas()
     assert len(got) == n and (got.idx == got.id).all() and sorted(got.idx) == list(range(n)) and got.hash.nunique() == n
+
+
+@pytest.mark.parametrize("few", [0, 5, 200])
+def test_supersession_of_small_and_large_kinds(spark, monkeypatch, few):
+    """By brute force, whether kinds are compared whole or by prefixes; small ones take no more rows than pairs of one kind."""
+    monkeypatch.setattr(supersession, "FEW", few)
+    rng = np.random.default_rng(3)
+    rows = [(i, f"k{rng.integers(8) ** 2 // 8}", sorted({f"t{x}" for x in rng.integers(0, 6, rng.integers(1, 6))}), f"2026-01-{rng.integers(1, 20):02}") for i in range(160)]
+    want = {}
+    for i, kind, a, day in rows:
+        ok = [(-len({*a} & {*b}) / len({*a} | {*b}), d, j) for j, k, b, d in rows if k == kind and d < day and len(a) > 1 and len(b) > 1]
+        ok = [x for x in ok if -x[0] >= 0.7]
+        if ok:
+            best = min(x[0] for x in ok)
+            last = max(d for s, d, _ in ok if s == best)
+            want[i] = (min(j for s, d, j in ok if (s, d) == (best, last)), -best)
+    got = supersession.register(spark.createDataFrame(rows, "id long, kind string, terms array<string>, created_date string")).collect()
+    assert {r["new_id"]: (r["old_id"], r["similarity"]) for r in got} == want and len(got) == len(want)
