@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from emberleaf.functions import fingerprint as fp
 from emberleaf.functions import text as t
-from emberleaf.operators import merkle, store, supersession
+from emberleaf.operators import fingerprints, merkle, store, supersession
 
 
 def test_trimmed_lines_keep_their_digits(spark):
@@ -48,3 +51,24 @@ def test_supersession_of_small_and_large_kinds(spark, monkeypatch, few):
             want[i] = (min(j for s, d, j in ok if (s, d) == (best, last)), -best)
     got = supersession.register(spark.createDataFrame(rows, "id long, kind string, terms array<string>, created_date string")).collect()
     assert {r["new_id"]: (r["old_id"], r["similarity"]) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("common", [1, 2, 100])
+def test_weighted_simhash_in_pieces(spark, monkeypatch, common):
+    """By brute force: words beyond those that all tasks hold, texts shorter than a window, more characters than fit 16 bits."""
+    monkeypatch.setattr(fingerprints, "COMMON", common)
+    monkeypatch.setattr(fingerprints, "CHARS", 50)
+    many = "".join(chr(0x4E00 + i) for i in range(20_000)) + "".join(chr(0x20000 + i) for i in range(46_000))
+    texts = {1: "alpha beta beta gamma", 2: "", 3: "abc", 4: "Delta alpha \u00e4\U0001f600 delta" * 9, 5: None, 6: "\u00e4b", 7: many}
+    idf = {"alpha": 1.2, "beta": 2.5, "gamma": 1.2, "delta": 7.25}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    rows = fingerprints.weighted_simhash(docs, "id", "text", spark.createDataFrame(list(idf.items()), "term string, idf double"))
+    got = {r["id"]: r["hex"] for r in rows.select("id", fp.to_hex(F.col("fingerprint")).alias("hex")).collect()}
+    words = {r["id"]: r["w"] for r in docs.select("id", t.fingerprint_tokens("text").alias("w")).collect()}
+    assert got.keys() == texts.keys()
+    bits = lambda w: np.unpackbits(np.frombuffer(hashlib.sha256(w.encode()).digest(), np.uint8)).astype(float) * 2 - 1
+    for i, text in texts.items():
+        low = (text or "").lower()
+        grams = [low[k : k + 4] for k in range(len(low) - 3)] or [low]
+        votes = sum(0.7 * idf.get(w, 1.0) * bits(w) for w in words[i]) + sum(bits(g) for g in grams) * 0.3 / len(grams)
+        assert got[i] == np.packbits(np.round(votes, 9) >= 0).tobytes().hex(), i
