@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberleaf.functions import fingerprint as fp
 from emberleaf.functions import text as t
-from emberleaf.operators import fingerprints, merkle, store, supersession, vector_search
+from emberleaf.operators import fingerprints, graph, merkle, store, supersession, vector_search
 
 
 def test_trimmed_lines_keep_their_digits(spark):
@@ -93,3 +93,16 @@ def test_term_counts_by_brute_force(spark):
     text = "Data data the the of ab abc-ABC_def 12 123 " + " ".join(f"w{i}" for i in range(50))
     got = spark.range(1).select(t.term_counts(F.lit(text)).alias("a"), t.ranked_keywords(F.lit(None).cast("string")).alias("b")).first()
     assert [(r["n"], r["term"]) for r in got["a"]][:4] == [(2, "abc"), (2, "data"), (1, "123"), (1, "def")] and len(got["a"]) == 30 and got["b"] == []
+
+
+@pytest.mark.parametrize("block", [60, 2_000_000])
+def test_keyword_edges_in_blocks(spark, monkeypatch, block):
+    """By brute force, with text keys, whether all rows meet in one task or blocks in several."""
+    monkeypatch.setattr(graph, "BLOCK_WORDS", block)
+    rng = np.random.default_rng(2)
+    sets = {f"c{i}": {f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 8))} for i in range(60)}
+    rows = spark.createDataFrame([(i, sorted(k)) for i, k in sets.items()], "id string, k array<string>")
+    n = {w: sum(w in k for k in sets.values()) for k in sets.values() for w in k}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and any(2 <= n[w] <= 5 for w in sets[a] & sets[b])}
+    got = graph.keyword_edges(rows, "id", "k", 0.2, 5).collect()
+    assert {(r["a"], r["b"]): r["overlap"] for r in got} == {p: s for p, s in want.items() if s >= 0.2} and len(got) == len({(r["a"], r["b"]) for r in got}) > 10
