@@ -150,13 +150,9 @@ SELECT item_id, doc_id, matched FROM (
 """)
 def benchmark_matches(spark, sf_dir):
     """For each benchmark passage the three documents that share the most words, by an inverted index."""
-    from pyspark.sql import Window as W
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(t.tokens("text")).alias("w"))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.explode(t.tokens("text")).alias("w"))
-    shared = docs.join(items, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("matched"))
-    rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.desc("matched"), "doc_id"))
-    return shared.withColumn("r", rank).where("r <= 3").drop("r")
+    docs = table(spark, sf_dir, "documents").select("doc_id", t.tokens("text").alias("w"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", t.tokens("text").alias("w"))
+    return s.best_shared(docs, "doc_id", "w", items, "item_id", "w", 3).select("item_id", "doc_id", "matched")
 
 
 def _index(spark, sf_dir) -> str:

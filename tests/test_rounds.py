@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberleaf.functions import fingerprint as fp
 from emberleaf.functions import text as t
-from emberleaf.operators import fingerprints, graph, merkle, store, supersession, vector_search
+from emberleaf.operators import fingerprints, graph, merkle, search, store, supersession, vector_search
 
 
 def test_trimmed_lines_keep_their_digits(spark):
@@ -106,3 +106,15 @@ def test_keyword_edges_in_blocks(spark, monkeypatch, block):
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and any(2 <= n[w] <= 5 for w in sets[a] & sets[b])}
     got = graph.keyword_edges(rows, "id", "k", 0.2, 5).collect()
     assert {(r["a"], r["b"]): r["overlap"] for r in got} == {p: s for p, s in want.items() if s >= 0.2} and len(got) == len({(r["a"], r["b"]) for r in got}) > 10
+
+
+def test_best_shared_by_brute_force(spark, monkeypatch):
+    """More passages than are counted at once, ties, a passage without words and one that no text shares."""
+    monkeypatch.setattr(search, "TOGETHER", 3)
+    rng = np.random.default_rng(4)
+    docs = {i: sorted({f"w{x}" for x in rng.integers(0, 12, 6)}) for i in range(700)}
+    asked = {i: sorted({f"w{x}" for x in rng.integers(0, 12, 5)}) for i in range(5)} | {5: [], 6: ["none"]}
+    frame = lambda d: spark.createDataFrame(list(d.items()), "id long, w array<string>")
+    got = search.best_shared(frame(docs), "id", "w", frame(asked).withColumnRenamed("id", "p"), "p", "w", 4).collect()
+    want = {(p, r + 1, i, -n) for p, a in asked.items() for r, (n, i) in enumerate(sorted((-len({*a} & {*w}), i) for i, w in docs.items())[:4]) if n}
+    assert {(r["p"], r["r"], r["id"], r["matched"]) for r in got} == want and len(got) == len(want)
